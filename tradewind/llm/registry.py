@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradewind.llm import packing, sharding
+from tradewind.llm import archive, dedup, langid, packing, quality, sharding
 from tradewind.llm.common import table
 
 
@@ -18,9 +19,53 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return langid.predict(docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op6_exact_dedup, op9_sharding)}
+
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS t FROM documents),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i, w FROM d),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + {quality.WINDOW - 1}), chr(1)) AS k FROM word WHERE i + {quality.WINDOW - 1} <= len(w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM twice, (SELECT unnest(range({quality.WINDOW})) AS j) GROUP BY r),
+line AS (SELECT r, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines, count(*) AS n_lines FROM line GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+b AS (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES.values())})::BIGINT AS fail_bits FROM m)
+SELECT *, fail_bits & {quality.BASE.mask} <> 0 AS base_failed, fail_bits & {quality.BASE.mask | quality.STRICT.mask} = 0 AS kept, '{quality.STRICT.name}-{quality.STRICT.version}' AS policy FROM b""",
+    "op4_warc": """
+SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER p THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER p THEN max(page_id) OVER p END AS refers_to
+FROM pages WINDOW p AS (PARTITION BY coalesce(html, ''))""",
+    "op6_exact_dedup": f"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{dedup.UPPER}', '{dedup.LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)""",
+}

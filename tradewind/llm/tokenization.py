@@ -8,11 +8,23 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 from array import array
 
+import numpy as np
+
 _LOADED: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
+class Memo(dict):
+    """Chunk to ids; what is asked for and missing is noted."""
+
+    asked: list[str]
+
+    def __missing__(self, chunk: str) -> None:
+        self.asked.append(chunk)
+
+
 class ChunkTokenizer:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -20,7 +32,11 @@ class ChunkTokenizer:
     white space (word files). Texts whose spaces touch other white space go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, spaced: bool, capacity: int = 300_000):
+    #: What may follow a word of letters in one chunk without changing the word's ids.
+    TAIL = ".,;:!?"
+    GROUP = 1000
+
+    def __init__(self, path: str, spaced: bool, capacity: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -28,40 +44,90 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced, self.capacity = spaced, capacity
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first: Memo = Memo()  # chunks as they are
+        self.later: Memo = Memo()  # spaced: chunks after a space or line break; False: not to be cut there
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict, chunks: set[str], lead: str) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters: many at a time, parted where words begin or end."""
+        out: list[bytes] = []
+        groups = [words[i : i + self.GROUP] for i in range(0, len(words), self.GROUP)]
+        for some, raw in zip(groups, self._ids([" " * self.spaced + " ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(raw, dtype="<u4")
+            at = np.flatnonzero(self.edge[ids])
+            bounds = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()]
+            if len(bounds) != len(some) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):  # a word fell apart
+                out += self._ids([" " * self.spaced + w for w in some])
+                continue
+            out += [raw[4 * b : 4 * e] for b, e in itertools.pairwise(bounds)]
+        return out
+
+    @staticmethod
+    def _stays_letters(word: str) -> bool:
+        """Composing and lower-casing can turn a letter into a letter and a mark."""
+        return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
+
+    def _learn(self, memo: dict, chunks: list[str]) -> None:
         if len(memo) + len(chunks) > self.capacity:  # the oldest entries are the commonest chunks
             kept = dict(itertools.islice(memo.items(), self.capacity // 2))
             memo.clear()
             memo.update(kept)
-        new = [c for c in chunks if c not in memo]
-        plain = [c for c in new if not lead or c and not c[0].isspace() and not c[-1].isspace()]
+        led = self.spaced and memo is self.later
+        whole, worded = [], []
+        for c in chunks:
+            core = c.rstrip(self.TAIL)
+            (worded if core.isalpha() and (led or not self.spaced and self._stays_letters(core)) else whole).append((c, core))
+        new = list({core for _, core in worded if core not in memo})
+        memo.update(zip(new, self._words(new), strict=True))
+        memo.update((c, memo[core] + self._tail(c[len(core) :])) for c, core in worded if c != core)
+        lead = " " if led else ""
+        plain = [c for c, _ in whole if not led or c and not c[0].isspace() and not c[-1].isspace()]
         memo.update(zip(plain, self._ids([lead + c for c in plain]), strict=True))
-        if len(plain) < len(new):
-            memo.update((c, None) for c in set(new).difference(plain))
+        if led and len(plain) < len(whole):
+            for c in {c for c, _ in whole}.difference(plain):
+                after = c[1:]  # of a line break; what follows has no space in front
+                cut = c[:1] == "\n" and after and not after[0].isspace() and not after[-1].isspace()
+                memo[c] = self._tail("\n") + self._alone(after) if cut else False
+
+    def _alone(self, chunk: str) -> bytes:
+        if (found := self.first.get(chunk)) is None:
+            core = chunk.rstrip(self.TAIL)
+            if len(self.first) >= self.capacity:
+                self.first.clear()
+            found = self._ids([core])[0] + self._tail(chunk[len(core) :]) if core.isalpha() else self._ids([chunk])[0]
+            self.first[chunk] = found
+        return found
+
+    def _tail(self, tail: str) -> bytes:
+        if (found := self.first.get(tail)) is None:
+            found = self.first[tail] = self._ids([tail])[0]
+        return found
+
+    def _looked_up(self, memo: Memo, split: list[list[str]]) -> list[list[bytes | bool]]:
+        """memo's entries for the chunks of each text; what it lacks is learned first."""
+        memo.asked = []
+        found = [list(map(memo.__getitem__, parts)) for parts in split]
+        if memo.asked:
+            self._learn(memo, list(set(memo.asked)))
+            for i, x in enumerate(found):
+                if None in x:
+                    found[i] = [memo[c] if y is None else y for c, y in zip(split[i], x, strict=True)]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            if new := set().union(*split).difference(self.first):
-                self._learn(self.first, set().union(*split), "")
-            return [b"".join(map(self.first.__getitem__, parts)) for parts in split]
-        split = [t.split(" ") for t in texts]
-        heads, tails = {p[0] for p in split}, set().union(*(p[1:] for p in split))
-        if not heads <= self.first.keys():
-            self._learn(self.first, heads, "")
-        if not tails <= self.later.keys():
-            self._learn(self.later, tails, " ")
+            return [b"".join(x) for x in self._looked_up(self.first, [t.replace("\n", " ").split(" ") for t in texts])]
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [p.pop(0) for p in split]
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            found = list(map(self.later.__getitem__, parts[1:]))
-            whole = None in found or parts[0] != "" and parts[0][-1].isspace() and len(parts) > 1
-            out.append(self._ids([text])[0] if whole else self.first[parts[0]] + b"".join(found))
+        for text, head, parts, found in zip(texts, heads, split, self._looked_up(self.later, split), strict=True):
+            whole = False in found or parts and (head[-1:].isspace() or not head and parts[0][:1] == "\n")
+            out.append(self._ids([text])[0] if whole else self._alone(head) + b"".join(found))
         return out
 
 
