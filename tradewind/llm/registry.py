@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archive, dedup, langid, packing, quality, sharding
+from tradewind.llm import archive, bpe, dedup, langid, packing, quality, sharding, tokenfiles
 from tradewind.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.written_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -43,7 +47,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op6_exact_dedup, op9_sharding)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": rf"""
