@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tradewind.llm.members import member_test
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +51,24 @@ def drop_staged(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def text_hash(text: Column) -> Column:
+    """With its id, a row's name across two reads of a table."""
+    return F.xxhash64(text.cast("string"))
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that decided (doc_id, text_hash, kept) keeps; of repeated rows with one kept, one.
+
+    Rows whose id has none that go are passed on as they are read; only the others meet decided in a join.
+    """
+    maybe = member_test(decided.where("NOT kept"), "doc_id")
+    key = F.col(id_col).cast("long")
+    stay = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rest = docs.where(maybe(key)).withColumns({"_own": key, "_h": text_hash(F.col(text_col))})
+    rest = rest.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi").dropDuplicates(["_own", "_h"])
+    return docs.where(~maybe(key)).unionByName(rest.drop("_own", "_h"))
+
+
 def numbered(df: DataFrame, order: Sequence[str], label: str, weight: Column | None = None) -> DataFrame:
     """df staged in ascending order with row_number (from 0) and weight_before, the sum of weight over all earlier rows.
 

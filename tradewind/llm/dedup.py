@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import scratch_path, staged
+from tradewind.llm.common import scratch_path, staged, text_hash
 from tradewind.llm.members import member_test
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,36 +68,37 @@ def run_stream(arrivals: DataFrame, files_per_batch: int = 1000) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """Every row's group: doc_id, row, digest, keep_id, group_size, kept, and the columns of docs but the text.
+    """Every row's group: doc_id, text_hash, digest, keep_id, group_size, kept.
 
-    Rows are equal when their normalised texts are, bytes by bytes: a digest only finds the hits, and each hit is
+    Rows are equal when their normalised texts are, byte by byte: a digest only finds the hits, and each hit is
     compared with its holder in full. The row with the largest id stays (null ids lose; of repeated rows one stays).
     Digests whose texts turn out to differ are grouped anew by the text itself, so even a weak digest gives right groups.
     """
-    carried = [c for c in docs.columns if c not in (id_col, text_col)]
     content = normalised(F.col(text_col))
-    arrivals = staged(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), F.input_file_name().alias("locator"), *(F.col(c).alias(f"_c_{c}") for c in carried)).withColumn("row", F.monotonically_increasing_id()), "dedup-arrivals"
-    )
-    state = staged(run_stream(arrivals.select("digest", "doc_id", "row", "locator")), "dedup-entries")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), text_hash(F.col(text_col)).alias("text_hash"), F.input_file_name().alias("locator"))
+    arrivals = staged(narrow.withColumn("row", F.monotonically_increasing_id()), "dedup-arrivals")
+    state = staged(run_stream(arrivals), "dedup-entries")
 
     hits = state.where("group_size > 1")
     maybe = member_test(hits, "digest")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
     texts = texts.where(maybe(F.col("digest")))
     held = hits.select("digest", F.col("holder.doc_id").alias("held_id"))
-    holders = texts.join(held, (texts.digest == held.digest) & texts.doc_id.eqNullSafe(held.held_id)).groupBy(held.digest).agg(F.max("content").alias("held_content"))
+    holders = texts.join(held, "digest").where(F.col("doc_id").eqNullSafe(F.col("held_id"))).groupBy("digest").agg(F.max("content").alias("held_content"))
     differing = staged(texts.join(holders, "digest").where("content <> held_content").select("digest").distinct(), "dedup-differing")
 
     entries = arrivals.join(state, "digest").withColumns({"keep_id": F.col("holder.doc_id"), "kept": F.col("row") == F.col("holder.row")})
+    wanted = ["doc_id", "text_hash", "digest", "keep_id", "group_size", "kept"]
+    entries = entries.select(*wanted)
     if not differing.isEmpty():  # a digest of different texts
-        entries = entries.join(differing, "digest", "left_anti").unionByName(_regrouped(docs, arrivals, differing, id_col, content, digest), allowMissingColumns=True)
-    return entries.select("doc_id", "row", "digest", "keep_id", "group_size", "kept", *(F.col(f"_c_{c}").alias(c) for c in carried))
+        entries = entries.join(differing, "digest", "left_anti").unionByName(_regrouped(docs, differing, id_col, text_col, digest).select(*wanted))
+    return entries
 
 
-def _regrouped(docs: DataFrame, arrivals: DataFrame, differing: DataFrame, id_col: str, content: Column, digest) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content")).withColumn("row", F.monotonically_increasing_id())
+def _regrouped(docs: DataFrame, differing: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    content = normalised(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), content.alias("content"))
     texts = texts.withColumn("digest", digest(F.col("content"))).join(differing, "digest", "left_semi")
+    texts = staged(texts.withColumn("row", F.monotonically_increasing_id()), "dedup-texts")
     found = texts.groupBy("content").agg(F.max(F.struct("doc_id", "row")).alias("h"), F.count("*").alias("group_size"))
-    by_row = texts.join(found, "content").select("row", F.col("h.doc_id").alias("keep_id"), (F.col("row") == F.col("h.row")).alias("kept"), "group_size")
-    return arrivals.join(by_row, "row")
+    return texts.join(found, "content").withColumns({"keep_id": F.col("h.doc_id"), "kept": F.col("row") == F.col("h.row")})

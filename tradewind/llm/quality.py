@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,24 +95,23 @@ STRICT = Policy("strict", 1, tuple(RULES))
 LENIENT = Policy("lenient", 1, ("few_words", "repeated_words", "word_length"))
 
 
+def _measured(text: Column) -> Column:
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES))
+
+    return run(text)
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: id, measurements and fail_bits; the columns in keep are carried along.
 
     The words are counted in the tasks that read the texts and nothing is shuffled. Null and empty texts have
     zero measurements (and so fail few_words); repeated rows and null ids get rows of their own.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    carried = [f for f in source.schema if f.name.startswith("_keep_")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(MEASURES))), *(batch.column(i) for i in range(2, batch.num_columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", *MEASURES, *(f.name for f in carried)])
-
-    schema = ", ".join([f"_id {source.schema['_id'].dataType.simpleString()}", *(f"{m} long" for m in MEASURES), *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES.values()]
-    measured = source.mapInArrow(run, schema)
+    measured = docs.select(F.col(id_col).alias("_id"), _measured(F.col(text_col).cast("string")).alias("_m"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    measured = measured.select("_id", *(F.col(f"_m.{m}") for m in MEASURES), *(f"_keep_{c}" for c in keep))
     return measured.select(F.col("_id").alias(id_col), *MEASURES, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fail_bits"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
