@@ -1,14 +1,18 @@
-"""Exact deduplication as a stateful stream: keyed state on disk that never expires, and a full comparison on hits."""
+"""Exact deduplication as a stateful stream: keyed state on disk that never expires, and a full comparison on hits.
+
+The state is a versioned table in the shared folder rather than Spark's RocksDB store: that one keeps an open
+database with a preallocated 4 MB manifest for every shuffle partition, however few keys there are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import scratch_path, staged, text_hash
 from tradewind.llm.members import member_test
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY = "digest binary, holder struct<doc_id: bigint, `row`: bigint, locator: string>, group_size bigint"
 #: Only these letters are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,49 +26,63 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content.cast("binary"), 256))
 
 
-def seen(stream: DataFrame) -> DataFrame:
-    """The state of a stream of arrivals (digest, doc_id, row, locator): one entry for each digest, without expiry.
+def folded(arrivals: DataFrame) -> DataFrame:
+    """Arrivals (digest, doc_id, row, locator) as one entry for each digest.
 
     Copies are counted and reduced to the holder (the largest doc_id, then row) before the shuffle, so a digest
-    with very many copies reaches its state as one row for each task.
+    with very many copies is one row for each task.
     """
-    return stream.groupBy("digest").agg(F.max(F.struct("doc_id", "row", "locator")).alias("holder"), F.count("*").alias("group_size"))
+    return arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "row", "locator")).alias("holder"), F.count("*").alias("group_size"))
 
 
-def run_stream(arrivals: DataFrame, files_per_batch: int = 1000) -> DataFrame:
-    """Streams a staged table of arrivals through the keyed state and returns its final entries.
+class KeyedState:
+    """Entries by digest on the shared disk, kept for good: each micro-batch adds a version of those it changed.
 
-    The state lies in RocksDB, with its checkpoints in the shared folder, so a lost executor's part is reopened
-    elsewhere. Every micro-batch writes the entries that it changed under its own number; an entry's latest
-    version is the one with most members.
+    A version is a Parquet folder named by its batch, so a batch that is run again replaces what it wrote before.
+    After every `compact` versions they are written anew as one. Nothing is held in executors between batches.
     """
+
+    def __init__(self, spark: SparkSession, path: str, compact: int = 8):
+        self.spark, self.path, self.compact = spark, path, compact
+        self.versions: list[str] = []
+
+    def entries(self) -> DataFrame:
+        """The latest entry of each digest: the one with most members."""
+        found = self.spark.read.schema(ENTRY).parquet(*self.versions)
+        if len(self.versions) == 1:
+            return found
+        return found.groupBy("digest").agg(F.max(F.struct("group_size", "holder")).alias("v")).select("digest", "v.holder", "v.group_size")
+
+    def update(self, arrivals: DataFrame, number: int) -> None:
+        """Folds the arrivals of micro-batch `number` and merges them with the entries that they hit."""
+        new = folded(arrivals)
+        target = f"{self.path}/batch-{number}"
+        self.versions = [v for v in self.versions if v != target]
+        if self.versions:
+            new = staged(new, "dedup-batch")
+            maybe = member_test(new, "digest")
+            hit = self.entries().where(maybe(F.col("digest"))).select("digest", F.col("holder").alias("before"), F.col("group_size").alias("size_before"))
+            holder = F.when(F.col("before") > F.col("holder"), F.col("before")).otherwise(F.col("holder"))
+            new = new.join(hit, "digest", "left").select("digest", holder.alias("holder"), (F.col("group_size") + F.coalesce("size_before", F.lit(0))).alias("group_size"))
+        new.write.mode("overwrite").option("compression", "zstd").parquet(target)
+        self.versions.append(target)
+        if len(self.versions) > self.compact:
+            whole = f"{self.path}/until-{number}"
+            self.entries().write.mode("overwrite").option("compression", "zstd").parquet(whole)
+            self.versions = [whole]
+
+
+def run_stream(arrivals: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
+    """Streams a staged table of arrivals through the keyed state, in micro-batches, and returns its entries."""
     spark = arrivals.sparkSession
-    changed, state = scratch_path(spark, "dedup-changed"), scratch_path(spark, "dedup-state")
-    path = arrivals.inputFiles()
-    if not path:
-        return seen(arrivals)
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path[0].rsplit("/", 1)[0])
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        query = (
-            seen(stream)
-            .writeStream.outputMode("update")
-            .option("checkpointLocation", state)
-            .trigger(availableNow=True)
-            .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{changed}/batch={number}"))
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
-    versions = spark.read.parquet(changed)
-    latest = F.max(F.struct("group_size", "holder")).alias("v")
-    return versions.groupBy("digest").agg(latest).select("digest", "v.holder", "v.group_size")
+    files = arrivals.inputFiles()
+    if not files:
+        return folded(arrivals)
+    state = KeyedState(spark, scratch_path(spark, "dedup-state"))
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files[0].rsplit("/", 1)[0])
+    query = stream.writeStream.option("checkpointLocation", scratch_path(spark, "dedup-progress")).trigger(availableNow=True).foreachBatch(state.update).start()
+    query.awaitTermination()
+    return state.entries() if state.versions else folded(arrivals)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
@@ -77,7 +95,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     content = normalised(F.col(text_col))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), text_hash(F.col(text_col)).alias("text_hash"), F.input_file_name().alias("locator"))
     arrivals = staged(narrow.withColumn("row", F.monotonically_increasing_id()), "dedup-arrivals")
-    state = staged(run_stream(arrivals), "dedup-entries")
+    state = run_stream(arrivals)
 
     hits = state.where("group_size > 1")
     maybe = member_test(hits, "digest")
