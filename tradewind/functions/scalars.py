@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +71,13 @@ def clamp(value: int, low: int, high: int) -> int:
 
 
 def number_text(value: Column) -> Column:
-    """A number with at most six significant digits and no trailing zeros, as in %g, from 0.0001 to under a million."""
-    v = value.cast("double")
-    digits = F.when(F.abs(v) >= 1, F.floor(F.log10(F.abs(v))) + 1).otherwise(F.lit(1)).cast("int")
-    shown = F.format_string("%.5f", v)
-    for n in range(1, 7):
-        shown = F.when(digits == n, F.format_string(f"%.{6 - n}f", v)).otherwise(shown)
-    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A number with six significant digits at most, as C's %g; Spark's own formatting rounds halves another way."""
+
+    @F.pandas_udf("string")
+    def run(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda x: None if pd.isna(x) else f"{x:g}")
+
+    return run(value.cast("double"))
 
 
 def intent(text: Column, order_hints: tuple[str, ...], product_hints: tuple[str, ...]) -> Column:

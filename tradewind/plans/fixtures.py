@@ -98,6 +98,8 @@ def duck(sql: str) -> str:
     used = [t for t in texts if re.search(rf"\bv_{t}\b", sql)]
     with_ = ", ".join(f"v_{t} AS ({texts[t]})" for t in used)
     body = sql.strip()
+    if with_ and body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {with_}, {body[15:]}"
     if with_ and body[:5].upper() == "WITH ":
         return f"WITH {with_}, {body[5:]}"
     return f"WITH {with_} {body}" if with_ else body
