@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.memos import claim
 from tradewind.llm.tokenization import Memo
 
 #: Unicode's white space, as a character class.
@@ -167,6 +168,7 @@ class WordBpe:
 
     def encode(self, text: str) -> array:
         """The ids of a text. White space parts words whatever follows, so chunks are remembered, a bounded number."""
+        claim(self, self.memo.clear)
         parts = text.replace("\n", " ").split(" ")
         memo = self.memo
         memo.asked = []

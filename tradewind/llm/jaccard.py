@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import drop_staged, staged, text_hash
 from tradewind.llm.components import components
 from tradewind.llm.members import member_test
+from tradewind.llm.memos import claim
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -48,7 +49,7 @@ class _WordHashes(dict):
     """Words to 64-bit hashes, a bounded number of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
@@ -116,6 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, how: Settings) -> Data
     """Staged: doc_id, text_hash, row (a number of its own), digest of the shingle set, n (its size), bands (the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_WORDS, _WORDS.clear)
         odd = _odd_numbers(HASHES)
         for batch in batches:
             digests, sizes, bands = [], [], []
@@ -315,6 +317,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     maybe = member_test(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_WORDS, _WORDS.clear)
         for batch in batches:
             raw = [shingles(t, how.words).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["digest", "shingles"])
@@ -337,7 +340,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     """
     how = how or Settings()
     spark = docs.sparkSession
-    own = sketches(docs, id_col, text_col, how)
+    with _small_batches(spark, 2000):
+        own = sketches(docs, id_col, text_col, how)
     classes = staged(
         own.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("holder"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "jaccard-classes"
     )

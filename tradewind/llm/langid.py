@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.memos import claim
+
 #: n-grams of one to three characters, hashed to this many features.
 BITS = 15
 DIM = 1 << BITS
@@ -76,6 +78,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts and in how many of them each feature occurs, over every row of a one-column table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         df, n = np.zeros(DIM, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -195,6 +198,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
+        claim("langid")
         m = shared.value
         out = []
         for text in texts:

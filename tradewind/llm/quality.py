@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.memos import claim
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -98,6 +100,7 @@ LENIENT = Policy("lenient", 1, ("few_words", "repeated_words", "word_length"))
 def _measured(text: Column) -> Column:
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def run(texts: pd.Series) -> pd.DataFrame:
+        claim("quality")
         return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES))
 
     return run(text)

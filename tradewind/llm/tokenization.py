@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from tradewind.llm.memos import claim
+
 _LOADED: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
@@ -36,7 +38,7 @@ class ChunkTokenizer:
     TAIL = ".,;:!?"
     GROUP = 1000
 
-    def __init__(self, path: str, spaced: bool, capacity: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, capacity: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,8 +46,8 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced, self.capacity = spaced, capacity
-        self.first: Memo = Memo()  # chunks as they are
-        self.later: Memo = Memo()  # spaced: chunks after a space or line break; False: not to be cut there
+        self.first: dict[str, bytes] = {}  # chunks as they are
+        self.later: dict[str, bytes | bool] = {}  # spaced: chunks after a space or line break; False: not to be cut there
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
@@ -108,18 +110,27 @@ class ChunkTokenizer:
             found = self.first[tail] = self._ids([tail])[0]
         return found
 
-    def _looked_up(self, memo: Memo, split: list[list[str]]) -> list[list[bytes | bool]]:
+    def _looked_up(self, memo: dict, split: list[list[str]]) -> list[list[bytes | bool]]:
         """memo's entries for the chunks of each text; what it lacks is learned first."""
-        memo.asked = []
-        found = [list(map(memo.__getitem__, parts)) for parts in split]
-        if memo.asked:
-            self._learn(memo, list(set(memo.asked)))
-            for i, x in enumerate(found):
-                if None in x:
-                    found[i] = [memo[c] if y is None else y for c, y in zip(split[i], x, strict=True)]
+        found = [list(map(memo.get, parts)) for parts in split]
+        gaps = []
+        for parts, x in zip(split, found, strict=True):
+            at = -1
+            for _ in range(x.count(None)):
+                at = x.index(None, at + 1)
+                gaps.append((x, at, parts[at]))
+        if gaps:
+            self._learn(memo, list({c for *_, c in gaps}))
+            for x, at, c in gaps:
+                x[at] = memo[c]
         return found
 
+    def release(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        claim(self, self.release)
         if not self.spaced:
             return [b"".join(x) for x in self._looked_up(self.first, [t.replace("\n", " ").split(" ") for t in texts])]
         split = [t.replace("\n", " \n").split(" ") for t in texts]
