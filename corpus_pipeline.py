@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token windows."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    """The pieces of the token windows. Workers that ran the other stages have less memory to spare for the memo."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), memo=150_000)
 
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", pack)]

@@ -49,7 +49,7 @@ class _WordHashes(dict):
     """Words to 64-bit hashes, a bounded number of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found

@@ -12,26 +12,36 @@ MOST_BITS = 28
 BLOCK = 32_768  # bits of one bitmap of Spark's bitmap functions
 
 
-def member_test(keys: DataFrame, key: str, bits_per_key: int = 16):
+def bits_for(n: int, bits_per_key: int = 16) -> int:
+    """The logarithm of a bitmap's size for n keys."""
+    return min(MOST_BITS, max(15, (max(1, n) * bits_per_key - 1).bit_length()))
+
+
+def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits with those set that the column p of places names."""
+    maps = places.groupBy(F.floor(F.col("p") / BLOCK).alias("b")).agg(F.bitmap_construct_agg(F.pmod(F.col("p"), F.lit(BLOCK))).alias("m"))
+    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in maps.toLocalIterator():  # 2^bits / BLOCK rows at most
+        bitmap[r.b * BLOCK // 8 : (r.b + 1) * BLOCK // 8] = np.frombuffer(r.m, dtype=np.uint8)
+    return bitmap
+
+
+def is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def member_test(keys: DataFrame, key: str):
     """A function of a column: false only where no row of keys has that key; a few others pass too.
 
     Only the rows that pass need to meet keys in a join, so this never changes a join's result. Broadcast: the
     bitmap, 32 MB at most however many keys there are.
     """
-    spark = keys.sparkSession
-    n = max(1, keys.count())
-    bits = min(MOST_BITS, max(15, (n * bits_per_key - 1).bit_length()))
+    bits = bits_for(keys.count())
     place = lambda c: F.pmod(F.xxhash64(F.lit("member"), c), F.lit(1 << bits))
-    placed = keys.select(place(F.col(key)).alias("p"))
-    maps = placed.groupBy(F.floor(F.col("p") / BLOCK).alias("b")).agg(F.bitmap_construct_agg(F.pmod(F.col("p"), F.lit(BLOCK))).alias("m"))
-    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in maps.toLocalIterator():  # 2^bits / BLOCK rows at most
-        bitmap[r.b * BLOCK // 8 : (r.b + 1) * BLOCK // 8] = np.frombuffer(r.m, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(place(F.col(key)).alias("p")), bits))
 
     @F.pandas_udf("boolean")
     def test(p: pd.Series) -> pd.Series:
-        at = p.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(is_set(shared.value, p.to_numpy()))
 
     return lambda c: test(place(c))

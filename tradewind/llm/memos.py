@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _HELD: list[tuple[object, Callable[[], None]]] = []
 
 
@@ -15,4 +18,7 @@ def claim(owner: object, release: Callable[[], None] = lambda: None) -> None:
     if _HELD:
         _HELD.pop()[1]()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc gives freed memory back only when asked
+            trim(0)
     _HELD.append((owner, release))

@@ -74,7 +74,7 @@ def windows_within(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
         k += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, spaced: bool = True, eos_id: int = 1, capacity: int = 2048, smallest_cut: int = 128, group_pieces: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, spaced: bool = True, eos_id: int = 1, capacity: int = 2048, smallest_cut: int = 128, group_pieces: int = 1024, memo: int = 600_000) -> DataFrame:
     """One row for each piece of each document, with its sequence and its place there.
 
     A document's ids end with eos_id; a null text counts as empty, so every row of docs gives at least one piece.
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = chunk_tokenizer(tokenizer_path, spaced)
+        tokenizer = chunk_tokenizer(tokenizer_path, spaced, memo)
         ctx = TaskContext.get()
         sequence = (ctx.partitionId() if ctx else 0) << 32
         end = int(eos_id).to_bytes(4, "little")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archive, bpe, dedup, jaccard, langid, packing, quality, sharding, tokenfiles
+from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, tokenfiles
 from tradewind.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).drop("text_hash", "kept")
 
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op8_jaccard_join, op9_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": rf"""

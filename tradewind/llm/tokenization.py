@@ -38,7 +38,7 @@ class ChunkTokenizer:
     TAIL = ".,;:!?"
     GROUP = 1000
 
-    def __init__(self, path: str, spaced: bool, capacity: int = 700_000):
+    def __init__(self, path: str, spaced: bool, capacity: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +99,7 @@ class ChunkTokenizer:
     def _alone(self, chunk: str) -> bytes:
         if (found := self.first.get(chunk)) is None:
             core = chunk.rstrip(self.TAIL)
-            if len(self.first) >= self.capacity:
+            if len(self.first) >= self.capacity // 8:
                 self.first.clear()
             found = self._ids([core])[0] + self._tail(chunk[len(core) :]) if core.isalpha() else self._ids([chunk])[0]
             self.first[chunk] = found
@@ -142,10 +142,11 @@ class ChunkTokenizer:
         return out
 
 
-def chunk_tokenizer(path: str, spaced: bool) -> ChunkTokenizer:
-    """One for each worker process and file."""
+def chunk_tokenizer(path: str, spaced: bool, memo: int = 600_000) -> ChunkTokenizer:
+    """One for each worker process and file; its memo holds at most so many chunks (some 250 bytes each)."""
     if (path, spaced) not in _LOADED:
         _LOADED[path, spaced] = ChunkTokenizer(path, spaced)
+    _LOADED[path, spaced].capacity = memo
     return _LOADED[path, spaced]
 
 
