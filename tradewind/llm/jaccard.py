@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm.common import drop_staged, staged, text_hash
 from tradewind.llm.components import components
-from tradewind.llm.members import member_test
+from tradewind.llm.members import is_set, member_test
 from tradewind.llm.memos import claim
 
 BANDS, ROWS = 24, 4
@@ -315,14 +315,16 @@ def _links(rows: DataFrame, how: Settings) -> DataFrame:
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, how: Settings) -> DataFrame:
     """digest and shingles (bytes of the sorted hashes) of at least the wanted texts (doc_id, digest)."""
     maybe = member_test(wanted, "doc_id")
+    bitmap = maybe.bitmap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_WORDS, _WORDS.clear)
         for batch in batches:
-            raw = [shingles(t, how.words).tobytes() for t in batch.column(0).to_pylist()]
+            texts = batch.column(1).filter(pa.array(is_set(bitmap.value, batch.column(0).to_numpy())))
+            raw = [shingles(t, how.words).tobytes() for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["digest", "shingles"])
 
-    source = docs.where(maybe(F.col(id_col).cast("long"))).select(F.col(text_col).cast("string").alias("t"))
+    source = docs.select(maybe.place(F.col(id_col).cast("long")).alias("p"), F.col(text_col).cast("string").alias("t"))
     return source.mapInArrow(run, "digest binary, shingles binary")
 
 

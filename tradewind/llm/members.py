@@ -30,18 +30,31 @@ def is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def member_test(keys: DataFrame, key: str):
-    """A function of a column: false only where no row of keys has that key; a few others pass too.
+class MemberTest:
+    """Of a column: false only where no key is equal to it; a few others pass too.
 
-    Only the rows that pass need to meet keys in a join, so this never changes a join's result. Broadcast: the
-    bitmap, 32 MB at most however many keys there are.
+    As a column it costs a Python worker of its own; a Python node that reads the texts anyway takes place() as a
+    column instead and looks it up with is_set(bitmap.value, ...).
     """
-    bits = bits_for(keys.count())
-    place = lambda c: F.pmod(F.xxhash64(F.lit("member"), c), F.lit(1 << bits))
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(place(F.col(key)).alias("p")), bits))
 
-    @F.pandas_udf("boolean")
-    def test(p: pd.Series) -> pd.Series:
-        return pd.Series(is_set(shared.value, p.to_numpy()))
+    def __init__(self, keys: DataFrame, key: str):
+        self.bits = bits_for(keys.count())
+        self.bitmap = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(self.place(F.col(key)).alias("p")), self.bits))
 
-    return lambda c: test(place(c))
+    def place(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("member"), column), F.lit(1 << self.bits))
+
+    def __call__(self, column: Column) -> Column:
+        shared = self.bitmap
+
+        @F.pandas_udf("boolean")
+        def test(p: pd.Series) -> pd.Series:
+            return pd.Series(is_set(shared.value, p.to_numpy()))
+
+        return test(self.place(column))
+
+
+def member_test(keys: DataFrame, key: str) -> MemberTest:
+    """Only the rows that pass need to meet keys in a join, so this never changes a join's result. Broadcast: the
+    bitmap, 32 MB at most however many keys there are."""
+    return MemberTest(keys, key)
