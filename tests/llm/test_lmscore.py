@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tradewind.llm import lmscore
+from tradewind.llm import lmscore, registry
 
 
 def plain(rows, least=2, back=0.4):
@@ -39,3 +39,11 @@ def test_scores(spark, monkeypatch, common):
 
 def test_empty(spark):
     assert lmscore.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_backs_off_at_count_zero_only(spark, tmp_path):
+    rows = [(1, "a b c a b"), (2, "a b once seen"), (3, "Alone"), (4, None), (4, None), (5, "b a c c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op7_lm_scoring(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.doc_id, r.n_words, r.n_seen_bigrams, r.log_score) for r in got) == plain(rows, least=1)
+    assert {r.doc_id: r.n_seen_bigrams for r in got} == {1: 4, 2: 3, 3: 0, 4: 0, 5: 3}

@@ -2,6 +2,7 @@
 
 The model has orders 2 and 1. For each word w after v, S = c(v w) / c(v) where the bigram's count reaches least_count,
 else backoff * c(w) / N. A document's first word has no bigram and backs off. Counts are those of all documents.
+The registered query sets least_count = 1, as stupid backoff has it: whatever bigram occurs is scored by its count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import staged
+from tradewind.llm.common import drop_staged, staged
 from tradewind.llm.members import bitmap_of, bits_for, is_set
 from tradewind.llm.memos import claim
 
@@ -116,8 +117,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, le
     """One row for each row of docs: doc_id, n_words, n_seen_bigrams, log_score (the sum of log S) and mean_log_score.
 
     Bigrams that no row of the count table can belong to are known from a bounded bitmap and back off where they
-    are read; the others are joined with the table. Word counts come from a bounded broadcast of the commonest, the
-    rest by a join on the word. What is shuffled by document are sums. Texts without words, null or empty, score 0
+    are read; the others are joined with the table. With least_count 1 the table has them all and there is no bitmap.
+    Word counts come from a bounded broadcast of the commonest, the rest by a join on the word. What is shuffled by
+    document are sums. Texts without words, null or empty, score 0
     with a null mean; repeated rows and ids get rows of their own.
     """
     spark = docs.sparkSession
@@ -128,8 +130,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, le
     top = word_table.orderBy(F.desc("c"), "gram").limit(COMMON).toPandas().sort_values("gram")  # COMMON rows at most
     common = spark.sparkContext.broadcast((top["gram"].to_numpy(np.int64), np.log(top["c"].to_numpy(np.float64))))
     log_back = math.log(backoff) - math.log(total)
-    bits = bits_for(bigram_table.count())
-    bitmap = spark.sparkContext.broadcast(bitmap_of(bigram_table.select(_place(F.col("gram"), bits).alias("p")), bits))
+    bits = bits_for(bigram_table.count()) if least_count > 1 else 0
+    bitmap = least_count > 1 and spark.sparkContext.broadcast(bitmap_of(bigram_table.select(_place(F.col("gram"), bits).alias("p")), bits))
 
     def exploded(batches: Iterator[pa.RecordBatch], maybe: bool) -> Iterator[tuple]:
         """Each text's row and words, and the bigrams that may (or cannot) be in the table: gram, second word, count."""
@@ -138,7 +140,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, le
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words_of(t)
                 g, at, c = np.unique(bigrams_of(w), return_index=True, return_counts=True)
-                hit = is_set(bitmap.value, (g >> np.uint64(64 - bits)).view(np.int64))
+                hit = is_set(bitmap.value, (g >> np.uint64(64 - bits)).view(np.int64)) if bitmap else np.ones(len(g), dtype=bool)
                 pick = hit if maybe else ~hit
                 yield row, w.view(np.int64), g[pick].view(np.int64), w[1:][at[pick]].view(np.int64), c[pick]
 
@@ -188,6 +190,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, le
     table = bigram_table.withColumnRenamed("c", "c2")
     by_table = own.mapInArrow(askers, "row long, gram long, last long, n long").join(table, "gram", "left").select("row", "gram", "last", "n", "c2").mapInArrow(settled, SUMS)
     parts = staged(own.mapInArrow(backed_off, SUMS).unionByName(by_table), "lm-parts")
+    drop_staged(bigram_table)
     rare = parts.where("weight <> 0").groupBy("row", "word").agg(F.sum("weight").alias("weight")).join(word_table.withColumnRenamed("gram", "word"), "word")
     zero = F.lit(0).cast("long")
     sums = parts.where("weight = 0").select("row", "known", "n_seen", "n_words", "copies").unionByName(rare.select("row", (F.col("weight") * F.log("c")).alias("known"), zero.alias("n_seen"), zero.alias("n_words"), zero.alias("copies")))

@@ -44,7 +44,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(table(spark, sf_dir, "documents"))
+    return lmscore.score(table(spark, sf_dir, "documents"), least_count=1)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
