@@ -143,6 +143,24 @@ def test_state_batch_again(spark, tmp_path):
     assert state.entries().first().group_size == 2
 
 
+def test_groups_meet_their_state(spark, monkeypatch):
+    before = []
+    update = dedup.KeyedState.update
+    monkeypatch.setattr(dedup.KeyedState, "update", lambda self, arrivals, number: (before.append(len(self.versions(number))), update(self, arrivals, number))[1])
+    rows = [(i, f"text {i % 50}") for i in range(200)]
+    got = dedup.groups(table(spark, rows).repartition(40)).collect()
+    assert before[:3] == [0, 1, 2] and len(got) == 200
+    assert all(r.group_size == 4 and r.keep_id == 150 + r.doc_id % 50 for r in got) and sum(r.kept for r in got) == 50
+
+
+def test_state_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(b"d", 1, 1, "f")], "digest binary, doc_id long, row long, locator string")
+    for i in (0, 1, 2, 3, 3, 4):  # number 3 is run again after it was compacted
+        dedup.KeyedState(spark, f"file://{tmp_path}/s", compact=3).update(rows, i)
+    state = dedup.KeyedState(spark, f"file://{tmp_path}/s", compact=3)
+    assert state.entries().first().group_size == 5 and [v.rsplit("/", 1)[1] for v in state.versions()] == ["until-3", "batch-4"]
+
+
 def test_member_test_never_misses(spark):
     keys = spark.range(0, 2000, 7).withColumn("id", F.when(F.col("id") != 0, F.col("id")))
     maybe = members.member_test(keys, "id")

@@ -39,17 +39,37 @@ class KeyedState:
     """Entries by digest on the shared disk, kept for good: each micro-batch adds a version of those it changed.
 
     A version is a Parquet folder named by its batch, so a batch that is run again replaces what it wrote before.
-    After every `compact` versions they are written anew as one. Nothing is held in executors between batches.
+    After every `compact` versions they are written anew as one. Which versions count is read from the folder, so a
+    state opened on the same path goes on where another ended. Nothing is held in executors or in the driver between
+    batches.
     """
 
     def __init__(self, spark: SparkSession, path: str, compact: int = 8):
         self.spark, self.path, self.compact = spark, path, compact
-        self.versions: list[str] = []
 
-    def entries(self) -> DataFrame:
+    def _finished(self) -> dict[str, list[int]]:
+        """The numbers of the finished versions in the folder, by kind."""
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = jpath(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found: dict[str, list[int]] = {"batch": [], "until": []}
+        for status in files.listStatus(jpath(self.path)) if files.exists(jpath(self.path)) else ():
+            kind, _, number = status.getPath().getName().partition("-")
+            if kind in found and files.exists(jpath(f"{self.path}/{kind}-{number}/_SUCCESS")):
+                found[kind].append(int(number))
+        return found
+
+    def versions(self, before: float = float("inf")) -> list[str]:
+        """The versions that make up the state before a micro-batch: the last whole one and the batches after it."""
+        found = self._finished()
+        whole = max((n for n in found["until"] if n < before), default=None)
+        batches = sorted(n for n in found["batch"] if n < before and (whole is None or n > whole))
+        return [f"{self.path}/until-{whole}"] * (whole is not None) + [f"{self.path}/batch-{n}" for n in batches]
+
+    def entries(self, versions: list[str] | None = None) -> DataFrame:
         """The latest entry of each digest: the one with most members."""
-        found = self.spark.read.schema(ENTRY).parquet(*self.versions)
-        if len(self.versions) == 1:
+        versions = versions or self.versions()
+        found = self.spark.read.schema(ENTRY).parquet(*versions)
+        if len(versions) == 1:
             return found
         return found.groupBy("digest").agg(F.max(F.struct("group_size", "holder")).alias("v")).select("digest", "v.holder", "v.group_size")
 
@@ -57,22 +77,25 @@ class KeyedState:
         """Folds the arrivals of micro-batch `number` and merges them with the entries that they hit."""
         new = folded(arrivals)
         target = f"{self.path}/batch-{number}"
-        self.versions = [v for v in self.versions if v != target]
-        if self.versions:
+        versions = self.versions(before=number)
+        if versions:
             new = staged(new, "dedup-batch")
             maybe = member_test(new, "digest")
-            hit = self.entries().where(maybe(F.col("digest"))).select("digest", F.col("holder").alias("before"), F.col("group_size").alias("size_before"))
+            hit = self.entries(versions).where(maybe(F.col("digest"))).select("digest", F.col("holder").alias("before"), F.col("group_size").alias("size_before"))
             holder = F.when(F.col("before") > F.col("holder"), F.col("before")).otherwise(F.col("holder"))
             new = new.join(hit, "digest", "left").select("digest", holder.alias("holder"), (F.col("group_size") + F.coalesce("size_before", F.lit(0))).alias("group_size"))
         new.write.mode("overwrite").option("compression", "zstd").parquet(target)
-        self.versions.append(target)
-        if len(self.versions) > self.compact:
+        versions.append(target)
+        if len(versions) > self.compact:
             whole = f"{self.path}/until-{number}"
-            self.entries().write.mode("overwrite").option("compression", "zstd").parquet(whole)
-            self.versions = [whole]
+            self.entries(versions).write.mode("overwrite").option("compression", "zstd").parquet(whole)
 
 
-def run_stream(arrivals: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
+#: How many files of the staged arrivals a micro-batch takes.
+FILES_PER_BATCH = 16
+
+
+def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Streams a staged table of arrivals through the keyed state, in micro-batches, and returns its entries."""
     spark = arrivals.sparkSession
     files = arrivals.inputFiles()
@@ -82,7 +105,10 @@ def run_stream(arrivals: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files[0].rsplit("/", 1)[0])
     query = stream.writeStream.option("checkpointLocation", scratch_path(spark, "dedup-progress")).trigger(availableNow=True).foreachBatch(state.update).start()
     query.awaitTermination()
-    return state.entries() if state.versions else folded(arrivals)
+    versions = state.versions()
+    if not versions:
+        return folded(arrivals)
+    return state.entries(versions) if len(versions) == 1 else staged(state.entries(versions), "dedup-entries")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
