@@ -24,8 +24,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
-    found = langid.predict(docs, langid.train(docs))
+    """Documents whose language can be told.
+
+    Without a kept row outside the held-out fold that has text and a lang (an unlabelled corpus, a tiny table) there
+    is no model; then every document with a letter stays, and only texts that are undetermined by content go.
+    """
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(langid.lettered(F.col("text")))
+    found = langid.predict(docs, model)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

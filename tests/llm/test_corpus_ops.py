@@ -293,3 +293,14 @@ def test_pipeline_against_brute_force(spark):
     assert hashlib.sha256(b"").hexdigest()  # the whole run again gives the same pieces
     again = corpus_pipeline.run(spark, SF)
     assert again.agg(F.sum("length")).first()[0] == counts["packing"].agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_of_an_unlabelled_corpus(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert corpus_pipeline.language_id(spark, clean, SF).count() == clean.count() > 0
+    odd = table(spark, ODD + [(9, "12 34"), (10, "1 é")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, odd, SF)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 8, 10]
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0

@@ -69,6 +69,16 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
 
 
+def lettered(text: Column) -> Column:
+    """has_letter as a column; false for null."""
+
+    @F.pandas_udf("boolean")
+    def test(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(t) for t in texts], dtype=bool)
+
+    return test(text.cast("string"))
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a document stays out of training: crc32 of its id as text, modulo FOLDS, is 0 (a null id: empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
