@@ -1,164 +1,142 @@
-"""Token ids from a public tokenizer file, with a bounded memo of text chunks.
+"""Token ids from a public tokenizer file, with a bounded memo of text units.
 
-Both file kinds split a text at plain spaces before any merge, so the ids of a text are the ids of its
-space-separated chunks in a row. Chunks recur, so each worker keeps a bounded memo of them.
+Both file kinds part a text around white space before any merge, so the ids of a text are the ids of its units in a
+row: a stretch without white space, with the one space that leads it (byte-level files), or white space itself.
+Units recur, so each worker keeps a bounded memo of them. Words of letters go to the file's BPE model as they are,
+everything else through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
+import string
 import unicodedata
 from array import array
 
-import numpy as np
-
 from tradewind.llm.memos import claim
 
 _LOADED: dict[tuple[str, bool], ChunkTokenizer] = {}
 
+#: Unicode's white space, as a character class.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A word with the space before it, white space up to the last of a run, and that last one.
+SPACED_UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+PLAIN_UNIT = re.compile(f"[^{WHITE}]+")
+
+
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    printable = [b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r]
+    others = itertools.count(256)
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
 
 class Memo(dict):
-    """Chunk to ids; what is asked for and missing is noted."""
+    """Unit to value, in two generations of at most `half` entries each.
 
-    asked: list[str]
+    What is missing is taken over from the older generation or worked out. When the younger one is full it becomes
+    the older one, so units that keep coming stay and the others go.
+    """
 
-    def __missing__(self, chunk: str) -> None:
-        self.asked.append(chunk)
+    def __init__(self, work_out, half: int):
+        super().__init__()
+        self.work_out, self.half, self.older = work_out, half, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if (found := self.older.get(unit)) is None:
+            found = self.work_out(unit)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = found
+        return found
+
+    def release(self) -> None:
+        self.clear()
+        self.older = {}
 
 
 class ChunkTokenizer:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
     spaced: the pre-tokenizer keeps a space in front of the word it leads (byte-level files); otherwise it drops
-    white space (word files). Texts whose spaces touch other white space go to the tokenizer whole.
+    white space (word files), and texts are composed and lower-cased. Texts with special-token strings go to the
+    tokenizer whole.
     """
 
-    #: What may follow a word of letters in one chunk without changing the word's ids.
-    TAIL = ".,;:!?"
-    GROUP = 1000
+    #: What may follow a word of letters in one unit without changing the word's ids.
+    TAIL = string.punctuation
 
-    def __init__(self, path: str, spaced: bool, capacity: int = 600_000):
+    def __init__(self, path: str, spaced: bool, capacity: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced, self.capacity = spaced, capacity
-        self.first: dict[str, bytes] = {}  # chunks as they are
-        self.later: dict[str, bytes | bool] = {}  # spaced: chunks after a space or line break; False: not to be cut there
-        vocabulary = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
-        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters: many at a time, parted where words begin or end."""
-        out: list[bytes] = []
-        groups = [words[i : i + self.GROUP] for i in range(0, len(words), self.GROUP)]
-        for some, raw in zip(groups, self._ids([" " * self.spaced + " ".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(raw, dtype="<u4")
-            at = np.flatnonzero(self.edge[ids])
-            bounds = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()]
-            if len(bounds) != len(some) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):  # a word fell apart
-                out += self._ids([" " * self.spaced + w for w in some])
-                continue
-            out += [raw[4 * b : 4 * e] for b, e in itertools.pairwise(bounds)]
-        return out
-
-    @staticmethod
-    def _stays_letters(word: str) -> bool:
-        """Composing and lower-casing can turn a letter into a letter and a mark."""
-        return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
-
-    def _learn(self, memo: dict, chunks: list[str]) -> None:
-        if len(memo) + len(chunks) > self.capacity:  # the oldest entries are the commonest chunks
-            kept = dict(itertools.islice(memo.items(), self.capacity // 2))
-            memo.clear()
-            memo.update(kept)
-        led = self.spaced and memo is self.later
-        whole, worded = [], []
-        for c in chunks:
-            core = c.rstrip(self.TAIL)
-            (worded if core.isalpha() and (led or not self.spaced and self._stays_letters(core)) else whole).append((c, core))
-        new = list({core for _, core in worded if core not in memo})
-        memo.update(zip(new, self._words(new), strict=True))
-        memo.update((c, memo[core] + self._tail(c[len(core) :])) for c, core in worded if c != core)
-        lead = " " if led else ""
-        plain = [c for c, _ in whole if not led or c and not c[0].isspace() and not c[-1].isspace()]
-        memo.update(zip(plain, self._ids([lead + c for c in plain]), strict=True))
-        if led and len(plain) < len(whole):
-            for c in {c for c, _ in whole}.difference(plain):
-                after = c[1:]  # of a line break; what follows has no space in front
-                cut = c[:1] == "\n" and after and not after[0].isspace() and not after[-1].isspace()
-                memo[c] = self._tail("\n") + self._alone(after) if cut else False
-
-    def _alone(self, chunk: str) -> bytes:
-        if (found := self.first.get(chunk)) is None:
-            core = chunk.rstrip(self.TAIL)
-            if len(self.first) >= self.capacity // 8:
-                self.first.clear()
-            found = self._ids([core])[0] + self._tail(chunk[len(core) :]) if core.isalpha() else self._ids([chunk])[0]
-            self.first[chunk] = found
-        return found
-
-    def _tail(self, tail: str) -> bytes:
-        if (found := self.first.get(tail)) is None:
-            found = self.first[tail] = self._ids([tail])[0]
-        return found
+        self.model = self.tokenizer.model
+        self.spaced = spaced
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes = dict(enumerate(byte_alphabet()))
+        self.letters, self.others = set(string.ascii_letters), set(" ")
+        self.memo = Memo(self._worked_out, capacity // 2)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _is_word(self, word: str) -> bool:
+        """Whether all characters are letters to the file's pre-tokenizer, which is asked once for each character."""
+        if word and self.letters.issuperset(word):
+            return True
+        if not word or not self.others.isdisjoint(word):
+            return False
+        for c in set(word) - self.letters:
+            stays = self.spaced or unicodedata.normalize("NFC", c).lower().isalpha() and not unicodedata.combining(c)
+            one = c.isalpha() and stays and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1
+            (self.letters if one else self.others).add(c)
+        return self.letters.issuperset(word)
+
+    def _worked_out(self, unit: str) -> bytes:
+        core = unit.rstrip(self.TAIL)
+        word = core[1:] if self.spaced and core[:1] == " " else core
+        if not self._is_word(word):
+            return self._whole(unit)
+        if core != unit:
+            return self.memo[core] + self.memo[unit[len(core) :]]
+        if not self.spaced:
+            lower = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+            if lower != word and "σ" not in lower and "ς" not in lower:  # sigma has two lower forms
+                return self.memo[lower]
+            if lower != word or not self._is_word(lower):
+                return self._whole(unit)
+        mapped = core if word is core and core.isascii() else core.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _units(self, text: str) -> list[str]:
+        if text.replace("\n", " ").isprintable():  # then its only white space is spaces and line breaks
+            if not self.spaced:
+                return text.split()
+            if not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return (SPACED_UNIT if self.spaced else PLAIN_UNIT).findall(text)
 
-    def _looked_up(self, memo: dict, split: list[list[str]]) -> list[list[bytes | bool]]:
-        """memo's entries for the chunks of each text; what it lacks is learned first."""
-        found = [list(map(memo.get, parts)) for parts in split]
-        gaps = []
-        for parts, x in zip(split, found, strict=True):
-            at = -1
-            for _ in range(x.count(None)):
-                at = x.index(None, at + 1)
-                gaps.append((x, at, parts[at]))
-        if gaps:
-            self._learn(memo, list({c for *_, c in gaps}))
-            for x, at, c in gaps:
-                x[at] = memo[c]
-        return found
+    def encode(self, texts: list[str]) -> list[bytes]:
+        claim(self, self.memo.release)
+        ids = self.memo.__getitem__
+        return [self._whole(t) if any(s in t for s in self.specials) else b"".join(map(ids, self._units(t))) for t in texts]
 
-    def release(self) -> None:
-        self.first.clear()
-        self.later.clear()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        claim(self, self.release)
-        if not self.spaced:
-            return [b"".join(x) for x in self._looked_up(self.first, [t.replace("\n", " ").split(" ") for t in texts])]
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) for p in split]
-        out = []
-        for text, head, parts, found in zip(texts, heads, split, self._looked_up(self.later, split), strict=True):
-            whole = False in found or parts and (head[-1:].isspace() or not head and parts[0][:1] == "\n")
-            out.append(self._ids([text])[0] if whole else self._alone(head) + b"".join(found))
-        return out
-
-
-def chunk_tokenizer(path: str, spaced: bool, memo: int = 600_000) -> ChunkTokenizer:
-    """One for each worker process and file; its memo holds at most so many chunks (some 250 bytes each)."""
+def chunk_tokenizer(path: str, spaced: bool, memo: int = 1_000_000) -> ChunkTokenizer:
+    """One for each worker process and file; its memo holds at most so many units (some 200 bytes each)."""
     if (path, spaced) not in _LOADED:
-        _LOADED[path, spaced] = ChunkTokenizer(path, spaced)
-    _LOADED[path, spaced].capacity = memo
+        _LOADED[path, spaced] = ChunkTokenizer(path, spaced, memo)
+    _LOADED[path, spaced].memo.half = memo // 2
     return _LOADED[path, spaced]
 
 
-def encoded(tokenizer: ChunkTokenizer, texts: list[str | None], most_chars: int = 1 << 20):
-    """The ids of texts in order (null: none), a bounded number of characters at a time."""
-    some: list[str] = []
-    chars = 0
+def encoded(tokenizer: ChunkTokenizer, texts: list[str | None]):
+    """The ids of texts in order (null: none), one text at a time."""
     for text in texts:
-        some.append(text or "")
-        chars += len(some[-1])
-        if chars >= most_chars:
-            yield from tokenizer.encode(some)
-            some, chars = [], 0
-    if some:
-        yield from tokenizer.encode(some)
+        yield tokenizer.encode([text])[0] if text else b""
