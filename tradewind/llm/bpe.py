@@ -3,7 +3,8 @@
 Whether two neighbouring symbols end up in one token can only depend on so many symbols to their right: to take a
 token's last part away, a merge of lower rank must join that part with what follows, whose own last part may be
 taken away by a merge of still lower rank, and so on. The longest such chain in the merge list is its sufficient
-lookahead; tokens that end at least so far before the end of what was read are stable and are emitted.
+lookahead; tokens that end at least so far before the end of what was read are stable and are emitted. A symbol that
+no merge takes to its right, such as a word's last one, needs no lookahead: all that was read is stable with it.
 """
 
 from __future__ import annotations
@@ -23,20 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.memos import claim
-from tradewind.llm.tokenization import Memo
+from tradewind.llm.tokenization import PLAIN_UNIT, WHITE, ChunkTokenizer, Memo, byte_alphabet
 
-#: Unicode's white space, as a character class.
-WHITE = r"\t-\r \x85\xa0  -     　"
 ID_BITS = 32
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    printable = [b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r]
-    others = itertools.count(256)
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-
-
 class Merges:
     """A ranked merge list over integer symbols: rules are (left, right, result), best first."""
 
@@ -46,6 +38,9 @@ class Merges:
         for rank, (a, b, c) in enumerate(rules):
             self.by_pair.setdefault(a << ID_BITS | b, rank << ID_BITS | c)
         self.lookahead = self._sufficient_lookahead()
+        self.parts = {c: (a, b) for a, b, c in reversed(rules)}
+        self.spans: dict[int, int] = {}
+        self.goes_on = {self._last(a) for a, _, _ in rules}  # symbols that a merge may join to what follows
 
     def _sufficient_lookahead(self) -> int:
         """The most symbols after a token that can decide whether it stays whole.
@@ -87,43 +82,56 @@ class Merges:
                 ranks[i - 1] = get(ids[i - 1] << ID_BITS | ids[i], none)
         return ids
 
-    def stream(self, symbols: Iterable[int], stretch: int = 0) -> Iterator[int]:
-        """Tokens of a stream of symbols, each as soon as it is stable; holds at most stretch + lookahead symbols."""
-        ahead = self.lookahead
-        full = ahead + max(stretch, 64, ahead)
-        span: dict[int, int] = {}
+    def stream(self, symbols: Iterable[int], stretch: int = 64) -> Iterator[int]:
+        """Tokens of a stream of symbols, each as soon as it is stable.
+
+        Held are at most the lookahead, a stretch (or the lookahead again) and a token that spans more than that.
+        """
+        ahead, goes_on = self.lookahead, self.goes_on
+        most = full = ahead + max(stretch, ahead)
         held: list[int] = []
         for symbol in symbols:
             held.append(symbol)
-            if len(held) >= full:
+            if symbol not in goes_on:
+                yield from self.merged(held)
+                held, full = [], most
+            elif len(held) >= full:
                 at = 0
                 for token in self.merged(held):
-                    at += self._span(token, span)
-                    if at > len(held) - ahead:
-                        at -= self._span(token, span)
+                    end = at + self._span(token)
+                    if end > len(held) - ahead:
                         break
                     yield token
+                    at = end
                 held = held[at:]
-                full = max(full, len(held) + max(64, ahead)) if at == 0 else ahead + max(stretch, 64, ahead)
-        yield from self.merged(held)
+                full = max(most, len(held) + max(stretch, ahead))
+        if held:
+            yield from self.merged(held)
+
+    def _last(self, token: int) -> int:
+        while token in self.parts:
+            token = self.parts[token][1]
+        return token
 
-    def _span(self, token: int, known: dict[int, int]) -> int:
-        if not hasattr(self, "_parts"):
-            self._parts = {}
-            for a, b, c in self.rules:
-                self._parts.setdefault(c, (a, b))
-        if token not in known:
-            parts = self._parts.get(token)
-            known[token] = self._span(parts[0], known) + self._span(parts[1], known) if parts else 1
-        return known[token]
+    def _span(self, token: int) -> int:
+        if token not in self.spans:
+            parts = self.parts.get(token)
+            self.spans[token] = self._span(parts[0]) + self._span(parts[1]) if parts else 1
+        return self.spans[token]
 
 
 class WordBpe:
-    """The encoder and decoder of a word BPE file: composed and lower-cased text, word ends marked, no white space."""
+    """The encoder and decoder of a word BPE file: composed and lower-cased text, word ends marked, no white space.
 
-    SHORT = 64
+    Every word runs through the transducer. What it emits for a unit (a stretch without white space, closed by a
+    word's last symbol) is stable, so it is remembered for the next time: a bounded number of units of bounded length.
+    """
+
+    TAIL = ChunkTokenizer.TAIL
+    STRETCH = 65_536  # characters that are looked at together
+    LONG = 1_024  # longer units are streamed and not remembered
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -137,57 +145,125 @@ class WordBpe:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(pattern.replace(r"\s", WHITE))
+        #: What goes on with an unfinished word, and the most characters that decide how one begins.
+        self.more = {True: regex.compile(r"\p{L}*"), False: regex.compile(rf"[^{WHITE}\p{{L}}\p{{N}}]*")}
+        self.decides = 3
+        self.white = regex.compile(f"[{WHITE}]")
         names = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
-        self.capacity, self.memo = capacity, Memo()
+        self.memo = Memo(self._worked_out, capacity // 2)
+
+    @staticmethod
+    def normalised(text: str) -> str:
+        """Composed, and lower-cased letter by letter."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
     def symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
         return [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
 
-    def words(self, text: str) -> Iterator[str]:
-        """The words of a text without special tokens, composed and lower-cased letter by letter."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        lower = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return (m[0] for m in self.word.finditer(lower))
-
-    def chunk(self, chunk: str) -> Iterator[int]:
-        """Ids of a chunk between spaces; special tokens in it count as such."""
+    def _transduced(self, text: str) -> Iterator[int]:
+        """Ids of a text without special tokens."""
+        words = (m[0] for m in self.word.finditer(self.normalised(text)))
+        return self.merges.stream(itertools.chain.from_iterable(map(self.symbols, words)))
+
+    def _worked_out(self, unit: str) -> bytes:
+        core = unit.rstrip(self.TAIL)
+        if core != unit and core.isalpha() and self.normalised(core).isalpha():  # punctuation is a word of its own
+            return self.memo[core] + self.memo[unit[len(core) :]]
+        if core == unit and core.isalpha() and (lower := self.normalised(unit)) != unit and self.normalised(lower) == lower:
+            return self.memo[lower]
+        ids = array("I")
         at = 0
-        for m in self.specials.finditer(chunk) if "<" in chunk else ():
-            yield from self._plain(chunk[at : m.start()])
-            yield self.special[m[0]]
+        for m in self.specials.finditer(unit) if "<" in unit else ():
+            ids.extend(self._transduced(unit[at : m.start()]))
+            ids.append(self.special[m[0]])
             at = m.end()
-        yield from self._plain(chunk[at:] if at else chunk)
+        ids.extend(self._transduced(unit[at:] if at else unit))
+        return ids.tobytes()
 
-    def _plain(self, text: str) -> Iterator[int]:
-        for word in self.words(text):
-            symbols = self.symbols(word)
-            yield from self.merges.merged(symbols) if len(symbols) <= self.SHORT else self.merges.stream(symbols)
+    def stretches(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as they become stable, in bytes of bounded length.
+
+        White space parts words whatever follows. A text is taken a stretch at a time, cut at white space; a unit of
+        more than LONG characters is streamed.
+        """
+        claim(self, self.memo.release)
+        ids, at = self.memo.__getitem__, 0
+        while at < len(text):
+            end = min(len(text), at + self.STRETCH)
+            if end < len(text) and (end := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) <= at:
+                found = self.white.search(text, at + 1)
+                end = found.start() if found else len(text)
+                if not self.white.match(text, at):
+                    yield from self._streamed(text, at, end)
+                    at = end
+                    continue
+            part = text[at:end]
+            units = part.split() if part.replace("\n", " ").isprintable() else PLAIN_UNIT.findall(part)
+            if len(max(units, key=len, default="")) <= self.LONG:
+                yield b"".join(map(ids, units))
+            else:
+                for unit in units:
+                    yield from [ids(unit)] if len(unit) <= self.LONG else self._streamed(unit, 0, len(unit))
+            at = end
+
+    def _streamed(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """The same for text[at:end], which has no white space, without holding its words."""
+        for m in itertools.chain(self.specials.finditer(text, at, end), (None,)):
+            until = m.start() if m else end
+            tokens = self.merges.stream(self._symbols_of_long(text, at, until))
+            while some := array("I", itertools.islice(tokens, 8192)):
+                yield some.tobytes()
+            if m:
+                yield array("I", [self.special[m[0]]]).tobytes()
+                at = m.end()
+
+    @staticmethod
+    def _composes_apart(c: str) -> bool:
+        """Whether composing can never join c to what stands before it: marks and conjoining vowels may be joined."""
+        return unicodedata.category(c)[0] != "M" and not "\u1100" <= c <= "\u11ff"
+
+    def _symbols_of_long(self, text: str, at: int, end: int) -> Iterator[int]:
+        """The symbols of text[at:end]; of an unfinished word only its kind and its last byte are kept."""
+        held, letters, raw = "", None, None  # text not parted yet; the unfinished word: of letters or not, its last byte
+        while at < end or held or raw is not None:
+            cut = min(end, at + self.STRETCH // 16)
+            while cut < end and not self._composes_apart(text[cut]):
+                cut += 1
+            held, at = held + self.normalised(text[at:cut]), cut
+            done = at >= end
+            begin = 0
+            if raw is not None:
+                part = self.more[letters].match(held)[0]
+                for b in part.encode("utf-8", "replace"):
+                    yield self.inner[raw]
+                    raw = b
+                begin = len(part)
+                if begin < len(held) or done:
+                    yield self.last[raw]
+                    raw = None
+                else:
+                    held = ""
+                    continue
+            for m in self.word.finditer(held, begin):
+                if not done and m.end() > len(held) - self.decides:
+                    begin = m.start()
+                    if m.end() == len(held) and len(m[0]) > 2 * self.decides:  # a run that may go on
+                        letters = m[0][-1].isalpha()
+                        *inner, raw = m[0].encode("utf-8", "replace")
+                        yield from map(self.inner.__getitem__, inner)
+                        begin = len(held)
+                    break
+                yield from self.symbols(m[0])
+                begin = m.end()
+            held = held[begin:] if not done else ""
 
     def encode(self, text: str) -> array:
-        """The ids of a text. White space parts words whatever follows, so chunks are remembered, a bounded number."""
-        claim(self, self.memo.clear)
-        parts = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        memo.asked = []
-        found = list(map(memo.__getitem__, parts))
-        if memo.asked:
-            if len(memo) + len(memo.asked) > self.capacity:  # the oldest entries are the commonest chunks
-                kept = dict(itertools.islice(memo.items(), self.capacity // 2))
-                memo.clear()
-                memo.update(kept)
-            for i, x in enumerate(found):
-                if x is None:
-                    c = parts[i]
-                    if c in memo:
-                        found[i] = memo[c]
-                    elif len(c) <= self.SHORT:
-                        found[i] = memo[c] = array("I", self.chunk(c)).tobytes()
-                    else:
-                        found[i] = array("I", self.chunk(c)).tobytes()
-        return array("I", b"".join(found))
+        """All ids of a text at once."""
+        return array("I", b"".join(self.stretches(text)))
 
     def decoder(self) -> Decoder:
         return Decoder(self.names)
@@ -234,14 +310,13 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-FEED = 65_536
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256; optionally ids and decoded.
 
-    Nothing is shuffled. Null texts count as empty (no ids, an empty decoded text); repeated rows and null ids get
-    rows of their own.
+    Nothing is shuffled. A text's ids go to the checksums and to the decoder as they become stable, so beside the text
+    itself a very long one, with or without spaces, takes no more memory than a short one (with_text: its results).
+    Null texts count as empty (no ids, an empty decoded text); repeated rows and null ids get rows of their own; an
+    empty table gives none. Other columns of docs, whatever their names, are not read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_text else "")
 
@@ -251,22 +326,26 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text or "")
-                a, b, decoder, decoded = hashlib.sha256(), hashlib.sha256(), bpe.decoder(), []
-                for i in range(0, len(ids), FEED):
-                    some = ids[i : i + FEED].tolist()
-                    a.update((b" " if i else b"") + b" ".join(map(decimal.__getitem__, some)))
+                a, b, decoder, count, found, decoded = hashlib.sha256(), hashlib.sha256(), bpe.decoder(), 0, [], []
+                for stretch in bpe.stretches(text or ""):
+                    some = memoryview(stretch).cast("I").tolist()
+                    if not some:
+                        continue
+                    a.update((b" " if count else b"") + b" ".join(map(decimal.__getitem__, some)))
                     piece = decoder.feed(some)
                     b.update(piece.encode())
+                    count += len(some)
                     if with_text:
+                        found += some
                         decoded.append(piece)
-                b.update(decoder.finish().encode())
-                n.append(len(ids))
+                piece = decoder.finish()
+                b.update(piece.encode())
+                n.append(count)
                 ids_sha.append(a.hexdigest())
                 text_sha.append(b.hexdigest())
                 if with_text:
-                    all_ids.append(ids.tolist())
-                    texts.append("".join(decoded))
+                    all_ids.append(found)
+                    texts.append("".join([*decoded, piece]))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_text:
