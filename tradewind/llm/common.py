@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +38,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def session_settings(spark: SparkSession, values: dict[str, object]):
+    """The session's settings, changed for what is run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: a cut in the lineage that outlives executors."""
+    """df written once as Parquet in the shared folder and read back: a cut in the lineage that outlives executors.
+
+    The shuffle files of the write are removed when it has ended, since nothing reads them again.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with session_settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,17 +75,25 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
+def unused(*frames: DataFrame, stem: str = "made") -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    return next(name for i in itertools.count() if (name := f"{stem}_{i}") not in taken)
+
+
 def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that decided (doc_id, text_hash, kept) keeps; of repeated rows with one kept, one.
 
-    Rows whose id has none that go are passed on as they are read; only the others meet decided in a join.
+    Rows whose id has none that go are passed on as they are read; only the others meet decided in a join. What the
+    join needs has names that docs does not use, so columns of docs may have any names.
     """
     maybe = member_test(decided.where("NOT kept"), "doc_id")
     key = F.col(id_col).cast("long")
-    stay = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rest = docs.where(maybe(key)).withColumns({"_own": key, "_h": text_hash(F.col(text_col))})
-    rest = rest.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi").dropDuplicates(["_own", "_h"])
-    return docs.where(~maybe(key)).unionByName(rest.drop("_own", "_h"))
+    own, seen = unused(docs, decided, stem="own"), unused(docs, decided, stem="seen")
+    stay = decided.where("kept").select(F.struct("doc_id", "text_hash").alias(seen))
+    rest = docs.where(maybe(key)).withColumn(own, F.struct(key.alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash")))
+    rest = rest.join(stay, F.col(own).eqNullSafe(F.col(seen)), "left_semi").dropDuplicates([own])
+    return docs.where(~maybe(key)).unionByName(rest.drop(own))
 
 
 def numbered(df: DataFrame, order: Sequence[str], label: str, weight: Column | None = None) -> DataFrame:

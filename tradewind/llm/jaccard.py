@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import drop_staged, staged, text_hash
+from tradewind.llm.common import drop_staged, session_settings, staged, text_hash
 from tradewind.llm.components import components
 from tradewind.llm.members import is_set, member_test
 from tradewind.llm.memos import claim
@@ -101,16 +100,9 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-@contextmanager
 def _small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows, for rows that may be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return session_settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows})
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, how: Settings) -> DataFrame:

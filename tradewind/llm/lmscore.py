@@ -1,8 +1,7 @@
 """Stupid-backoff language-model scores as joins: hashed n-gram counts, joined to exploded n-grams, summed by document.
 
-The model has orders 2 and 1. For each word w after v, S = c(v w) / c(v) where the bigram's count reaches least_count,
-else backoff * c(w) / N. A document's first word has no bigram and backs off. Counts are those of all documents.
-The registered query sets least_count = 1, as stupid backoff has it: whatever bigram occurs is scored by its count.
+The model has orders 2 and 1, with counts of all documents. For each word w after v, S = c(v w) / c(v); a bigram that
+never occurs would back off to backoff * c(w) / N, and so does a document's first word, which has no bigram.
 """
 
 from __future__ import annotations
@@ -16,22 +15,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import drop_staged, staged
+from tradewind.llm.common import staged
 from tradewind.llm.members import bitmap_of, bits_for, is_set
 from tradewind.llm.memos import claim
 
-#: A word is 64 bits of hash, a bigram its first word's bits turned by TURN and its second word's, by exclusive or;
-#: so with one of its words a bigram gives the other. Counts are joined on these numbers.
-TURN = 21
-#: The commonest words' counts are broadcast, at most so many (16 bytes each); all others are joined.
+#: Of each order, so many counts at most are broadcast: those of the commonest grams (16 bytes each).
 COMMON = 200_000
+#: Words and bigrams that are counted together in a task before they are shuffled.
+STRETCH = 3_000_000
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+    """Words to hashes, a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = self[word] = xxhash.xxh3_64_intdigest(word) & ~1
         return found
 
 
@@ -39,21 +39,31 @@ _WORDS = _Words()
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """The hashes of a text's words (lower-cased, parted by white space)."""
-    words = (text or "").lower().split()
+    """The hashes (even numbers) of a text's words: A-Z lower-cased, parted by ASCII white space."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def turned(w: np.ndarray, by: int) -> np.ndarray:
-    return (w << np.uint64(by)) | (w >> np.uint64(64 - by))
+def bigrams_of(w: np.ndarray) -> np.ndarray:
+    """The hashes (odd numbers) of the bigrams in a row of words."""
+    with np.errstate(over="ignore"):
+        g = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        return g ^ (g >> np.uint64(32)) | np.uint64(1)
 
 
-def bigrams_of(w: np.ndarray) -> np.ndarray:
-    return turned(w[:-1], TURN) ^ w[1:]
+def is_bigram(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(1)) == 1
 
 
-def _counted(texts: DataFrame, bigrams: bool) -> DataFrame:
-    """gram, n: how often each word or bigram occurs in a stretch of a partition, one row a stretch and gram."""
+def count_table(texts: DataFrame) -> DataFrame:
+    """gram, c: the counts of words and bigrams over all rows of a one-column table, partitioned by the gram's hash.
+
+    A bigram that is not in the table occurred once: those rows would be most of it and their logarithm is 0.
+    Copies are counted in the tasks that read them before anything is shuffled, so no gram is a hot key. Two grams
+    of one 64-bit hash (a chance of 5e-20 for each pair) would be counted as one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_WORDS, _WORDS.clear)
@@ -67,135 +77,114 @@ def _counted(texts: DataFrame, bigrams: bool) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 w = words_of(text)
-                held.append(bigrams_of(w) if bigrams else w)
-                size += len(w)
-                if size >= 3_000_000:
+                held += [w, bigrams_of(w)]
+                size += 2 * len(w)
+                if size >= STRETCH:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    return texts.mapInArrow(run, "gram long, n long")
-
+    counted = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+    return counted.where(~is_bigram(F.col("gram")) | (F.col("c") > 1))
 
-def counts(texts: DataFrame, bigrams: bool, least_count: int) -> DataFrame:
-    """The count table of one order over all rows of a one-column table, partitioned by the gram's hash."""
-    return _counted(texts, bigrams).groupBy("gram").agg(F.sum("n").alias("c")).where(F.col("c") >= least_count)
 
+def commonest(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams, sorted, and their counts: of each order the commonest, at most COMMON.
 
-def _place(gram: Column, bits: int) -> Column:
-    """A bigram's bit in the bitmap."""
+    The least count that is common follows from a histogram of the counts' logarithms (some hundred rows).
+    """
+    level = F.floor(F.log2("c") * 8).alias("level")
+    rows = counts.groupBy(is_bigram(F.col("gram")).alias("two"), level).agg(F.count("*").alias("n")).collect()
+    wanted = F.lit(False)
+    for two in (False, True):
+        taken, least = 0, None
+        for r in sorted((r for r in rows if r.two == two), key=lambda r: -r.level):
+            taken += r.n
+            if taken > COMMON:
+                break
+            least = r.level
+        if least is not None:
+            wanted |= (is_bigram(F.col("gram")) == two) & (F.floor(F.log2("c") * 8) >= least)
+    found = counts.where(wanted).select("gram", "c").toArrow()  # 2 * COMMON rows at most
+    gram, c = (found.column(i).to_numpy() for i in range(2))
+    order = np.argsort(gram)
+    return gram[order], c[order]
+
+
+def _bit(gram: Column, bits: int) -> Column:
     return F.shiftrightunsigned(gram, 64 - bits)
 
 
-SUMS = "row long, word long, weight long, known double, n_seen long, n_words long, copies long"
-
-
-def _answered(common, row, word, weight, known, n_seen, n_words, copies) -> pa.RecordBatch:
-    """Sums by row with what the broadcast words answer (weight 0); the other words as rows of their own, by row and word."""
-    names, logs = common
-    place = np.minimum(np.searchsorted(names, word), max(0, len(names) - 1))
-    hit = names[place] == word if len(names) else np.zeros(len(word), dtype=bool)
-    value = known + np.where(hit, weight * logs[place], 0.0) if len(names) else known
-    ids, inverse = np.unique(row, return_inverse=True)
-    value, n_seen, n_words, copies = (np.bincount(inverse, weights=x, minlength=len(ids)) for x in (value, n_seen, n_words, copies))
-    rest = np.flatnonzero((weight != 0) & ~hit)
-    order = rest[np.lexsort((word[rest], row[rest]))]
-    edges = np.flatnonzero(np.diff(row[order]) | np.diff(word[order])) + 1 if len(order) else np.zeros(0, dtype=np.int64)
-    begins = np.concatenate(([0], edges)).astype(np.int64) if len(order) else edges
-    summed = np.add.reduceat(weight[order], begins) if len(order) else np.zeros(0, dtype=np.int64)
-    r, w = row[order][begins], word[order][begins]
-    none = np.zeros(len(r), dtype=np.int64)
-    columns = [
-        pa.array(np.concatenate((ids, r))), pa.array(np.concatenate((np.zeros(len(ids), dtype=np.int64), w))), pa.array(np.concatenate((np.zeros(len(ids), dtype=np.int64), summed))), pa.array(np.concatenate((value, none.astype(np.float64)))),
-        *(pa.array(np.concatenate((x.astype(np.int64), none))) for x in (n_seen, n_words, copies)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SUMS.split(", ")])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_seen_bigrams, log_score (the sum of log S) and mean_log_score.
-
-    Bigrams that no row of the count table can belong to are known from a bounded bitmap and back off where they
-    are read; the others are joined with the table. With least_count 1 the table has them all and there is no bitmap.
-    Word counts come from a bounded broadcast of the commonest, the rest by a join on the word. What is shuffled by
-    document are sums. Texts without words, null or empty, score 0
-    with a null mean; repeated rows and ids get rows of their own.
+ASKED = "row long, gram long, weight long, value double, doc_id long, n_words long"
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, backoff: float = 0.4) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_bigrams, log_score (the sum of log S) and mean_log_score.
+
+    A text's score is a sum of weighted logarithms of counts: its bigrams', less those of their first words, plus its
+    first word's. Each text is exploded into its distinct grams; the commonest are answered by a bounded broadcast, a
+    bigram that a bounded bitmap says is not in the table has the logarithm 0, all others meet the count table in a
+    join. So what is shuffled holds no very common gram. The bitmap never decides a score: what it lets through
+    without need finds no count and adds 0 as well.
+
+    Texts without words, null or empty, score 0 with a null mean. Repeated rows, repeated and null ids get rows of
+    their own; very long texts are one row like all others; an empty table gives no rows. Other columns of docs,
+    whatever their names, are not read.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    bigram_table = staged(counts(docs.select(text.alias("t")), True, least_count), "lm-bigrams")
-    word_table = staged(counts(docs.select(text.alias("t")), False, 1), "lm-words")
-    total = word_table.agg(F.sum("c")).first()[0] or 1  # one number
-    top = word_table.orderBy(F.desc("c"), "gram").limit(COMMON).toPandas().sort_values("gram")  # COMMON rows at most
-    common = spark.sparkContext.broadcast((top["gram"].to_numpy(np.int64), np.log(top["c"].to_numpy(np.float64))))
+    counts = staged(count_table(docs.select(text.alias("t"))), "lm-counts")
+    total = counts.where(~is_bigram(F.col("gram"))).agg(F.sum("c")).first()[0] or 1  # one number
+    repeated = counts.where(is_bigram(F.col("gram")))
+    bits = bits_for(repeated.count())
+    names, number = commonest(counts)
+    broadcast = spark.sparkContext.broadcast((names, np.log(number.astype(np.float64)), bitmap_of(repeated.select(_bit(F.col("gram"), bits).alias("p")), bits)))
     log_back = math.log(backoff) - math.log(total)
-    bits = bits_for(bigram_table.count()) if least_count > 1 else 0
-    bitmap = least_count > 1 and spark.sparkContext.broadcast(bitmap_of(bigram_table.select(_place(F.col("gram"), bits).alias("p")), bits))
 
-    def exploded(batches: Iterator[pa.RecordBatch], maybe: bool) -> Iterator[tuple]:
-        """Each text's row and words, and the bigrams that may (or cannot) be in the table: gram, second word, count."""
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_WORDS, _WORDS.clear)
-        for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = words_of(t)
-                g, at, c = np.unique(bigrams_of(w), return_index=True, return_counts=True)
-                hit = is_set(bitmap.value, (g >> np.uint64(64 - bits)).view(np.int64)) if bitmap else np.ones(len(g), dtype=bool)
-                pick = hit if maybe else ~hit
-                yield row, w.view(np.int64), g[pick].view(np.int64), w[1:][at[pick]].view(np.int64), c[pick]
-
-    def askers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        names = ["row", "gram", "last", "n"]
-        for row, _, g, last, c in exploded(batches, True):
-            held.append((np.full(len(g), row), g, last, c))
-            if len(held) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
-
-    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        common, logs, bitmap = broadcast.value
+        fields = [c.split()[0] for c in ASKED.split(", ")]
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            row, word, weight, known, n_words, copies = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _answered(common.value, row, word, weight, known, np.zeros(len(row)), n_words, copies)
-
-        for row, w, _, last, c in exploded(batches, False):
-            n = len(c) + 1
-            first = np.zeros(n, dtype=np.int64)
-            first[-1] = 1  # the text's own entry: its first word, which backs off, and its number of words
-            words = np.append(last, w[0] if len(w) else np.int64(0))
-            weight = np.append(c, 1 if len(w) else 0).astype(np.int64)
-            held.append((np.full(n, row), words, weight, weight * log_back, first * len(w), first))
-            if len(held) >= 500:
-                yield flush()
-                held = []
+            row, gram, weight, value, doc_id, n_words, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [pa.array(x) for x in (row, gram, weight, value)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(doc_id, pa.int64(), mask=~own), pa.array(n_words)], names=fields)
+
+        for batch in batches:
+            ids, null = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for row, doc_id, no_id, t in zip(batch.column(0).to_pylist(), ids, null, batch.column(2).to_pylist(), strict=True):
+                w = words_of(t)
+                g, n = np.unique(bigrams_of(w), return_counts=True)
+                first, m = np.unique(w[:-1], return_counts=True)
+                gram = np.concatenate((g, first, w[:1])).view(np.int64)
+                weight = np.concatenate((n, -m, np.ones(min(1, len(w)), dtype=np.int64)))
+                at = np.minimum(np.searchsorted(common, gram), max(0, len(common) - 1))
+                known = common[at] == gram if len(common) else np.zeros(len(gram), dtype=bool)
+                value = float(weight[known] @ logs[at[known]]) + (log_back if len(w) else 0.0)
+                asks = ~known
+                asks[: len(g)] &= is_set(bitmap, (g >> np.uint64(64 - bits)).view(np.int64))
+                k = int(asks.sum()) + 1  # and the text's own entry, spread by its number, which weighs nothing
+                zeros = np.zeros(k, dtype=np.int64)
+                own = zeros.astype(bool)
+                own[-1] = True
+                held.append((
+                    np.full(k, row), np.append(gram[asks], hash((row, 1)) & ~1), np.append(weight[asks], 0), np.where(own, value, 0.0),
+                    np.where(own, doc_id, 0), np.where(own, len(w), zeros), own & (not no_id),
+                ))
+                size += k
+                if size >= 200_000:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A seen bigram asks for its first word's count, one that the bitmap took in falsely for its second's."""
-        for batch in batches:
-            row, gram, last, n = (batch.column(i).to_numpy() for i in range(4))
-            c2 = batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
-            seen = ~np.isnan(c2)
-            before = turned(gram.view(np.uint64) ^ last.view(np.uint64), 64 - TURN).view(np.int64)
-            words = np.where(seen, before, last)
-            none = np.zeros(len(row))
-            yield _answered(common.value, row, words, np.where(seen, -n, n), n * np.where(seen, np.log(np.where(seen, c2, 1.0)), log_back), n * seen, none, none)
-
-    own = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("t"))
-    table = bigram_table.withColumnRenamed("c", "c2")
-    by_table = own.mapInArrow(askers, "row long, gram long, last long, n long").join(table, "gram", "left").select("row", "gram", "last", "n", "c2").mapInArrow(settled, SUMS)
-    parts = staged(own.mapInArrow(backed_off, SUMS).unionByName(by_table), "lm-parts")
-    drop_staged(bigram_table)
-    rare = parts.where("weight <> 0").groupBy("row", "word").agg(F.sum("weight").alias("weight")).join(word_table.withColumnRenamed("gram", "word"), "word")
-    zero = F.lit(0).cast("long")
-    sums = parts.where("weight = 0").select("row", "known", "n_seen", "n_words", "copies").unionByName(rare.select("row", (F.col("weight") * F.log("c")).alias("known"), zero.alias("n_seen"), zero.alias("n_words"), zero.alias("copies")))
-    by_row = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "n_seen", "n_words", "copies")))
-    # rows that repeat another's id and text were summed together
-    each = by_row.select("row", (F.col("known") / F.col("copies")).alias("log_score"), (F.col("n_seen") / F.col("copies")).cast("long").alias("n_seen_bigrams"), (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row")).join(each, "row")
-    return out.select("doc_id", "n_words", "n_seen_bigrams", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    answered = own.mapInArrow(exploded, ASKED).join(counts, "gram", "left")
+    value = F.col("value") + F.col("weight") * F.coalesce(F.log("c"), F.lit(0.0))
+    by_row = answered.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return by_row.select("doc_id", "n_words", F.greatest(F.col("n_words") - 1, F.lit(0)).alias("n_bigrams"), "log_score", mean.alias("mean_log_score"))

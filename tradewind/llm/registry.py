@@ -44,7 +44,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(table(spark, sf_dir, "documents"), least_count=1)
+    """Scores to six decimals: a sum's last bits depend on the order of its terms."""
+    scores = lmscore.score(table(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {
+    "op7_lm_scoring": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{dedup.UPPER}', '{dedup.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+pair AS (SELECT r, i, x, lag(x) OVER (PARTITION BY r ORDER BY i) AS v FROM word),
+one AS (SELECT x, count(*) AS c FROM word GROUP BY x),
+two AS (SELECT v, x, count(*) AS c FROM pair WHERE v IS NOT NULL GROUP BY v, x),
+s AS (SELECT r, sum(CASE WHEN p.v IS NULL THEN ln(0.4 * o.c / (SELECT count(*) FROM word)) ELSE ln(t.c / b.c) END) AS s
+  FROM pair p JOIN one o ON o.x = p.x LEFT JOIN two t ON t.v = p.v AND t.x = p.x LEFT JOIN one b ON b.x = p.v GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, greatest(len(w) - 1, 0)::BIGINT AS n_bigrams, round(coalesce(s, 0), 6) AS log_score, round(s / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN s USING (r)""",
     "op3_quality_rules": rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS t FROM documents),
 word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i, w FROM d),
