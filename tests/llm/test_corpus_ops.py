@@ -136,7 +136,7 @@ def test_state_over_many_batches(spark):
 
 def test_state_batch_again(spark, tmp_path):
     state = dedup.KeyedState(spark, f"file://{tmp_path}/s")
-    rows = spark.createDataFrame([(b"d", 1, 1, "f")], "digest binary, doc_id long, row long, locator string")
+    rows = spark.createDataFrame([(b"d", 1, 1, "f")], "digest binary, doc_id long, `row` long, locator string")
     state.update(rows, 0)
     state.update(rows, 1)
     state.update(rows, 1)  # a batch that is run again counts once
@@ -154,7 +154,7 @@ def test_groups_meet_their_state(spark, monkeypatch):
 
 
 def test_state_is_read_back(spark, tmp_path):
-    rows = spark.createDataFrame([(b"d", 1, 1, "f")], "digest binary, doc_id long, row long, locator string")
+    rows = spark.createDataFrame([(b"d", 1, 1, "f")], "digest binary, doc_id long, `row` long, locator string")
     for i in (0, 1, 2, 3, 3, 4):  # number 3 is run again after it was compacted
         dedup.KeyedState(spark, f"file://{tmp_path}/s", compact=3).update(rows, i)
     state = dedup.KeyedState(spark, f"file://{tmp_path}/s", compact=3)
@@ -174,7 +174,7 @@ def test_member_test_never_misses(spark):
 def brute_classes(rows, t=Fraction(4, 5), k=5):
     sets = {}
     for d, text in rows:
-        w = (text or "").split()
+        w = (text or "").encode().split()
         sets[d] = frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
     root = {d: d for d in sets}
     links = Counter()

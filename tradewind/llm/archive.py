@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import scratch_path
+from tradewind.llm.common import scratch_path, staged
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -25,21 +25,27 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     Equal payloads (SHA-256, cross-checked by SHA-1 and length) are stored once. Of records with equal payloads of
     at least least_shared bytes the one with the largest id is a response and the others are revisits of it; all
-    smaller payloads are responses. Null bodies are empty; null urls are empty; line breaks in a url are escaped.
-    Copies are folded before the shuffle, so a payload with very many copies is moved once for each task.
+    smaller payloads are responses. Of rows that repeat the largest id one is the response; a row without an id
+    revisits any that has one. Null bodies are empty; null urls are empty; line breaks in a url are escaped. Payloads
+    are whole, however long; an empty table gives an empty archive; other columns of pages are not read.
+    Copies are folded before the shuffle, so a payload with very many copies is moved once for each task, and records
+    without a copy meet nothing in a join.
     """
     rows = _payloads(pages, id_col, url_col, body_col)
     store = rows.groupBy("digest").agg(
-        F.first("payload").alias("payload"), F.max("page_id").alias("holder"), F.count("*").alias("copies"), F.min("sha1").alias("sha1"), F.max("sha1").alias("_sha1"), F.min("length").alias("length"), F.max("length").alias("_length")
+        F.first("payload").alias("payload"), F.min("sha1").alias("sha1"), F.max("sha1").alias("_sha1"), F.min("length").alias("length"), F.max("length").alias("_length")
     )
     sound = (F.col("sha1") == F.col("_sha1")) & (F.col("length") == F.col("_length"))
     store = store.withColumn("sha1", F.when(sound, F.col("sha1")).otherwise(F.raise_error(F.lit("payloads of one digest differ"))))
     store.drop("_sha1", "_length").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    held = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "holder")
-    record = rows.select("page_id", "url", "digest", "sha1", "length").join(held, "digest", "left")
-    revisit = (F.col("length") >= least_shared) & (F.col("holder") != F.col("page_id"))
-    is_revisit = F.coalesce(revisit, F.lit(False))
+    record = staged(rows.select("page_id", "url", "digest", "sha1", "length").withColumn("row", F.monotonically_increasing_id()), "warc-rows")
+    shared = record.where(F.col("length") >= least_shared)
+    held = shared.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies"))
+    shared = shared.join(held.where("copies > 1").drop("copies"), "digest", "left")
+    record = shared.unionByName(record.where(F.col("length") < least_shared), allowMissingColumns=True)
+    record = record.withColumn("holder", F.col("first.page_id"))
+    is_revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
     urn = lambda c: F.concat(F.lit(f"<{RECORD_URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import scratch_path, staged, text_hash
+from tradewind.llm.common import scratch_path, session_settings, staged, text_hash
 from tradewind.llm.members import member_test
 
-ENTRY = "digest binary, holder struct<doc_id: bigint, `row`: bigint, locator: string>, group_size bigint"
+ENTRY = "digest binary, holder struct<doc_id: bigint, locator: string, `row`: bigint>, group_size bigint"
 #: Only these letters are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,10 +29,10 @@ def sha256(content: Column) -> Column:
 def folded(arrivals: DataFrame) -> DataFrame:
     """Arrivals (digest, doc_id, row, locator) as one entry for each digest.
 
-    Copies are counted and reduced to the holder (the largest doc_id, then row) before the shuffle, so a digest
+    Copies are counted and reduced to the holder (the largest doc_id, then locator and row) before the shuffle, so a digest
     with very many copies is one row for each task.
     """
-    return arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "row", "locator")).alias("holder"), F.count("*").alias("group_size"))
+    return arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "locator", "row")).alias("holder"), F.count("*").alias("group_size"))
 
 
 class KeyedState:
@@ -65,6 +65,10 @@ class KeyedState:
         batches = sorted(n for n in found["batch"] if n < before and (whole is None or n > whole))
         return [f"{self.path}/until-{whole}"] * (whole is not None) + [f"{self.path}/batch-{n}" for n in batches]
 
+    def following(self) -> int:
+        """The first number after those of all finished batches."""
+        return max((n for kind in self._finished().values() for n in kind), default=-1) + 1
+
     def entries(self, versions: list[str] | None = None) -> DataFrame:
         """The latest entry of each digest: the one with most members."""
         versions = versions or self.versions()
@@ -92,19 +96,25 @@ class KeyedState:
 
 
 #: How many files of the staged arrivals a micro-batch takes.
-FILES_PER_BATCH = 16
+FILES_PER_BATCH = 8
+#: A digest with more than this share of all rows is answered by a broadcast: there are at most so many of them.
+HEAVY = 10_000
+
 
+def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH, path: str | None = None) -> DataFrame:
+    """Streams a staged table of arrivals through the keyed state, in micro-batches, and returns its entries.
 
-def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Streams a staged table of arrivals through the keyed state, in micro-batches, and returns its entries."""
+    With a path the state is durable: it goes on from what earlier runs left there and is kept for later ones.
+    """
     spark = arrivals.sparkSession
+    state = KeyedState(spark, path or scratch_path(spark, "dedup-state"))
     files = arrivals.inputFiles()
-    if not files:
-        return folded(arrivals)
-    state = KeyedState(spark, scratch_path(spark, "dedup-state"))
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files[0].rsplit("/", 1)[0])
-    query = stream.writeStream.option("checkpointLocation", scratch_path(spark, "dedup-progress")).trigger(availableNow=True).foreachBatch(state.update).start()
-    query.awaitTermination()
+    if files:
+        first = state.following()
+        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files[0].rsplit("/", 1)[0])
+        with session_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            query = stream.writeStream.option("checkpointLocation", scratch_path(spark, "dedup-progress")).trigger(availableNow=True).foreachBatch(lambda rows, n: state.update(rows, first + n)).start()
+            query.awaitTermination()
     versions = state.versions()
     if not versions:
         return folded(arrivals)
@@ -114,29 +124,43 @@ def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> D
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """Every row's group: doc_id, text_hash, digest, keep_id, group_size, kept.
 
-    Rows are equal when their normalised texts are, byte by byte: a digest only finds the hits, and each hit is
-    compared with its holder in full. The row with the largest id stays (null ids lose; of repeated rows one stays).
-    Digests whose texts turn out to differ are grouped anew by the text itself, so even a weak digest gives right groups.
+    Rows are equal when their normalised texts are, byte by byte (null is empty; very long texts are compared whole):
+    a digest only finds the hits. Each hit's contents are read again and compared in full, and the content at the
+    locator that the state holds must be among them. Digests whose texts turn out to differ are grouped anew by the
+    text itself, so even a weak digest gives right groups. The row with the largest id stays (null ids lose; of
+    repeated rows one stays). An empty table gives no rows; other columns of docs, whatever their names, are not read.
+
+    Rows whose digest has no second one meet nothing in a join; digests with very many rows are answered by a
+    broadcast that is bounded by HEAVY, so none of them lands in one task.
     """
-    content = normalised(F.col(text_col))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), text_hash(F.col(text_col)).alias("text_hash"), F.input_file_name().alias("locator"))
+    content, source = normalised(F.col(text_col)), F.input_file_name()
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), text_hash(F.col(text_col)).alias("text_hash"), source.alias("locator"))
     arrivals = staged(narrow.withColumn("row", F.monotonically_increasing_id()), "dedup-arrivals")
     state = run_stream(arrivals)
 
     hits = state.where("group_size > 1")
     maybe = member_test(hits, "digest")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
-    texts = texts.where(maybe(F.col("digest")))
-    held = hits.select("digest", F.col("holder.doc_id").alias("held_id"))
-    holders = texts.join(held, "digest").where(F.col("doc_id").eqNullSafe(F.col("held_id"))).groupBy("digest").agg(F.max("content").alias("held_content"))
-    differing = staged(texts.join(holders, "digest").where("content <> held_content").select("digest").distinct(), "dedup-differing")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content"), source.alias("locator")).withColumn("digest", digest(F.col("content"))).where(maybe(F.col("digest")))
+    read = texts.groupBy("digest").agg((F.min("content") == F.max("content")).alias("equal"), F.max(F.struct("doc_id", "locator")).alias("last"))
+    located = F.col("last").eqNullSafe(F.struct(F.col("holder.doc_id").alias("doc_id"), F.col("holder.locator").alias("locator")))
+    differing = staged(read.join(hits, "digest").where(~(F.col("equal") & located)).select("digest"), "dedup-differing")
 
-    entries = arrivals.join(state, "digest").withColumns({"keep_id": F.col("holder.doc_id"), "kept": F.col("row") == F.col("holder.row")})
     wanted = ["doc_id", "text_hash", "digest", "keep_id", "group_size", "kept"]
-    entries = entries.select(*wanted)
+    single = F.col("holder").isNull()
+    decided = {
+        "keep_id": F.when(single, F.col("doc_id")).otherwise(F.col("holder.doc_id")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        "kept": single | F.col("holder").eqNullSafe(F.struct("doc_id", "locator", "row")),
+    }
+    least = arrivals.count() // HEAVY + 1
+    heavy = F.broadcast(hits.where(F.col("group_size") > least))  # HEAVY rows at most
+    asked = arrivals.where(maybe(F.col("digest")))
+    light = asked.join(heavy.select("digest"), "digest", "left_anti").join(hits.where(F.col("group_size") <= least), "digest", "left")
+    alone = arrivals.where(~maybe(F.col("digest"))).select(*wanted[:3], F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    entries = asked.join(heavy, "digest").unionByName(light).withColumns(decided).select(*wanted)
     if not differing.isEmpty():  # a digest of different texts
         entries = entries.join(differing, "digest", "left_anti").unionByName(_regrouped(docs, differing, id_col, text_col, digest).select(*wanted))
-    return entries
+    return alone.unionByName(entries)
 
 
 def _regrouped(docs: DataFrame, differing: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:

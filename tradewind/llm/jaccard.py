@@ -47,10 +47,10 @@ def _odd_numbers(n: int) -> np.ndarray:
 class _WordHashes(dict):
     """Words to 64-bit hashes, a bounded number of them."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 100_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
@@ -58,8 +58,11 @@ _WORDS = _WordHashes()
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's k-word shingles; a shorter text is one shingle, none without words."""
-    words = (text or "").split()
+    """The sorted distinct 64-bit hashes of a text's k-word shingles; a shorter text is one shingle, none without words.
+
+    Words are parted by ASCII white space.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").split()
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.uint64)
@@ -327,7 +330,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     with equal sets are copies and always linked. class_id is the least doc_id that a document hangs together
     with over links, n_links counts the documents it is linked to, and kept marks one row of each class (the
     least id; null ids come last, ties go to one of them). Texts without words, null or empty, have no links and
-    are classes of their own (class_id: their own id).
+    are classes of their own (class_id: their own id). Very long texts count whole; repeated rows are copies; an
+    empty table gives no rows; other columns of docs, whatever their names, are not read.
 
     Copies are folded first and only different texts are compared. A pair at the threshold is missed if none of the
     bands agree (3e-6) or the posterior misleads (about the tolerance); more similar pairs are missed far less.

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import unused
 from tradewind.llm.memos import claim
 
 #: n-grams of one to three characters, hashed to this many features.
@@ -38,7 +39,7 @@ class Training:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: features x classes, with IDF folded in beside idf, which the norm needs."""
+    """weights: features x classes, for values that idf has multiplied and the norm has divided."""
 
     classes: tuple[str, ...]
     weights: np.ndarray
@@ -153,7 +154,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """A model from the labelled rows of docs outside the held-out fold; None without any.
 
     IDF counts all of those rows. The weights are fitted, in one task, on an evenly stratified sample of at most
-    how.sample whole texts, chosen by a hash of the id; a fifth of the sample only sets the temperature.
+    how.sample whole texts, chosen by a hash of the id; a fifth of the sample only sets the temperature. Rows without
+    text or label are not counted; repeated rows count each time; texts of equal hash are ordered by label and
+    content; very long texts count whole; other columns of docs, whatever their names, are not read.
     """
     how = how or Training()
     text, label = F.col(text_col).cast("string"), F.col(label_col).cast("string")
@@ -200,8 +203,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the calibrated probability, 0 to 1), from each whole text alone.
 
-    A text that is null or has no letter is `und` with score 0, as is every text without a model. Other columns of
-    docs are carried along; columns of the same names are replaced.
+    A text that is null, empty or has no letter is `und` with score 0, as is every text without a model. A very long
+    text is taken a stretch at a time; of languages with equal scores the first by name is predicted; repeated rows
+    each get their own; an empty table gives none. Other columns of docs, whatever their names, are carried along,
+    but columns named lang_pred or score are replaced.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages floats
@@ -223,4 +228,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             out.append((m.classes[best], float(p[best])))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_pred", score(F.col(text_col).cast("string"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_pred.lang_pred", "_pred.score")
+    made = unused(docs)
+    found = docs.withColumn(made, score(F.col(text_col).cast("string")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), f"{made}.lang_pred", f"{made}.score")

@@ -110,7 +110,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """One row for each row of docs: id, measurements and fail_bits; the columns in keep are carried along.
 
     The words are counted in the tasks that read the texts and nothing is shuffled. Null and empty texts have
-    zero measurements (and so fail few_words); repeated rows and null ids get rows of their own.
+    zero measurements (and so fail few_words); repeated rows and null ids get rows of their own; very long texts are
+    measured whole; an empty table gives no rows. Columns of docs that are not in keep are not read; one in keep must
+    not have the name of a column of the ledger (put it into a struct).
     """
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES.values()]
     measured = docs.select(F.col(id_col).alias("_id"), _measured(F.col(text_col).cast("string")).alias("_m"), *(F.col(c).alias(f"_keep_{c}") for c in keep))

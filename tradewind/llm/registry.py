@@ -64,6 +64,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe)}
 
 ORACLES: dict[str, str] = {
+    "op8_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM win),
+n AS (SELECT r, count(*) AS n, md5(string_agg(k, chr(1) ORDER BY k)) AS s FROM sh GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y, b.s AS s, a.s = b.s AS copy FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+c AS (SELECT r, r AS root FROM d UNION SELECT y, root FROM c JOIN l ON x = r),
+cls AS (SELECT c.r, min(o.doc_id) AS class_id FROM c JOIN d o ON o.r = c.root GROUP BY c.r),
+links AS (SELECT x AS r, count(*) AS n_links, count(DISTINCT CASE WHEN NOT copy THEN s END) AS n_linked_texts, count(*) FILTER (copy) AS c FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_linked_texts, 0) AS n_linked_texts, coalesce(c, 0) + 1 AS copies
+FROM d JOIN cls USING (r) LEFT JOIN links USING (r)""",
     "op7_lm_scoring": rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{dedup.UPPER}', '{dedup.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),

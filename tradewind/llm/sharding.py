@@ -69,7 +69,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
 
     Rows are numbered by ascending id (ties, nulls and repeated rows too: each gets a number of its own), the number
     is permuted, and place p lies in shard p mod shards at slot p div shards. Only id, size and checksum are moved.
-    Null texts have size 1 and checksum 0.
+    Null texts have size 1 and checksum 0, empty ones too; very long ones count whole. An empty table gives no rows;
+    other columns of docs, whatever their names, are not read.
     """
     text = F.col(text_col).cast("string")
     narrow = docs.select(
