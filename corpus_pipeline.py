@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, language id, exact dedup, near dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
-columns of documents. Null texts fail the quality rules, so later stages see none, but would handle them.
+columns of documents, whatever other columns those have and whatever their names. Null and empty texts fail the
+quality rules, so later stages see none, but would handle them; very long texts are taken whole. Of repeated rows and
+rows without an id one stays where their texts are equal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from tradewind.llm.registry import vocabulary
 LEAST_SCORE = 0.5
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside the whole row, so that no column of docs can clash with what a stage adds."""
+    return docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the strict policy."""
-    judged = quality.judged(docs, quality.STRICT, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that pass the base rules and the strict policy. Null and empty texts go."""
+    return quality.judged(_carried(docs), quality.STRICT, keep=("document",)).where("kept").select("document.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if model is None:
         return docs.where(langid.lettered(F.col("text")))
-    found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.predict(_carried(docs), model)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("document.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
