@@ -76,20 +76,46 @@ def first_arrivals(transfers: DataFrame) -> DataFrame:
     return named.unionByName(transfers.where("txn_id IS NULL"))
 
 
-def reconcile(transfers: DataFrame, invoices: DataFrame, prefixes: tuple[str, str] = ("QR", "INV"), digits: int = 8) -> DataFrame:
+CODE_DIGITS = 8
+
+
+def invoice_code(invoice_id: Column) -> Column:
+    """The code that stands for an invoice in a memo: the last CODE_DIGITS hexadecimal digits of its id."""
+    return F.lpad(F.hex(F.pmod(invoice_id.cast("long"), F.lit(16**CODE_DIGITS))), CODE_DIGITS, "0")
+
+
+def reconcile(transfers: DataFrame, invoices: DataFrame, prefixes: tuple[str, str] = ("QR", "INV")) -> DataFrame:
     """Incoming transfers matched to open invoices by the code in the memo; amounts are not compared.
 
     Every code in a memo is pulled out by its form and joined by equality; of several hits the least invoice id
-    wins, so no transfer is held against every open invoice.
+    wins, so no transfer is held against every open invoice. Open invoices that share a code stop the run.
     """
-    codes = F.regexp_extract_all(letters_and_digits(F.col("memo")), F.lit(f"(?=(?:{'|'.join(prefixes)})([0-9]{{{digits}}}))"), F.lit(1))
+    form = F.lit(f"(?=(?:{'|'.join(prefixes)})([0-9A-F]{{{CODE_DIGITS}}}))")
+    codes = F.regexp_extract_all(letters_and_digits(F.col("memo")), form, F.lit(1))
     rows = transfers.withColumn("codes", F.when(F.lower("transfer_type").isin("in", ""), codes).otherwise(F.array().cast("array<string>")))
-    open_ = invoices.where(F.col("status").isin("pending", "submitted")).select(F.col("id").alias("invoice"), F.lpad(F.col("id").cast("string"), digits, "0").alias("code"))
-    hits = rows.select("row_id", F.explode("codes").alias("code")).join(open_, "code").groupBy("row_id").agg(F.min("invoice").alias("matched_invoice"))
+    open_ = invoices.where(F.col("status").isin("pending", "submitted")).groupBy(invoice_code(F.col("id")).alias("code")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    one = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.raise_error(F.lit("open invoices share a code")).cast("long"))
+    hits = rows.select("row_id", F.explode("codes").alias("code")).join(open_.select("code", one.alias("invoice")), "code").groupBy("row_id").agg(F.min("invoice").alias("matched_invoice"))
     found = rows.join(hits, "row_id", "left")
     return found.select("row_id", "txn_id", "amount", "matched_invoice", F.when(F.col("matched_invoice").isNotNull(), "activated").otherwise("received").alias("status"))
 
 
+def settled(invoices: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The invoices after matched transfers, and the payments (invoice_id, account_id, txn_id, amount).
+
+    An open invoice that was paid for becomes paid; its account's other open invoices become void. An invoice that
+    several transfers name has one payment, the one of the least txn_id.
+    """
+    paid = matched.where("matched_invoice IS NOT NULL").groupBy(F.col("matched_invoice").alias("id")).agg(F.min(F.struct("txn_id", "amount")).alias("payment"))
+    rows = invoices.join(paid, "id", "left")
+    payments = rows.where("payment IS NOT NULL").select(F.col("id").alias("invoice_id"), "account_id", "payment.txn_id", "payment.amount")
+    payers = payments.select("account_id", F.lit(True).alias("payer")).distinct()
+    still_open = F.col("status").isin("pending", "submitted") & F.col("payer").isNotNull()
+    status = F.when(F.col("payment").isNotNull(), "paid").when(still_open, "void").otherwise(F.col("status"))
+    after = rows.join(payers, "account_id", "left").withColumn("status", status)
+    return after.select(*invoices.columns), payments
+
+
 def month_usage(events: DataFrame, as_of: datetime) -> DataFrame:
     """tokens_used and messages_used of the month, by account_id."""
     rows = events.where(F.col("created_at") >= ntz(month_start(as_of)))

@@ -21,18 +21,22 @@ def chunks_of(text: Column, target: int = TARGET, separator: str = "\n\n", lossl
     if lossless:
         whole = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / target)), lambda i: F.substring(p, (i * target + 1).cast("int"), F.lit(target)))
         parts = F.flatten(F.transform(parts, whole))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
     gap = len(separator)
+    sizes = F.transform(parts, lambda p, i: F.struct(i.alias("at"), F.length(p).alias("size")))
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("filled"))
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["buf"]) + F.length(p) + gap <= target
-        joined = F.when(acc["buf"] == "", p).otherwise(F.concat(acc["buf"], F.lit(separator), p))
-        flushed = F.when(fits | (acc["buf"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"])))
-        return F.struct(flushed.alias("done"), F.when(fits, joined).otherwise(F.substring(p, 1, target)).alias("buf"))
+    def step(acc: Column, part: Column) -> Column:
+        """Where chunks begin; only numbers are carried along, no text."""
+        fits = acc["filled"] + part["size"] + gap <= target
+        grown = F.when(acc["filled"] == 0, part["size"]).otherwise(acc["filled"] + part["size"] + gap)
+        begins = F.when(fits & (acc["filled"] > 0), acc["begins"]).otherwise(F.concat(acc["begins"], F.array(part["at"])))
+        return F.struct(begins.alias("begins"), F.when(fits, grown).otherwise(F.least(part["size"], F.lit(target))).alias("filled"))
 
-    last = lambda acc: F.when(acc["buf"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"])))
-    packed = F.aggregate(parts, start, step, last)
-    return F.when(F.size(packed) == 0, F.array(F.substring(text, 1, target))).otherwise(packed)
+    begins = F.aggregate(sizes, start, step, lambda acc: acc["begins"])
+    cut = F.transform(parts, lambda p: F.left(p, F.lit(target)))
+    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size(parts)))
+    packed = F.zip_with(begins, ends, lambda b, e: F.array_join(F.slice(cut, b + 1, e - b), separator))
+    return F.when(F.size(parts) == 0, F.array(F.substring(text, 1, target))).otherwise(packed)
 
 
 def chunked(documents: DataFrame, id_col: str = "id", text_col: str = "content", **how) -> DataFrame:
@@ -64,6 +68,26 @@ def with_status(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"status": F.when(empty, "error").otherwise("ready"), "error": F.when(empty, F.left(F.lit("no text found in the file"), F.lit(500))), "char_count": F.length(F.coalesce("content", F.lit("")))})
 
 
+def status_history(documents: DataFrame, most: int = 3) -> DataFrame:
+    """id, step, status of each document's way: pending, then processing and its outcome for every attempt.
+
+    documents has failures, the number of attempts that fail; a failed document is tried again up to `most` attempts.
+    """
+    attempts = F.least(F.col("failures") + 1, F.lit(most))
+    steps = F.transform(F.sequence(F.lit(0), 2 * attempts), lambda i: F.struct(i.alias("step"), F.when(i == 0, "pending").when(i % 2 == 1, "processing").when(i / 2 > F.col("failures"), "ready").otherwise("error").alias("status")))
+    return documents.select("id", F.inline(steps))
+
+
+def scoped_chunks(chunks: DataFrame, documents: DataFrame, bases: DataFrame, shop_id: int, bot_id: int | None = None) -> DataFrame:
+    """Chunks of the active documents of a shop's knowledge bases: those of the bot and those of no bot (all, without one).
+
+    bases (id, shop_id) and documents (id, base_id, bot_id, active) are narrowed before the chunks meet them.
+    """
+    rows = documents.where("active").join(bases.where(F.col("shop_id") == shop_id).select(F.col("id").alias("base_id")), "base_id", "left_semi")
+    rows = rows if bot_id is None else rows.where(F.col("bot_id").isNull() | (F.col("bot_id") == bot_id))
+    return chunks.join(rows.select(F.col("id").alias("document_id"), "base_id"), "document_id")
+
+
 def blocked(documents: DataFrame, limits: DataFrame, hard_mb: int = 25) -> DataFrame:
     """Which documents (account_id, n-th of its account, bytes) a plan's limits block; a limit of 0 is none."""
     rows = documents.join(limits, "account_id")

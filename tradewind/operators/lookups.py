@@ -44,6 +44,14 @@ def keyset_page(messages: DataFrame, conversation_id: int, limit: int, before: d
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(clamp(limit, 1, 200)).orderBy("created_at", "id")
 
 
+def poll(messages: DataFrame, conversation_id: int, after: datetime | None = None, limit: int = 200) -> DataFrame:
+    """A conversation's messages that came later than a time, oldest first; without one, all up to limit."""
+    rows = messages.where(F.col("conversation_id") == conversation_id)
+    if after is not None:
+        rows = rows.where(F.col("created_at") > ntz(after))
+    return rows.orderBy("created_at", "id").limit(clamp(limit, 1, 200))
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_n = 1").drop("_n")
 

@@ -2,33 +2,62 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens, number_text, relevant
-from tradewind.functions.text import DIM, bucket, tokens, trigrams, word_similarity
+from tradewind.functions.text import DIM, tokens, trigrams, word_similarity
 
 CANDIDATES = 20
 RRF_K = 60
-QUERY_BLOCK = 1024
+BLOCK = 2048  # rows on each side of a matrix product
+
+
+def _buckets_of(dim: int):
+    """Token to bucket, a bounded number of tokens: the first eight bytes of the MD5, modulo dim."""
+
+    class Buckets(dict):
+        def __missing__(self, token: str) -> int:
+            if len(self) >= 500_000:
+                self.clear()
+            found = self[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big") % dim
+            return found
+
+    return Buckets()
 
 
 def hash_embedding(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
-    """Sparse form of the bag-of-words embedding: id, bucket, weight, each id's weights of length one."""
-    words = items.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token"))
-    counts = words.groupBy("id", bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")).cast("double"))
-    return counts.select("id", "bucket", (F.col("n") / norm).alias("weight"))
+    """Sparse form of the bag-of-words embedding: id, bucket, weight, each row's weights of length one.
+
+    Rows are embedded where they are read: nothing is shuffled, and of each batch a token is hashed once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _buckets_of(dim)
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            bucket_of = np.array([known[w] for w in words.dictionary.to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            place, n = np.unique(row * dim + (bucket_of[words.indices.to_numpy()] if len(words) else 0), return_counts=True)
+            row, where = place // dim, place % dim
+            norm = np.sqrt(np.bincount(row, weights=(n * n).astype(np.float64), minlength=len(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(where.astype(np.int32)), pa.array(n / norm[row])], names=["id", "bucket", "weight"])
+
+    rows = items.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
+    return rows.mapInArrow(run, "id long, bucket int, weight double")
 
 
-def sparse_cosine(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query, id, score of all pairs that share a bucket, of two sparse embeddings."""
-    q = queries.select(F.col("id").alias("query"), "bucket", F.col("weight").alias("q"))
-    return q.join(items, "bucket").groupBy("query", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+def hash_vectors(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
+    """Dense form of the same: id and embedding; texts without tokens have none."""
+    entries = hash_embedding(items, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
 def ranked(scores: DataFrame, k: int = CANDIDATES, by: str = "score") -> DataFrame:
@@ -37,59 +66,55 @@ def ranked(scores: DataFrame, k: int = CANDIDATES, by: str = "score") -> DataFra
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """query, id, score, rank: the k nearest items by cosine for a stated set of queries.
+def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block: int = BLOCK, digits: int | None = None) -> DataFrame:
+    """query, id, score, rank: the k nearest items by cosine for a stated set of queries (both: id, embedding).
 
-    Queries (id, embedding) are taken in blocks of QUERY_BLOCK; every task scores its items against a block with
-    one matrix product and keeps its own best k, and the bests of all tasks are ranked. Items without an
-    embedding are invisible.
+    Both sides are dealt to blocks of about `block` rows, every two blocks meet in one group, which is one matrix
+    product, and of each group's scores only the k best of a query go on (ties: the least ids). So no task and no
+    driver holds more than two blocks. Rows without an embedding are invisible; digits rounds the scores first.
     """
-    spark = items.sparkSession
-    found = None
-    block: list = []
-
-    def scored(rows: list) -> DataFrame:
-        ids = np.array([r.id for r in rows])
-        q = np.array([r.embedding for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))  # QUERY_BLOCK vectors
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                s = unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                item = pdf["id"].to_numpy()
-                yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": item[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
-
-        return items.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(run, "query long, id long, score double")
-
-    for row in queries.where("embedding IS NOT NULL").select("id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found = scored(block) if found is None else found.unionByName(scored(block))
-            block = []
-    if block or found is None:
-        part = scored(block) if block else spark.createDataFrame([], "query long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+    there = "embedding IS NOT NULL"
+    n_q, n_x = (max(1, -(-df.where(there).count() // block)) for df in (queries, items))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        rows = df.where(there).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("id", kind="stable")
+        x = np.stack(pdf["embedding"].to_numpy())
+        return pdf["id"].to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query": [], "id": [], "score": []})
+        (names, a), (ids, b) = unit(q), unit(x)
+        s = a @ b.T if digits is None else np.round(a @ b.T, digits)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query": np.repeat(names, at.shape[1]), "id": ids[at].ravel(), "score": np.take_along_axis(s, at, axis=1).ravel()})
+
+    q, x = dealt(queries, "q_block", n_q, "x_block", n_x), dealt(items, "x_block", n_x, "q_block", n_q)
+    found = q.groupBy("q_block", "x_block").cogroup(x.groupBy("q_block", "x_block")).applyInPandas(best, "query long, id long, score double")
     return ranked(found, k)
 
 
 def lexical_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, least: float = 0.1) -> DataFrame:
     """query, id, score, rank by word similarity over `least`, of queries and items (id, text).
 
-    An inverted table of trigrams gives the candidates; the share of the query's trigrams that an item has bounds
-    its score from above, so only items over `least` by that are scored.
+    The share of a query's trigrams that an item has bounds its score from above. An item over `least` by that shares
+    one of the query's rarest trigrams, all but so many as it may lack; so only those are looked up in the inverted
+    table, and the commonest trigrams are not joined. What is found is held against the bound, then scored.
     """
-    q = queries.where(F.length(F.trim("text")) > 0).select(F.col("id").alias("query"), F.col("text").alias("q"), F.explode(trigrams(F.col("text"))).alias("gram"))
-    size = q.groupBy("query", "q").agg(F.count("*").alias("grams"))
-    grams = items.select("id", F.explode(trigrams(F.col("text"))).alias("gram"))
-    shared = q.drop("q").join(grams, "gram").groupBy("query", "id").agg(F.count("*").alias("shared"))
-    likely = shared.join(size, "query").where(F.col("shared") / F.col("grams") > least)
-    scored = likely.join(items.select("id", "text"), "id").select("query", "id", word_similarity(F.col("q"), F.col("text")).alias("score"))
+    q = queries.where(F.length(F.trim("text")) > 0).select(F.col("id").alias("query"), F.col("text").alias("q"), trigrams(F.col("text")).alias("q_grams"))
+    x = items.select("id", "text", trigrams(F.col("text")).alias("grams"))
+    asked = q.select("query", F.size("q_grams").alias("n"), F.explode("q_grams").alias("gram"))
+    table = x.select("id", F.explode("grams").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = table.groupBy("gram").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("query").orderBy("often", "gram")
+    rarest = asked.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.floor(F.col("n") * least))
+    pairs = rarest.select("query", "gram").join(table, "gram").select("query", "id").distinct()
+    likely = pairs.join(q, "query").join(x, "id").where(F.size(F.array_intersect("q_grams", "grams")) / F.size("q_grams") > least)
+    scored = likely.select("query", "id", word_similarity(F.col("q"), F.col("text")).alias("score"))
     return ranked(scored.where(F.col("score") > least), k)
 
 

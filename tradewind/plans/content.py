@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens
-from tradewind.functions.text import bucket, fitted, tokens
+from tradewind.functions.text import DIM, bucket, fitted, tokens
 from tradewind.operators import conversations, ingest, lookups, retrieval
 from tradewind.plans.catalog import Tables, query
-from tradewind.sources import readers, webhooks
+from tradewind.functions.signatures import hmac_sha256, webhook_signed
+from tradewind.sources import readers, sinks, webhooks
 from tradewind.streaming import events
 
 #: Fixed queries of the lookups.
@@ -138,12 +141,12 @@ def hash_embedding(t: Tables) -> DataFrame:
     return retrieval.hash_embedding(t.document, "id", "content").withColumn("weight", F.round("weight", 6))
 
 
-@query("""WITH e AS (SELECT id, list_transform(embedding[1:48], lambda x: cast(x AS double)) AS v FROM v_vector WHERE embedding IS NOT NULL), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
-  SELECT id, list_sum(list_transform(v, lambda x: round(x / n, 6)))::double AS total, round(v[1] / n, 6) AS first, round(v[48] / n, 6) AS last FROM n""")
+@query("""WITH e AS (SELECT id, list_transform(list_concat(embedding, list_transform(range(320), lambda i: 0::FLOAT)), lambda x: cast(x AS double)) AS v FROM v_vector WHERE embedding IS NOT NULL), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
+  SELECT id, list_sum(list_transform(v, lambda x: round(x / n, 6)))::double AS total, round(v[1] / n, 6) AS first, round(v[384] / n, 6) AS last FROM n""")
 def embedding_fit(t: Tables) -> DataFrame:
-    v = fitted(F.col("embedding"), 48)
+    v = fitted(F.col("embedding"), DIM)
     rows = t.vector.where("embedding IS NOT NULL").select("id", v.alias("v"))
-    return rows.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.col("v")[0].alias("first"), F.col("v")[47].alias("last"))
+    return rows.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.col("v")[0].alias("first"), F.col("v")[DIM - 1].alias("last"))
 
 
 DENSE = """SELECT q.id AS query, v.id AS id, list_cosine_similarity(cast(q.embedding AS double[]), cast(v.embedding AS double[])) AS score FROM v_vector q, v_vector v WHERE q.id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL"""
@@ -189,8 +192,8 @@ HYBRID = f"""q AS ({PRODUCT_QUERIES}), p AS (SELECT id, {PRODUCT_TEXT} AS text F
 
 def hybrid(t: Tables) -> DataFrame:
     q, p = product_queries(t), product_items(t)
-    cos = retrieval.sparse_cosine(retrieval.hash_embedding(q, "id", "text"), retrieval.hash_embedding(p, "id", "text")).withColumn("score", F.round("score", 9))
-    return retrieval.gated(retrieval.fused(retrieval.ranked(cos), retrieval.lexical_topk(q, p)))
+    dense = retrieval.dense_topk(retrieval.hash_vectors(q), retrieval.hash_vectors(p), digits=9).where("score > 0")
+    return retrieval.gated(retrieval.fused(dense, retrieval.lexical_topk(q, p)))
 
 
 @query(f"WITH {HYBRID} SELECT query, id, cast(place AS integer) AS place, round(score, 6) AS score, round(vscore, 6) AS vscore, round(kwscore, 6) AS kwscore, kw FROM g")
@@ -206,14 +209,22 @@ def rag_response(t: Tables) -> DataFrame:
     return rows.select("query", "id", "name", F.round("score", 4).alias("score"), F.round("vscore", 4).alias("vscore"), F.round("kwscore", 4).alias("kwscore"), "price", listed.alias("variants"))
 
 
-@query(f"""WITH {HYBRID} SELECT query, string_agg('- [product] ' || p.name || ': ' || coalesce(p.description, ''), chr(10) ORDER BY place) AS context FROM g JOIN v_product p ON p.id = g.id GROUP BY 1""")
+@query(f"""WITH {HYBRID}, k AS (SELECT shop_id, arg_min(title, id) AS title, arg_min(content, id) AS content FROM v_document WHERE active AND bot_id IS NULL GROUP BY 1),
+  b AS (SELECT query, place, 'product' AS source, p.name AS title, coalesce(p.description, '') AS body, p.shop_id FROM g JOIN v_product p ON p.id = g.id),
+  u AS (SELECT query, place, source, title, body FROM b UNION ALL SELECT query, 100 + min(place), 'knowledge', k.title, substring(k.content, 1, 200) FROM b JOIN k USING (shop_id) GROUP BY query, shop_id, k.title, k.content)
+  SELECT query, string_agg('- [' || source || '] ' || title || ': ' || body, chr(10) ORDER BY place) AS context FROM u GROUP BY 1""")
 def context_union(t: Tables) -> DataFrame:
-    return retrieval.rendered(hybrid_blocks(t))
+    """Product blocks, then a knowledge block (the first general document) of every shop that they come from."""
+    products = hybrid_blocks(t, "shop_id")
+    general = lookups.first_per_group(t.document.where("active AND bot_id IS NULL"), ["shop_id"], ["id"]).select("shop_id", "title", F.substring("content", 1, 200).alias("body"))
+    shops = products.groupBy("query", "shop_id").agg((F.min("place") + 100).alias("place"))
+    knowledge = shops.join(general, "shop_id").select("query", "place", F.lit("knowledge").alias("source"), "title", "body")
+    return retrieval.rendered(products.drop("shop_id").unionByName(knowledge))
 
 
-def hybrid_blocks(t: Tables) -> DataFrame:
-    p = t.product.select("id", F.col("name").alias("title"), F.coalesce("description", F.lit("")).alias("body"))
-    return hybrid(t).join(p, "id").select("query", "place", F.lit("product").alias("source"), "title", "body")
+def hybrid_blocks(t: Tables, *more: str) -> DataFrame:
+    p = t.product.select("id", *more, F.col("name").alias("title"), F.coalesce("description", F.lit("")).alias("body"))
+    return hybrid(t).join(p, "id").select("query", "place", F.lit("product").alias("source"), "title", "body", *more)
 
 
 @query("""WITH x AS (SELECT product_id, name, name || ' (in stock ' || stock || ', ' || printf('%g', cast(price AS double)) || ')' AS txt FROM v_product_variant), v AS (SELECT product_id, string_agg(txt, ', ' ORDER BY name, txt) AS v FROM x GROUP BY 1)
@@ -248,6 +259,33 @@ def chunk_documents(t: Tables) -> DataFrame:
     return fixture_chunks(t)
 
 
+#: The same after lines have been cut into pieces of at most 800 characters.
+LOSSLESS = FOLD.replace("lines AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM (", "lines AS (SELECT id, substring(p, cast(800 * j + 1 AS integer), 800) AS p, row_number() OVER (PARTITION BY id ORDER BY i, j) AS i FROM (SELECT id, i, p, unnest(range((length(p) - 1) // 800 + 1)) AS j FROM (").replace("AS l WHERE p <> '')", "AS l WHERE p <> '') AS r)")
+
+
+@query(f"WITH RECURSIVE {LOSSLESS} SELECT * FROM chunks")
+def chunk_documents_lossless(t: Tables) -> DataFrame:
+    return ingest.chunked(t.document, separator="\n", lossless=True)
+
+
+@query(f"WITH RECURSIVE {FOLD} SELECT document_id, ordinal, s.id AS base_id FROM chunks JOIN v_document d ON d.id = document_id JOIN v_shop s ON s.id = d.shop_id WHERE d.active AND s.organization_id = 2 AND (d.bot_id IS NULL OR d.bot_id = 3)")
+def chunk_scope(t: Tables) -> DataFrame:
+    """Chunks by document by knowledge base: a shop stands for a base, its organization for the scope."""
+    bases = t.shop.select("id", F.col("organization_id").alias("shop_id"))
+    documents = t.document.select("id", F.col("shop_id").alias("base_id"), "bot_id", "active")
+    return ingest.scoped_chunks(fixture_chunks(t), documents, bases, 2, 3).select("document_id", "ordinal", "base_id")
+
+
+@query("SELECT d.id, i AS step, CASE WHEN i = 0 THEN 'pending' WHEN i % 2 = 1 THEN 'processing' WHEN i // 2 > d.id % 5 THEN 'ready' ELSE 'error' END AS status FROM v_document d, range(7) AS r(i) WHERE i <= 2 * least(d.id % 5 + 1, 3)")
+def ingest_attempts(t: Tables) -> DataFrame:
+    return ingest.status_history(t.document.select("id", (F.col("id") % 5).cast("int").alias("failures"))).select("id", F.col("step").cast("long").alias("step"), "status")
+
+
+@query("SELECT id, role, created_at FROM v_message WHERE conversation_id = 7 AND created_at > timestamp '2024-01-01 07:02:00' ORDER BY created_at, id LIMIT 200")
+def poll_messages(t: Tables) -> DataFrame:
+    return lookups.poll(t.message, 7, datetime(2024, 1, 1, 7, 2)).select("id", "role", "created_at")
+
+
 @query(f"WITH RECURSIVE {FOLD} SELECT document_id, left(string_agg(content, chr(10) || chr(10) ORDER BY ordinal), 200000) AS text FROM chunks GROUP BY 1")
 def document_text(t: Tables) -> DataFrame:
     return ingest.document_text(fixture_chunks(t))
@@ -316,15 +354,45 @@ def normalize_events(t: Tables) -> DataFrame:
     return webhooks.normalised(payloads(t))
 
 
+KEY = "shared secret"
+PADS = ["".join(f"\\x{b ^ pad:02X}" for b in KEY.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT id, id % 3 <> 0 AS signed, 'sha256=' || sha256('{PADS[1]}'::BLOB || unhex(sha256('{PADS[0]}'::BLOB || encode(content)))) AS signature FROM v_message")
+def webhook_signature(t: Tables) -> DataFrame:
+    """Message bodies with their signatures; every third header is wrong and refused."""
+    right = F.concat(F.lit("sha256="), hmac_sha256(KEY.encode(), F.col("content")))
+    sent = t.message.select("id", "content", right.alias("signature"), F.when(F.col("id") % 3 != 0, right).otherwise(F.lit("sha256=0")).alias("header"))
+    return sent.select("id", webhook_signed(KEY, F.col("content"), F.col("header")).alias("signed"), "signature")
+
+
+@query("SELECT id, title, cast(length(content) AS varchar) AS chars FROM v_document")
+def csv_export(t: Tables) -> DataFrame:
+    """A report written as CSV and read back."""
+    path = events.scratch(t.spark, "report")
+    sinks.write_csv(t.document.select("id", "title", F.length("content").cast("string").alias("chars")), path)
+    return t.spark.read.option("header", True).schema("id long, title string, chars string").csv(path)
+
+
+@query("SELECT id, role FROM v_message UNION ALL SELECT id, role FROM v_message WHERE id % 2 = 0")
+def append_rows(t: Tables) -> DataFrame:
+    """Two appends to one table, read back."""
+    path = events.scratch(t.spark, "append")
+    rows = t.message.select("id", "role")
+    sinks.append(rows, path, ["role"])
+    sinks.append(rows.where("id % 2 = 0"), path, ["role"])
+    return t.spark.read.schema("id long, role string").parquet(path)
+
+
 @query("""SELECT id, CASE WHEN regexp_matches(lower(content), 'order|ship|tracking|delivery') THEN 'order' WHEN regexp_matches(lower(content), 'price|size|stock|variant|colour') THEN 'product' ELSE 'knowledge' END AS intent FROM v_message""")
 def intent_classify(t: Tables) -> DataFrame:
     return conversations.classified(t.message).select("id", "intent")
 
 
 @query("""SELECT id, conversation_id, role, cast(row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS integer) AS position
-  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) AS n FROM v_message) AS x WHERE n <= 4""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) AS n FROM v_message) AS x WHERE n <= 16""")
 def memory_window(t: Tables) -> DataFrame:
-    return conversations.memory_window(t.message, 4).select("id", "conversation_id", "role", "position")
+    return conversations.memory_window(t.message, 16).select("id", "conversation_id", "role", "position")
 
 
 @query("""SELECT channel_id, customer_ref, arg_max(id, created_at) AS conversation_id, coalesce(arg_max_null(customer_name, created_at), arg_max(customer_name, created_at)) AS customer_name, count(*) AS conversations FROM v_conversation GROUP BY 1, 2""")

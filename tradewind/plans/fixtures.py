@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = datetime(2024, 1, 20, 12)
 INVOICES_AS_OF = datetime(2001, 7, 20)
+#: Memos name invoices by the code of their id and this number.
+CODE_BASE = 900_000_000
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -18,6 +20,7 @@ class Spark:
     days = staticmethod(lambda n: f"make_dt_interval({n})")
     hours = staticmethod(lambda n: f"make_dt_interval(0, {n})")
     minutes = staticmethod(lambda n: f"make_dt_interval(0, 0, {n})")
+    code = staticmethod(lambda c: f"format_string('%08X', {c})")
     text = "string"
 
 
@@ -27,6 +30,7 @@ class Duck:
     days = staticmethod(lambda n: f"to_days(cast({n} as integer))")
     hours = staticmethod(lambda n: f"to_hours({n})")
     minutes = staticmethod(lambda n: f"to_minutes({n})")
+    code = staticmethod(lambda c: f"format('{{:08X}}', {c})")
     text = "varchar"
 
 
@@ -50,7 +54,7 @@ def _tables(d) -> dict[str, str]:
   CASE {k} % 4 WHEN 0 THEN 'small' WHEN 1 THEN '' WHEN 2 THEN 'large' END AS llm_model, CASE WHEN {ai} THEN 10 * {k} ELSE 0 END AS input_tokens, CASE WHEN {ai} THEN {k} ELSE 0 END AS output_tokens,
   CASE WHEN {ai} THEN 0 ELSE 7 * {k} END AS embedding_tokens, cast(floor(value) as integer) AS latency_ms,
   cast(cast(75 * {k} as decimal(12,0)) * cast(0.000001 as decimal(7,6)) as decimal(12,6)) AS estimated_cost, ts AS created_at
-  FROM events WHERE ts <= {d.ts(AS_OF)}""",
+  FROM events""",
         "invoice": f"""SELECT o_orderkey AS id, cast(o_custkey % 5 as integer) AS organization_id, o_custkey AS account_id, CASE o_orderkey % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' ELSE 'payg' END AS plan_code,
   cast(o_totalprice as decimal(12,2)) AS amount, CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'submitted' ELSE 'void' END END AS status,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'card' WHEN '2-HIGH' THEN 'wallet' WHEN '3-MEDIUM' THEN 'gateway' WHEN '4-NOT SPECIFIED' THEN 'admin_manual' ELSE 'bank' END AS provider,
@@ -76,7 +80,7 @@ def _tables(d) -> dict[str, str]:
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
         "vector": "SELECT vec_id AS id, CASE WHEN vec_id % 17 <> 0 THEN embedding END AS embedding, nullif(label, 0) AS bot_id, cast(vec_id % 25 as integer) AS shop_id, vec_id % 11 <> 0 AS active FROM embeddings",
         "transfer": f"""SELECT o_orderkey - o_orderkey % 20 % 3 AS txn_id, o_orderkey AS row_id, cast(o_totalprice as decimal(12,2)) AS amount, CASE o_orderkey % 7 WHEN 0 THEN 'out' WHEN 1 THEN '' ELSE 'in' END AS transfer_type,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'thanks ' || o_orderpriority ELSE 'pay ' || CASE WHEN o_orderkey % 2 = 0 THEN 'qr-' ELSE 'INV ' END || lpad(cast(o_orderkey as {d.text}), 8, '0') || '.ref' END AS memo, o_orderdate AS created_at FROM orders""",
+  CASE WHEN o_orderkey % 5 = 0 THEN 'thanks ' || o_orderpriority ELSE 'pay ' || CASE WHEN o_orderkey % 2 = 0 THEN 'qr-' ELSE 'INV ' END || {d.code('o_orderkey + ' + str(CODE_BASE))} || '.ref' END AS memo, o_orderdate AS created_at FROM orders""",
     }
 
 

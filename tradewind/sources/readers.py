@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import zipfile
@@ -24,13 +25,17 @@ NS = {
 }
 
 
+#: How a file may be encoded, by the byte-order mark that it begins with.
+MARKS = {codecs.BOM_UTF8: "utf-8-sig", codecs.BOM_UTF16_LE: "utf-16", codecs.BOM_UTF16_BE: "utf-16"}
+
+
 def decoded(raw: bytes) -> str:
-    for encoding in ("utf-8", "utf-16", "latin-1"):
-        try:
-            return raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return ""
+    """By its byte-order mark; without one UTF-8 if it is valid, else each byte is one character."""
+    marked = next((name for mark, name in MARKS.items() if raw.startswith(mark)), None)
+    if marked:
+        return raw.decode(marked, "replace")
+    text = raw.decode("utf-8", "surrogateescape")
+    return text if text.isascii() or not any("\udc80" <= c <= "\udcff" for c in text) else raw.decode("latin-1")
 
 
 class _Text(HTMLParser):

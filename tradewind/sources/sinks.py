@@ -46,5 +46,6 @@ def write_csv(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def audit_rows(rows: DataFrame, action: str, target: Column, *detail: str) -> DataFrame:
-    return rows.select(F.lit(action).alias("action"), target.cast("string").alias("target"), F.to_json(F.struct(*detail)).alias("detail"))
+def audit_rows(rows: DataFrame, action: str, target: Column, detail: list[str], *more: Column) -> DataFrame:
+    """One entry of the audit log for each row: action, target, the detail columns as JSON, and what else is asked for."""
+    return rows.select(*more, F.lit(action).alias("action"), target.cast("string").alias("target"), F.to_json(F.struct(*detail)).alias("detail"))

@@ -70,6 +70,6 @@ def transfers(raw: DataFrame) -> DataFrame:
     either = lambda k, kind="string": F.when(is_json, F.col(f"j.{k}")).otherwise(form(k).try_cast(kind))
     rows = raw.withColumn("j", json)
     return rows.select(
-        either("id", "long").alias("txn_id"), F.coalesce(either("transferAmount", "double"), F.lit(0.0)).alias("amount"), F.coalesce(F.nullif(either("content"), F.lit("")), either("description"), F.lit("")).alias("memo"),
+        *(["row_id"] if "row_id" in raw.columns else []), either("id", "long").alias("txn_id"), F.coalesce(either("transferAmount", "double"), F.lit(0.0)).alias("amount"), F.coalesce(F.nullif(either("content"), F.lit("")), either("description"), F.lit("")).alias("memo"),
         F.lower(F.coalesce(either("transferType"), F.lit(""))).alias("transfer_type"), F.coalesce(either("gateway"), F.lit("")).alias("gateway"), F.coalesce(either("accountNumber"), F.lit("")).alias("account"), F.coalesce(either("referenceCode"), F.lit("")).alias("reference"),
     )
