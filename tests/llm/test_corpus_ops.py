@@ -1,7 +1,9 @@
 """Language id, quality rules, archive, dedup, near duplicates, sharding and the pipeline."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -85,6 +87,49 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in langid.predict(table(spark, ODD), None).collect()} == {"und"}
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(3)
+    how = langid.Training(epochs=2, l1=0.01, l2=0.2)
+    examples = [(np.array(sorted(rng.sample(range(30), 4)), dtype=np.int32), np.array([rng.random() + 0.1 for _ in range(4)]), rng.randrange(3)) for _ in range(40)]
+    got_w, got_b = langid.fit_ftrl(examples, 3, how)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c):
+        if abs(z[f, c]) <= how.l1:
+            return 0.0
+        return -(z[f, c] - math.copysign(how.l1, z[f, c])) / ((how.beta + math.sqrt(n[f, c])) / how.alpha + how.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(how.epochs):
+        for i in order.permutation(len(examples)):
+            at, x, y = examples[i]
+            pairs = [*zip(at.tolist(), x.tolist()), (langid.DIM, 1.0)]
+            w = {(f, c): weight(f, c) for f, _ in pairs for c in range(3)}
+            s = [sum(w[f, c] * v for f, v in pairs) for c in range(3)]
+            total = sum(math.exp(v) for v in s)
+            for f, v in pairs:
+                for c in range(3):
+                    g = v * (math.exp(s[c]) / total - (c == y))
+                    sigma = (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / how.alpha
+                    z[f, c] += g - sigma * w[f, c]
+                    n[f, c] += g * g
+    assert np.allclose(got_w[:30], [[weight(f, c) for c in range(3)] for f in range(30)], atol=1e-5)
+    assert np.allclose(got_b, [weight(langid.DIM, c) for c in range(3)], atol=1e-6)
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(4)
+    logits = rng.normal(size=(400, 3)) * 5
+    y = np.array([rng.choice(3, p=np.exp(v / 2.5) / np.exp(v / 2.5).sum()) for v in logits])
+
+    def loss(t):
+        s = logits / t - (logits / t).max(axis=1, keepdims=True)
+        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
+
+    found = langid.fit_temperature(logits, y)
+    assert loss(found) <= min(loss(t) for t in np.linspace(0.5, 10, 300)) + 1e-6 and 1.8 < found < 3.5
+
+
 def test_ngrams_do_not_depend_on_stretches():
     text = "abcé " * 300_000
     whole = langid.ngram_counts(text)
@@ -161,6 +206,13 @@ def test_state_is_read_back(spark, tmp_path):
     assert state.entries().first().group_size == 5 and [v.rsplit("/", 1)[1] for v in state.versions()] == ["until-3", "batch-4"]
 
 
+def test_durable_state_goes_on(spark, tmp_path):
+    for begin in (0, 60):
+        rows = spark.range(begin, begin + 60).select((F.col("id") % 40).cast("string").cast("binary").alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("row"), F.lit("f").alias("locator"))
+        got = {r.digest: r for r in dedup.run_stream(staged(rows.repartition(6), "arrivals"), files_per_batch=2, path=f"file://{tmp_path}/state").collect()}
+    assert len(got) == 40 and all(r.group_size == 3 and r.holder.doc_id == 80 + int(bytes(d)) for d, r in got.items())
+
+
 def test_member_test_never_misses(spark):
     keys = spark.range(0, 2000, 7).withColumn("id", F.when(F.col("id") != 0, F.col("id")))
     maybe = members.member_test(keys, "id")
@@ -266,6 +318,36 @@ def test_shards(spark):
     assert set(rows[rows["size"] == 1].text_crc32) == {0} and sharding.shard(table(spark, ODD).limit(0)).count() == 0
 
 
+def plain_place(x, n, seed):
+    """The same permutation of whole numbers, by Python's own numbers."""
+    m64 = 2**64 - 1
+
+    def mix(v, key):
+        v = (v + key) * 0x9E3779B97F4A7C15 & m64
+        v = (v ^ v >> 32) * 0xD6E8FEB86659FD93 & m64
+        return v ^ v >> 32
+
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    keys = [mix(seed, r + 1) for r in range(6)]
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for key in keys:
+            left, right = right, left ^ mix(right, key) & (1 << half) - 1
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shards_equal_brute_force(spark):
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    want = {}
+    for i, r in enumerate(docs):
+        place, raw = plain_place(i, len(docs), 20_260), (r.text or "").encode()
+        want[r.doc_id] = (len(raw) + 1, zlib.crc32(raw), "rows", place % 8, place // 8, None)
+    got = {r.doc_id: (r["size"], r.text_crc32, r.law, r["shard"], r.slot, r.grown_shard) for r in registry.op9_sharding(spark, SF).collect()}
+    assert got == want
+
+
 # --- pipeline ---
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from array import array
 
@@ -10,7 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tradewind.llm import bpe, packing, rangecoder, tokenfiles, tokenization
+from conftest import SF
+from tradewind.llm import bpe, packing, rangecoder, registry, tokenfiles, tokenization
 from tradewind.llm.registry import vocabulary
 
 TEXTS = ["Hello, WORLD it's 12", "", None, "  two  spaces \n\n lines\n", "é É ﬁ İ. ΣΑΣ क़ 日本 😀", "<|endoftext|>x <|startoftext|>", "word " * 3000, "a" * 5000, "x.\nY\n\nZ ", "same", "same", " ", "a b c\x1cd"]
@@ -49,10 +51,20 @@ def test_packing_covers_every_id_once(spark, docs):
     for _, g in rows.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
-    assert rows.length.sum() == sum(len(ids) for _, ids in want)
-    single = rows[rows.doc_id == 7].sort_values("start")
-    ids = encode(TEXTS[7]) + [1]
-    assert [zlib.crc32(array("I", ids[s : s + n]).tobytes()) for s, n in zip(single.start, single.length)] == single.ids_crc32.tolist()
+    got = []  # every id of every document lies in exactly one piece
+    for doc, g in rows.assign(doc=rows.doc_id.fillna(-1).astype(int)).groupby("doc"):
+        same = [ids for d, ids in want if d == doc]
+        assert set(g.doc_tokens) == {len(ids) for ids in same} or len(same) > 1
+        for ids in {i for i in same}:
+            pieces = sorted((r.start, r.length, r.ids_crc32) for r in g.itertuples() if r.doc_tokens == len(ids))
+            copies = same.count(ids)
+            at = 0
+            for start, length, crc in pieces[::copies]:
+                assert start == at and crc == zlib.crc32(array("I", ids[at : at + length]).tobytes())
+                at += length
+            assert at == len(ids) and len(pieces) % copies == 0
+            got += [ids] * copies
+    assert sorted(got) == sorted(ids for _, ids in want)
     assert len(rows[rows.doc_id == 1]) == 1 and rows.doc_id.isna().sum() == 1
     assert packing.pack(docs.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
@@ -110,6 +122,79 @@ def test_bpe_equals_library(spark, docs):
     assert all(r.decoded == t.decode(r.ids, skip_special_tokens=False) for r in rows)
 
 
+def test_query_packs_every_id_of_every_document(spark):
+    encode, _ = library("byte_bpe_50k.json")
+    docs = {r.doc_id: encode(r.text) + [1] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = registry.op1_packing(spark, SF).toPandas().sort_values(["doc_id", "start"])
+    assert set(rows.doc_id) == set(docs)
+    for doc, g in rows.groupby("doc_id"):
+        assert g.start.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() == len(docs[doc])
+        assert [zlib.crc32(array("I", docs[doc][a : a + n]).tobytes()) for a, n in zip(g.start, g.length)] == g.ids_crc32.tolist()
+    windows = rows.groupby("sequence_id").length.sum()
+    assert windows.max() <= 2048 and 1 - windows.sum() / (2048 * len(windows)) < 0.05
+
+
+def test_queries_of_word_tokens_equal_the_library(spark):
+    encode, t = library("word_bpe_49k.json")
+    docs = {r.doc_id: encode(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in registry.op10_bpe(spark, SF).collect():
+        ids = docs[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    at = 0
+    for r in sorted(registry.op5_token_files(spark, SF).collect(), key=lambda r: r.doc_id):
+        ids = docs[r.doc_id] + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(array("I", ids).tobytes()))
+        at += len(ids)
+
+
+def test_every_word_runs_through_the_transducer(monkeypatch):
+    encode, _ = library("word_bpe_49k.json")
+    w = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    taken = []
+    stream = w.merges.stream
+    monkeypatch.setattr(w.merges, "stream", lambda symbols: stream(taken.append(s) or s for s in symbols))
+    text = "several words, several of them again"
+    assert w.encode(text).tolist() == encode(text)
+    assert len(taken) == sum(map(len, {"several", "words", ",", "of", "them", "again"}))
+
+
+@pytest.mark.parametrize(("stretch", "long"), [(65_536, 1_024), (64, 16), (160, 40)])
+def test_streamed_units_equal_library(monkeypatch, stretch, long):
+    encode, _ = library("word_bpe_49k.json")
+    w = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(w, "STRETCH", stretch)
+    monkeypatch.setattr(w, "LONG", long)
+    rng = random.Random(5)
+    atoms = ["foo", "É", "e", "\u0301", " ", "\n", ".", "'s", "'", "'re", "<|endoftext|>", "<|", "12", "\xa0", "Σ", "ς", "日本", "\u1100\u1161", "x" * 30, "!" * 20, "\x1c"]
+    for _ in range(400):
+        text = "".join(rng.choice(atoms) + " " * (rng.random() < 0.05) for _ in range(rng.randint(0, 45)))
+        assert w.encode(text).tolist() == encode(text)
+
+
+def test_memory_does_not_grow_with_a_text(spark):
+    w, peaks = bpe.WordBpe(vocabulary("word_bpe_49k.json")), []
+    for n in (20_000, 60_000):
+        text = "ab!cd" * n
+        tracemalloc.start()
+        assert sum(map(len, w.stretches(text))) > 0
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] < 3_000_000
+
+
+def test_range_coder_beats_order_0_where_contexts_tell():
+    rng = np.random.default_rng(2)
+    after = rng.integers(0, 5000, (5000, 2))
+    ids = [0]
+    for choice in rng.random(60_000) < 0.9:
+        ids.append(int(after[ids[-1], 0 if choice else 1]))
+    ids = np.array(ids)
+    p = np.bincount(ids) / len(ids)
+    plain = -(p[p > 0] * np.log2(p[p > 0])).sum() * len(ids) / 8
+    assert len(rangecoder.encode_block(ids)) < 0.75 * plain
+
+
 def test_stream_of_symbols_equals_merging_at_once():
     rng = random.Random(11)
     for _ in range(300):
