@@ -1,6 +1,7 @@
 """Hand-made cases for rules that the queries over the test tables do not corner."""
 
 import io
+import random
 import zipfile
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from tradewind.functions import signatures
 from tradewind.functions.scalars import number_text, stale
 from tradewind.functions.text import best_extent, sequence_of, trigrams
 from tradewind.operators import billing, ingest, retrieval
+from tradewind.plans import catalog, content  # noqa: F401
 from tradewind.sources import readers, sinks, webhooks
 from tradewind.streaming import events
 from tradewind.tenancy import TenantContext
@@ -93,13 +95,57 @@ def test_broken_webhooks_give_no_rows(spark):
     assert webhooks.normalised(raw).count() == 0
 
 
+TRANSFER = "row_id long, txn_id long, amount double, memo string, transfer_type string, created_at timestamp_ntz"
+
+
+def transfers_of(spark, rows):
+    return spark.createDataFrame([(*r, datetime(2024, 1, 1, 0, r[0] % 60)) for r in rows], TRANSFER)
+
+
 def test_reconcile_takes_the_least_invoice_and_only_incoming(spark):
-    inv = spark.createDataFrame([(12, "pending"), (13, "submitted"), (14, "paid")], "id long, status string")
+    inv = spark.createDataFrame([(12, 1, "pending"), (13, 2, "submitted"), (14, 3, "paid")], "id long, account_id long, status string")
     rows = [(1, 1, 5.0, "QR0000000d inv-0000 000C", "in"), (2, 2, 5.0, "INV0000000C", "out"), (3, 3, 5.0, "INV0000000E", "in"), (4, 4, 5.0, None, ""), (5, 5, 5.0, "QRINV0000000D", "")]
-    got = {r.row_id: r.matched_invoice for r in billing.reconcile(spark.createDataFrame(rows, "row_id long, txn_id long, amount double, memo string, transfer_type string"), inv).collect()}
+    got = {r.row_id: r.matched_invoice for r in billing.reconcile(transfers_of(spark, rows), inv).collect()}
     assert got == {1: 12, 2: None, 3: None, 4: None, 5: 13}
 
 
+def test_a_transaction_id_pays_once(spark):
+    inv = spark.createDataFrame([(12, 1, "pending"), (13, 2, "pending")], "id long, account_id long, status string")
+    rows = [(1, 7, 5.0, "thanks", "in"), (2, 7, 5.0, "INV0000000C", "in"), (3, None, 5.0, "INV0000000D", "in"), (4, None, 5.0, "INV0000000D", "in")]
+    got = {r.row_id: (r.named_invoice, r.matched_invoice) for r in billing.reconcile(transfers_of(spark, rows), inv).collect()}
+    assert got == {1: (None, None), 3: (13, 13), 4: (13, None)}  # row 2 repeats an id; row 4 comes too late
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reconcile_equals_taking_transfers_one_by_one(spark, seed):
+    """Memos with up to four codes, few accounts, so that transfers get in each other's way."""
+    dice = random.Random(seed)
+    invoices = [(i, dice.randrange(8), dice.choice(["pending", "submitted", "paid"])) for i in range(1, 41)]
+    rows = [(n, dice.choice([None, dice.randrange(30)]), 1.0, " ".join(f"inv {dice.randrange(1, 41):08x}" for _ in range(dice.randrange(5))), dice.choice(["in", "", "out"])) for n in range(60)]
+    seen, taken, want = set(), set(), {}
+    for row, txn, _, memo, kind in rows:
+        if txn is not None and txn in seen:
+            continue
+        seen.add(txn)
+        named = sorted(int(code, 16) for code in memo.split() if code != "inv") if kind != "out" else []
+        hits = [i for i in named if invoices[i - 1][2] != "paid" and invoices[i - 1][1] not in taken]
+        want[row] = hits[0] if hits else None
+        taken |= {invoices[i - 1][1] for i in hits[:1]}
+    got = billing.reconcile(transfers_of(spark, rows), spark.createDataFrame(invoices, "id long, account_id long, status string")).collect()
+    assert {r.row_id: r.matched_invoice for r in got} == want and len(got) == len(want) and any(want.values())
+
+
+def test_a_query_is_registered_once():
+    with pytest.raises(ValueError, match="registered already"):
+        catalog.query()(next(iter(catalog.QUERIES.values())).plan)
+
+
+def test_defaults_of_json_objects(spark):
+    rows = spark.createDataFrame([('{"k":1}',), ("{}",), ('{"a":{"b":2}}',), ('{"k":null} ',), ("[1]",), (None,)], "entitlements string")
+    got = [r.entitlements for r in billing.with_default_limits(rows, {"k": 9}).collect()]
+    assert got == ['{"k":1}', '{"k":9}', '{"a":{"b":2},"k":9}', '{"k":null} ', "[1]", None]
+
+
 def test_term_keeps_what_is_left(spark):
     subs = spark.createDataFrame([(1, "growth", datetime(2024, 2, 1)), (2, "starter", datetime(2024, 2, 1)), (3, "growth", datetime(2023, 1, 1))], "account_id long, plan_code string, current_period_end timestamp_ntz")
     pay = spark.createDataFrame([(i, "growth") for i in (1, 2, 3, 4)], "account_id long, paid_plan string")
@@ -134,11 +180,11 @@ def test_signatures(spark):
 
 
 def test_reconcile_codes(spark):
-    invoices = spark.createDataFrame([(10**9, 1, "pending"), (2**32 + 5, 1, "submitted"), (7, 1, "paid")], "id long, account_id long, status string")
+    invoices = spark.createDataFrame([(10**9, 1, "pending"), (2**32 + 5, 2, "submitted"), (7, 3, "paid")], "id long, account_id long, status string")
     memos = ["pay QR-3b9aca00 thanks", "INV 0000.0005", "QR00000007", None, "QR3B9ACA0", "x INV3B9ACA00QR00000005"]
-    transfers = spark.createDataFrame([(i, i, 5.0, m, "in") for i, m in enumerate(memos)], "row_id long, txn_id long, amount double, memo string, transfer_type string")
+    transfers = transfers_of(spark, [(i, i, 5.0, m, "in") for i, m in enumerate(memos)])
     got = {r.row_id: r.matched_invoice for r in billing.reconcile(transfers, invoices).collect()}
-    assert got == {0: 10**9, 1: 2**32 + 5, 2: None, 3: None, 4: None, 5: 10**9}
+    assert got == {0: 10**9, 1: 2**32 + 5, 2: None, 3: None, 4: None, 5: None}
     clash = invoices.union(spark.createDataFrame([(5, 1, "pending")], "id long, account_id long, status string"))
     with pytest.raises(Exception, match="share a code"):
         billing.reconcile(transfers, clash).collect()

@@ -18,6 +18,15 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+#: What a match, a search or a gate must find at least once, so that equal emptiness is no success.
+HITS = {"reconcile_transfers": "matched_invoice IS NOT NULL AND matched_invoice <> named_invoice", "reconcile_webhooks": "matched_invoice IS NOT NULL", "settle_invoices": "status = 'void'", "settle_payments": "true", "lexical_topk": "score < 1", "hybrid_rrf": "kw", "product_search": "true", "quota_running": "NOT allowed", "handoff_policy": "needs_human"}
+
+
+@pytest.mark.parametrize("name", sorted(HITS))
+def test_hits(spark, name):
+    assert not QUERIES[name](spark, SF).where(HITS[name]).isEmpty()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

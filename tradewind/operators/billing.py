@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import letters_and_digits, month_start, ntz
+from tradewind.sources.shared import staged
 
 ENTITLEMENTS = "llm_mode string, billing_mode string, ai_tokens_month long, ai_messages_month long, overage_per_1k double, payg_per_1k double, channels_allowed array<string>, knowledge_docs long, max_file_mb long"
 DAY_S = 86_400
@@ -70,10 +71,13 @@ def renewal_state(entitled: DataFrame, subscriptions: DataFrame, as_of: datetime
 
 
 def first_arrivals(transfers: DataFrame) -> DataFrame:
-    """A transaction id is taken once, the earliest row of it; rows without an id are all taken."""
-    order = Window.partitionBy("txn_id").orderBy("created_at", "row_id")
-    named = transfers.where("txn_id IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return named.unionByName(transfers.where("txn_id IS NULL"))
+    """A transaction id is taken once, the earliest row of it (created_at, row_id); rows without an id are all taken.
+
+    An id that is sent very often is reduced to one row in each task before it is moved.
+    """
+    rest = [c for c in transfers.columns if c not in ("txn_id", "created_at", "row_id")]
+    first = transfers.where("txn_id IS NOT NULL").groupBy("txn_id").agg(F.min_by(F.struct("created_at", "row_id", *rest), F.struct("created_at", "row_id")).alias("first"))
+    return first.select("txn_id", "first.*").select(*transfers.columns).unionByName(transfers.where("txn_id IS NULL"))
 
 
 CODE_DIGITS = 8
@@ -84,29 +88,55 @@ def invoice_code(invoice_id: Column) -> Column:
     return F.lpad(F.hex(F.pmod(invoice_id.cast("long"), F.lit(16**CODE_DIGITS))), CODE_DIGITS, "0")
 
 
-def reconcile(transfers: DataFrame, invoices: DataFrame, prefixes: tuple[str, str] = ("QR", "INV")) -> DataFrame:
-    """Incoming transfers matched to open invoices by the code in the memo; amounts are not compared.
-
-    Every code in a memo is pulled out by its form and joined by equality; of several hits the least invoice id
-    wins, so no transfer is held against every open invoice. Open invoices that share a code stop the run.
-    """
+def _claims(arrivals: DataFrame, invoices: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """turn, invoice, account_id: the open invoices that each incoming transfer names, by the codes in its memo."""
     form = F.lit(f"(?=(?:{'|'.join(prefixes)})([0-9A-F]{{{CODE_DIGITS}}}))")
-    codes = F.regexp_extract_all(letters_and_digits(F.col("memo")), form, F.lit(1))
-    rows = transfers.withColumn("codes", F.when(F.lower("transfer_type").isin("in", ""), codes).otherwise(F.array().cast("array<string>")))
-    open_ = invoices.where(F.col("status").isin("pending", "submitted")).groupBy(invoice_code(F.col("id")).alias("code")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    codes = F.array_distinct(F.regexp_extract_all(letters_and_digits(F.col("memo")), form, F.lit(1)))
+    incoming = arrivals.where(F.lower("transfer_type").isin("in", "")).select(F.struct("created_at", "row_id").alias("turn"), F.explode(codes).alias("code"))
+    open_ = invoices.where(F.col("status").isin("pending", "submitted")).groupBy(invoice_code(F.col("id")).alias("code")).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("account_id").alias("account_id"))
     one = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.raise_error(F.lit("open invoices share a code")).cast("long"))
-    hits = rows.select("row_id", F.explode("codes").alias("code")).join(open_.select("code", one.alias("invoice")), "code").groupBy("row_id").agg(F.min("invoice").alias("matched_invoice"))
-    found = rows.join(hits, "row_id", "left")
-    return found.select("row_id", "txn_id", "amount", "matched_invoice", F.when(F.col("matched_invoice").isNotNull(), "activated").otherwise("received").alias("status"))
+    return incoming.join(open_.select("code", one.alias("invoice"), "account_id"), "code").drop("code")
+
+
+def reconcile(transfers: DataFrame, invoices: DataFrame, prefixes: tuple[str, str] = ("QR", "INV")) -> DataFrame:
+    """First arrivals (row_id, txn_id, amount, memo, transfer_type, created_at) matched to open invoices (id, account_id, status).
+
+    Transfers count in order of arrival: each pays for the least invoice that its memo names and that is open by
+    then, and a payment closes all that its account has open. Amounts are not compared, outgoing money pays nothing,
+    and a transaction id that was seen before is no arrival at all. named_invoice is the least one that was open
+    before any of them; matched_invoice the one that is paid. Open invoices that share a code stop the run.
+
+    No transfer is held against every open invoice: codes are pulled out by their form and joined by equality. Then
+    transfers propose to the account of their least invoice, every account holds on to its earliest proposal, and
+    who is turned away goes on to its next invoice. Since all accounts rank transfers alike, this ends with what
+    taking them one by one gives. A round is two aggregations; there is a further one only while somebody who was
+    turned away has named another account.
+    """
+    arrivals = first_arrivals(transfers)
+    claims = staged(_claims(arrivals, invoices, prefixes), "claims")
+    named = claims.groupBy("turn").agg(F.min("invoice").alias("named_invoice"))
+    live = claims
+    while True:
+        proposals = live.groupBy("turn").agg(F.min(F.struct("invoice", "account_id")).alias("p")).select("turn", "p.*")
+        held = proposals.groupBy("account_id").agg(F.min(F.struct("turn", "invoice")).alias("h")).select("account_id", "h.*")
+        held = staged(held, "held")
+        turned_away = proposals.join(held.select("turn"), "turn", "left_anti").select("turn", "account_id")
+        following = live.join(turned_away, ["turn", "account_id"], "left_anti")
+        if following.join(turned_away.select("turn"), "turn", "left_semi").isEmpty():
+            break
+        live = staged(following, "claims")
+    decided = named.join(held.select("turn", F.col("invoice").alias("matched_invoice")), "turn", "left").select("turn.row_id", "named_invoice", "matched_invoice")
+    found = arrivals.join(decided, "row_id", "left")
+    status = F.when(F.col("matched_invoice").isNotNull(), "activated").otherwise("received").alias("status")
+    return found.select("row_id", "txn_id", "amount", "named_invoice", "matched_invoice", status)
 
 
 def settled(invoices: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The invoices after matched transfers, and the payments (invoice_id, account_id, txn_id, amount).
 
-    An open invoice that was paid for becomes paid; its account's other open invoices become void. An invoice that
-    several transfers name has one payment, the one of the least txn_id.
+    The invoice that was paid for becomes paid; its account's other open invoices become void.
     """
-    paid = matched.where("matched_invoice IS NOT NULL").groupBy(F.col("matched_invoice").alias("id")).agg(F.min(F.struct("txn_id", "amount")).alias("payment"))
+    paid = matched.where("matched_invoice IS NOT NULL").select(F.col("matched_invoice").alias("id"), F.struct("txn_id", "amount").alias("payment"))
     rows = invoices.join(paid, "id", "left")
     payments = rows.where("payment IS NOT NULL").select(F.col("id").alias("invoice_id"), "account_id", "payment.txn_id", "payment.amount")
     payers = payments.select("account_id", F.lit(True).alias("payer")).distinct()
@@ -132,11 +162,12 @@ def resolve_config(names: DataFrame, platform: DataFrame, tenant: DataFrame, all
     return rows.select("name", F.coalesce(*given, default).alias("value"), F.when(F.col("p").isNotNull(), "platform").when(F.col("t").isNotNull() & F.lit(allow_tenant), "tenant").otherwise("default").alias("origin"))
 
 
-def with_default_limits(plans: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Plans' entitlements with the limits that they do not state (a stated null counts as stated)."""
+def with_default_limits(plans: DataFrame, limits: dict[str, int], column: str = "entitlements") -> DataFrame:
+    """Plans' JSON objects with the limits that they do not state (a stated null counts as stated); what is no object stays."""
     out = plans
     for key, value in limits.items():
-        keys = F.json_object_keys("entitlements")
-        lacking = ~F.array_contains(keys, key)
-        out = out.withColumn("entitlements", F.when(lacking, F.concat(F.expr("rtrim('}', entitlements)"), F.lit(f',"{key}":{value}}}'))).otherwise(F.col("entitlements")))
+        text = F.rtrim(column)
+        keys = F.json_object_keys(column)
+        added = F.concat(F.left(text, F.length(text) - 1), F.when(F.size(keys) > 0, ",").otherwise(""), F.lit(f'"{key}":{value}}}'))
+        out = out.withColumn(column, F.when(~F.array_contains(keys, key), added).otherwise(F.col(column)))
     return out

@@ -210,17 +210,25 @@ def dedupe_transfers(t: Tables) -> DataFrame:
     return billing.first_arrivals(t.transfer).select("row_id", "txn_id", "amount", "memo")
 
 
-MATCHED = f"""n AS (SELECT *, regexp_replace(upper(memo), '[^A-Z0-9]', '', 'g') AS m FROM v_transfer),
+#: Transfers are taken one after another in order of arrival: each pays for its least invoice that is still open, and
+#: whatever else its account has open is void from then on.
+MATCHED = f"""n AS (SELECT *, regexp_replace(upper(memo), '[^A-Z0-9]', '', 'g') AS m FROM v_transfer QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY created_at, row_id) = 1),
   o AS (SELECT id + {CODE_BASE} AS id, account_id, status FROM v_invoice),
-  h AS (SELECT row_id, min(o.id) AS matched_invoice FROM n JOIN o ON o.status IN ('pending', 'submitted') AND format('{{:08X}}', o.id) = regexp_extract(m, '(QR|INV)([0-9A-F]{{8}})', 2) WHERE transfer_type IN ('in', '') GROUP BY 1),
-  r AS (SELECT n.row_id, txn_id, amount, matched_invoice, CASE WHEN matched_invoice IS NOT NULL THEN 'activated' ELSE 'received' END AS status FROM n LEFT JOIN h USING (row_id))"""
+  code AS (SELECT DISTINCT row_id, created_at, unnest(regexp_extract_all(m, '(?:QR|INV)([0-9A-F]{{8}})', 1)) AS code FROM n WHERE transfer_type IN ('in', '')),
+  claim AS (SELECT row_id, created_at, list(struct_pack(inv := o.id, acc := account_id) ORDER BY o.id) AS c FROM code JOIN o ON o.status IN ('pending', 'submitted') AND format('{{:08X}}', o.id) = code GROUP BY ALL),
+  turn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY created_at, row_id) AS i FROM claim),
+  taken AS (SELECT cast(0 AS bigint) AS i, cast(NULL AS bigint) AS row_id, cast(NULL AS bigint) AS inv, cast([] AS bigint[]) AS accounts
+    UNION ALL SELECT i, row_id, p.inv, CASE WHEN p IS NULL THEN accounts ELSE list_append(accounts, p.acc) END
+    FROM (SELECT turn.i, turn.row_id, accounts, list_filter(c, lambda x: NOT list_contains(accounts, x.acc))[1] AS p FROM taken JOIN turn ON turn.i = taken.i + 1) AS step),
+  r AS (SELECT n.row_id, txn_id, amount, c[1].inv AS named_invoice, inv AS matched_invoice, CASE WHEN inv IS NOT NULL THEN 'activated' ELSE 'received' END AS status
+    FROM n LEFT JOIN turn USING (row_id) LEFT JOIN taken USING (row_id))"""
 
 
 def coded_invoices(t: Tables) -> DataFrame:
     return t.invoice.select((F.col("id") + CODE_BASE).alias("id"), "account_id", "status")
 
 
-@query(f"WITH {MATCHED} SELECT * FROM r")
+@query(f"WITH RECURSIVE {MATCHED} SELECT * FROM r")
 def reconcile_transfers(t: Tables) -> DataFrame:
     return billing.reconcile(t.transfer, coded_invoices(t))
 
@@ -230,92 +238,26 @@ def posted_transfers(t: Tables) -> DataFrame:
     fields = {"id": "txn_id", "transferAmount": "amount", "content": "memo", "transferType": "transfer_type"}
     body = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in fields.items())))
     form = F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(F.col(c).cast("string"))) for k, c in fields.items()))
-    raw = t.transfer.select("row_id", F.when(F.col("row_id") % 2 == 0, body).otherwise(form).alias("body"))
+    raw = t.transfer.select("row_id", "created_at", F.when(F.col("row_id") % 2 == 0, body).otherwise(form).alias("body"))
     return webhooks.transfers(raw)
 
 
-@query(f"WITH {MATCHED} SELECT row_id, txn_id, amount::double AS amount, matched_invoice, status FROM r")
+@query(f"WITH RECURSIVE {MATCHED} SELECT row_id, txn_id, amount::double AS amount, named_invoice, matched_invoice, status FROM r")
 def reconcile_webhooks(t: Tables) -> DataFrame:
     return billing.reconcile(posted_transfers(t), coded_invoices(t))
 
 
-PAID_FOR = "p AS (SELECT matched_invoice AS id, min(txn_id) AS txn_id FROM r WHERE matched_invoice IS NOT NULL GROUP BY 1)"
-
-
-@query(f"""WITH {MATCHED}, {PAID_FOR}, y AS (SELECT DISTINCT account_id FROM o JOIN p USING (id))
-  SELECT o.id, account_id, CASE WHEN p.id IS NOT NULL THEN 'paid' WHEN status IN ('pending', 'submitted') AND account_id IN (SELECT account_id FROM y) THEN 'void' ELSE status END AS status FROM o LEFT JOIN p USING (id)""")
+@query(f"""WITH RECURSIVE {MATCHED}, y AS (SELECT DISTINCT account_id FROM o JOIN r ON matched_invoice = id)
+  SELECT o.id, account_id, CASE WHEN id IN (SELECT matched_invoice FROM r WHERE matched_invoice IS NOT NULL) THEN 'paid' WHEN status IN ('pending', 'submitted') AND account_id IN (SELECT account_id FROM y) THEN 'void' ELSE status END AS status FROM o""")
 def settle_invoices(t: Tables) -> DataFrame:
     return billing.settled(coded_invoices(t), billing.reconcile(t.transfer, coded_invoices(t)))[0]
 
 
-@query(f"WITH {MATCHED}, {PAID_FOR} SELECT p.id AS invoice_id, account_id, p.txn_id, min(r.amount) AS amount FROM p JOIN o USING (id) JOIN r ON r.matched_invoice = p.id AND r.txn_id = p.txn_id GROUP BY ALL")
+@query(f"WITH RECURSIVE {MATCHED} SELECT matched_invoice AS invoice_id, account_id, txn_id, amount FROM r JOIN o ON o.id = matched_invoice")
 def settle_payments(t: Tables) -> DataFrame:
     return billing.settled(coded_invoices(t), billing.reconcile(t.transfer, coded_invoices(t)))[1]
 
 
-@query("""SELECT i.id, o.name AS organization, plan_code, amount, i.status, provider, created_at FROM v_invoice i JOIN v_organization o ON o.id = i.organization_id WHERE i.status IN ('pending', 'submitted') ORDER BY created_at DESC, i.id LIMIT 200""")
-def pending_invoices(t: Tables) -> DataFrame:
-    return finance.pending(t.invoice, t.organization)
-
-
-@query("""SELECT i.id, 'invoice.activate' AS action, cast(i.id AS varchar) AS target, '{"plan_code":"' || plan_code || '","provider":"' || provider || '"}' AS detail, a.email AS actor, coalesce(paid_at, created_at) AS settled_at
-  FROM v_invoice i LEFT JOIN v_account a ON a.id = i.account_id WHERE i.status = 'paid' ORDER BY settled_at DESC, i.id LIMIT 500""")
-def audit_recent(t: Tables) -> DataFrame:
-    at = F.coalesce("paid_at", "created_at").alias("settled_at")
-    rows = t.invoice.where("status = 'paid'").join(t.account.select(F.col("id").alias("account_id"), "email"), "account_id", "left")
-    detail = F.to_json(F.struct("plan_code", "provider"))
-    return rows.select("id", F.lit("invoice.activate").alias("action"), F.col("id").cast("string").alias("target"), detail.alias("detail"), F.col("email").alias("actor"), at).orderBy(F.desc("settled_at"), "id").limit(500)
-
-
-@query(f"SELECT account_id, plan, plan_name, price_month, llm_mode, billing_mode, tokens_included, messages_limit, overage_per_1k, knowledge_docs FROM ({ENTITLED}) AS e")
-def entitlements_resolve(t: Tables) -> DataFrame:
-    return entitled(t).drop("channels_allowed", "max_file_mb")
-
-
-@query(f"SELECT account_id, kind, list_contains(coalesce(channels, ['website']), kind) AS allowed FROM ({ENTITLED}) AS e, (VALUES ('website'), ('telegram'), ('whatsapp'), ('messenger')) AS k(kind)")
-def entitlement_channels(t: Tables) -> DataFrame:
-    return billing.channel_allowed(entitled(t), ["website", "telegram", "whatsapp", "messenger"])
-
-
-@query(f"""WITH e AS ({ENTITLED}), v AS ({ACCOUNT_EVENTS}), u AS (SELECT account_id, sum(tokens) AS t, count(*) FILTER (WHERE kind = 'ai_message') AS m FROM v WHERE {MONTH} GROUP BY 1),
-  x AS (SELECT e.*, cast(coalesce(t, 0) AS bigint) AS tokens_used, coalesce(m, 0) AS messages_used FROM e LEFT JOIN u USING (account_id))
-  SELECT account_id, plan, tokens_used, messages_used, {ALLOWED.format(t="tokens_used", m="messages_used")} AS allowed FROM x""")
-def quota_state(t: Tables) -> DataFrame:
-    return billing.quota_state(entitled(t), billing.month_usage(account_events(t), AS_OF))
-
-
-@query(f"""WITH e AS ({ENTITLED}), v AS ({ACCOUNT_EVENTS}), b AS (SELECT id, account_id, cast(coalesce(sum(tokens) OVER w, 0) AS bigint) AS tokens_before, cast(coalesce(sum(CASE WHEN kind = 'ai_message' THEN 1 ELSE 0 END) OVER w, 0) AS bigint) AS messages_before
-    FROM v WINDOW w AS (PARTITION BY account_id, date_trunc('month', created_at) ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT id, account_id, tokens_before, messages_before, {ALLOWED.format(t="tokens_before", m="messages_before")} AS allowed FROM b JOIN e USING (account_id)""")
-def quota_running(t: Tables) -> DataFrame:
-    return billing.quota_running(entitled(t), account_events(t))
-
-
-@query("""SELECT a.id AS account_id, 'growth' AS paid_plan, CASE WHEN current_period_end > timestamp '2024-01-20 12:00:00' AND plan_code = 'growth' THEN current_period_end + to_days(30)
-  WHEN current_period_end > timestamp '2024-01-20 12:00:00' THEN timestamp '2024-01-20 12:00:00' + to_days(30) + (current_period_end - timestamp '2024-01-20 12:00:00') ELSE timestamp '2024-01-20 12:00:00' + to_days(30) END AS period_end
-  FROM v_account a LEFT JOIN v_subscription s ON s.account_id = a.id""")
-def term_extension(t: Tables) -> DataFrame:
-    return billing.term_extension(t.subscription, t.account.select(F.col("id").alias("account_id"), F.lit("growth").alias("paid_plan")), AS_OF)
-
-
-@query(f"""WITH e AS ({ENTITLED}), x AS (SELECT e.account_id, plan, price_month > 0 AND current_period_end IS NOT NULL AS expires, epoch(current_period_end - timestamp '2024-01-20 12:00:00') AS s FROM e LEFT JOIN v_subscription b USING (account_id))
-  SELECT account_id, plan, expires, CASE WHEN expires THEN cast(trunc(s / 86400) AS bigint) END AS days_left, CASE WHEN expires THEN s < 0 END AS expired, CASE WHEN expires THEN s >= 0 AND s <= 604800 END AS expiring FROM x""")
-def renewal_state(t: Tables) -> DataFrame:
-    return billing.renewal_state(entitled(t), t.subscription, AS_OF)
-
-
-@query("""SELECT row_id, txn_id, amount, memo FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY created_at, row_id) AS n FROM v_transfer) AS x WHERE txn_id IS NULL OR n = 1""")
-def dedupe_transfers(t: Tables) -> DataFrame:
-    return billing.first_arrivals(t.transfer).select("row_id", "txn_id", "amount", "memo")
-
-
-@query("""WITH n AS (SELECT *, regexp_replace(upper(memo), '[^A-Z0-9]', '', 'g') AS m FROM v_transfer),
-  h AS (SELECT row_id, min(i.id) AS matched_invoice FROM n JOIN v_invoice i ON (i.status IN ('pending', 'submitted')) AND lpad(cast(i.id AS varchar), 8, '0') = regexp_extract(m, '(QR|INV)([0-9]{8})', 2) WHERE transfer_type IN ('in', '') GROUP BY 1)
-  SELECT n.row_id, txn_id, amount, matched_invoice, CASE WHEN matched_invoice IS NOT NULL THEN 'activated' ELSE 'received' END AS status FROM n LEFT JOIN h USING (row_id)""")
-def reconcile_transfers(t: Tables) -> DataFrame:
-    return billing.reconcile(t.transfer, t.invoice)
-
-
 DELTA = "SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000000 END AS id, plan_code, amount + 1 AS amount FROM v_invoice WHERE organization_id = 2"
 INVOICE3 = ["id", "plan_code", "amount"]
 
@@ -354,9 +296,10 @@ def config_precedence(t: Tables) -> DataFrame:
     return billing.resolve_config(part.select(F.col("p_type").alias("name")).distinct(), at("%M%", F.min), at("E%", F.max), True, {"SMALL": "fallback"})
 
 
-@query("""SELECT code, CASE WHEN list_contains(json_keys(entitlements), 'knowledge_docs') THEN entitlements ELSE rtrim(entitlements, '}') || ',"knowledge_docs":50}' END AS entitlements FROM v_plan""")
+@query("""SELECT id, CASE WHEN list_contains(json_keys(meta), 'intent') THEN meta WHEN meta = '{}' THEN '{"intent":0}' ELSE left(meta, length(meta) - 1) || ',"intent":0}' END AS meta FROM v_message""")
 def json_defaults(t: Tables) -> DataFrame:
-    return billing.with_default_limits(t.plan, {"knowledge_docs": 50}).select("code", "entitlements")
+    """Message metadata, with a default where the key is not there."""
+    return billing.with_default_limits(t.message, {"intent": 0}, "meta").select("id", "meta")
 
 
 @query(f"SELECT id, organization_id, kind FROM v_usage_event WHERE organization_id = {ORG}")

@@ -31,6 +31,9 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]]
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return plan(Tables(spark, sf_dir))
 
+        run.plan = plan
+        if plan.__name__ in QUERIES:
+            raise ValueError(f"the query {plan.__name__} is registered already")
         QUERIES[plan.__name__] = run
         if oracle:
             ORACLES[plan.__name__] = duck(oracle)

@@ -13,6 +13,7 @@ from tradewind.operators import conversations, ingest, lookups, retrieval
 from tradewind.plans.catalog import Tables, query
 from tradewind.functions.signatures import hmac_sha256, webhook_signed
 from tradewind.sources import readers, sinks, webhooks
+from tradewind.sources.shared import scratch
 from tradewind.streaming import events
 
 #: Fixed queries of the lookups.
@@ -369,7 +370,7 @@ def webhook_signature(t: Tables) -> DataFrame:
 @query("SELECT id, title, cast(length(content) AS varchar) AS chars FROM v_document")
 def csv_export(t: Tables) -> DataFrame:
     """A report written as CSV and read back."""
-    path = events.scratch(t.spark, "report")
+    path = scratch(t.spark, "report")
     sinks.write_csv(t.document.select("id", "title", F.length("content").cast("string").alias("chars")), path)
     return t.spark.read.option("header", True).schema("id long, title string, chars string").csv(path)
 
@@ -377,7 +378,7 @@ def csv_export(t: Tables) -> DataFrame:
 @query("SELECT id, role FROM v_message UNION ALL SELECT id, role FROM v_message WHERE id % 2 = 0")
 def append_rows(t: Tables) -> DataFrame:
     """Two appends to one table, read back."""
-    path = events.scratch(t.spark, "append")
+    path = scratch(t.spark, "append")
     rows = t.message.select("id", "role")
     sinks.append(rows, path, ["role"])
     sinks.append(rows.where("id % 2 = 0"), path, ["role"])

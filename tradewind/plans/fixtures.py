@@ -80,7 +80,7 @@ def _tables(d) -> dict[str, str]:
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
         "vector": "SELECT vec_id AS id, CASE WHEN vec_id % 17 <> 0 THEN embedding END AS embedding, nullif(label, 0) AS bot_id, cast(vec_id % 25 as integer) AS shop_id, vec_id % 11 <> 0 AS active FROM embeddings",
         "transfer": f"""SELECT o_orderkey - o_orderkey % 20 % 3 AS txn_id, o_orderkey AS row_id, cast(o_totalprice as decimal(12,2)) AS amount, CASE o_orderkey % 7 WHEN 0 THEN 'out' WHEN 1 THEN '' ELSE 'in' END AS transfer_type,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'thanks ' || o_orderpriority ELSE 'pay ' || CASE WHEN o_orderkey % 2 = 0 THEN 'qr-' ELSE 'INV ' END || {d.code('o_orderkey + ' + str(CODE_BASE))} || '.ref' END AS memo, o_orderdate AS created_at FROM orders""",
+  CASE WHEN o_orderkey % 5 = 0 THEN 'thanks ' || o_orderpriority ELSE 'pay ' || CASE WHEN o_orderkey % 2 = 0 THEN 'qr-' ELSE 'INV ' END || {d.code('o_orderkey + ' + str(CODE_BASE))} || '.ref' || CASE WHEN o_orderkey % 6 = 2 THEN ' or INV ' || {d.code('o_orderkey - 2 + ' + str(CODE_BASE))} ELSE '' END END AS memo, o_orderdate AS created_at FROM orders""",
     }
 
 

@@ -63,13 +63,13 @@ def normalised(raw: DataFrame) -> DataFrame:
 
 
 def transfers(raw: DataFrame) -> DataFrame:
-    """Bank transfers of raw (body): JSON objects, else form bodies, else an empty row; never an error."""
+    """Bank transfers of raw (body, and row_id and created_at if there): JSON objects, else form bodies, else an empty row; never an error."""
     form = lambda k: F.nullif(F.try_url_decode(F.regexp_replace(F.regexp_extract("body", rf"(?:^|&){k}=([^&]*)", 1), r"\+", " ")), F.lit(""))
     json = F.from_json("body", TRANSFER)
     is_json = F.coalesce(F.trim("body"), F.lit("")).startswith("{")
     either = lambda k, kind="string": F.when(is_json, F.col(f"j.{k}")).otherwise(form(k).try_cast(kind))
     rows = raw.withColumn("j", json)
     return rows.select(
-        *(["row_id"] if "row_id" in raw.columns else []), either("id", "long").alias("txn_id"), F.coalesce(either("transferAmount", "double"), F.lit(0.0)).alias("amount"), F.coalesce(F.nullif(either("content"), F.lit("")), either("description"), F.lit("")).alias("memo"),
+        *(c for c in ("row_id", "created_at") if c in raw.columns), either("id", "long").alias("txn_id"), F.coalesce(either("transferAmount", "double"), F.lit(0.0)).alias("amount"), F.coalesce(F.nullif(either("content"), F.lit("")), either("description"), F.lit("")).alias("memo"),
         F.lower(F.coalesce(either("transferType"), F.lit(""))).alias("transfer_type"), F.coalesce(either("gateway"), F.lit("")).alias("gateway"), F.coalesce(either("accountNumber"), F.lit("")).alias("account"), F.coalesce(either("referenceCode"), F.lit("")).alias("reference"),
     )

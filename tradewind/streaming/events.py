@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -12,18 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-HITS = "user_id long, window_start timestamp_ntz, hits long, allowed long"
-
+from tradewind.sources.shared import scratch
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; a temporary one only where that is unset in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tradewind-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+HITS = "user_id long, window_start timestamp_ntz, hits long, allowed long"
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
