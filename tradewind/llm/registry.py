@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, tokenfiles
+from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, spelling, tokenfiles
 from tradewind.llm.common import table
 
 
@@ -61,9 +61,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe, op11_spelling_variants)}
 
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') AS name, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+run AS (SELECT r, name, translate(w, '{dedup.UPPER}', '{dedup.LOWER}') AS w, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(name || ':' || w)) AS x, t FROM run, k),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h FROM b),
+v AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= {spelling.LEAST_LENGTH} AND sum(n) >= {spelling.LEAST_N}),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.c = b.c AND a.word <> b.word
+  UNION SELECT a.word, a.n, v.word, v.n FROM cut a JOIN v ON a.c = v.word UNION SELECT v.word, v.n, a.word, a.n FROM cut a JOIN v ON a.c = v.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.FACTOR} * v.n THEN other END AS form, CASE WHEN m >= {spelling.FACTOR} * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, form FROM chain JOIN f ON f.word = chain.root WHERE form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain ON chain.word = f.word AND root NOT IN (SELECT word FROM f WHERE form IS NOT NULL)""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
