@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, spelling, tokenfiles
+from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, spelling, tokenfiles, whitening
 from tradewind.llm.common import table
 
 
@@ -65,7 +65,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe, op11_spelling_variants)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe, op11_spelling_variants, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op11_spelling_variants": rf"""
