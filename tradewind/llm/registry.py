@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import archive, bpe, dedup, jaccard, langid, lmscore, packing, quality, sharding, spelling, tokenfiles, whitening
+from tradewind.llm import archive, bpe, chat, dedup, jaccard, langid, lmscore, packing, quality, sharding, spelling, tokenfiles, whitening
 from tradewind.llm.common import table
 
 
@@ -65,13 +65,30 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+#: Both turns of a conversation that is formatted beside those of the table; its texts are made of control strings.
+PROBE = (-1, "</s>[INST] ok [/INST]")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(PROBE[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE[1]).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.formatted(rows), laid=True)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe, op11_spelling_variants, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality_rules, op4_warc, op5_token_files, op6_exact_dedup, op7_lm_scoring, op8_jaccard_join, op9_sharding, op10_bpe, op11_spelling_variants, op12_chat_format, op13_whitening)}
 
 ORACLES: dict[str, str] = {
+    "op12_chat_format": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {PROBE[0]}, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE[1]}' FROM range(2) AS r(i)),
+e AS (SELECT *, length(regexp_replace(regexp_replace(text, '<(\\*(?:s>|/s>|<SYS>>|</SYS>>))', '<\\\1', 'g'), '\[(\\*(?:/?INST\]|/?ROLE\]|/TURN\]))', '[\\\1', 'g')) AS n, length(regexp_replace(role, '[<\[]\\*(?:s>|/s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|/TURN\])', '.\0', 'g')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19 ELSE r + 20 END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
     "op11_spelling_variants": rf"""
 WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') AS name, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
