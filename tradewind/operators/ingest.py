@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +11,43 @@ from tradewind.functions.scalars import blank_to_null, stripped
 TARGET = 800
 
 
+def _packed(text: str | None, target: int, separator: str, lossless: bool) -> list[str]:
+    """One pass over the paragraphs; the open chunk is held as a list, so the time follows the length of the text."""
+    text = text or ""
+    done: list[str] = []
+    held: list[str] = []
+    room = 0
+    for paragraph in text.replace("\r", "").split(separator):
+        paragraph = paragraph.strip()
+        for at in range(0, len(paragraph) if lossless else min(1, len(paragraph)), target):
+            part = paragraph[at : at + target]
+            need = len(separator) + (len(part) if lossless else len(paragraph))
+            if held and need <= room:
+                room -= need
+            else:
+                if held:
+                    done.append(separator.join(held))
+                    held = []
+                room = target - len(part)
+            held.append(part)
+    if held:
+        done.append(separator.join(held))
+    return done or [text[:target]]
+
+
 def chunks_of(text: Column, target: int = TARGET, separator: str = "\n\n", lossless: bool = False) -> Column:
     """Paragraphs packed greedily into chunks of at most target characters, as an array.
 
     A paragraph over the target keeps only its first target characters, as the original does; lossless cuts it
-    into several instead. Text of white space alone is one chunk.
+    into several instead. Text of white space alone is one chunk. What fits depends on all paragraphs before, which
+    no built-in function carries along in linear time, so this is one Arrow pass over the rows where they are read.
     """
-    text = F.coalesce(text, F.lit(""))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(text, "\r", ""), separator), stripped), lambda p: p != "")
-    if lossless:
-        whole = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / target)), lambda i: F.substring(p, (i * target + 1).cast("int"), F.lit(target)))
-        parts = F.flatten(F.transform(parts, whole))
-    gap = len(separator)
-    sizes = F.transform(parts, lambda p, i: F.struct(i.alias("at"), F.length(p).alias("size")))
-    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("filled"))
-
-    def step(acc: Column, part: Column) -> Column:
-        """Where chunks begin; only numbers are carried along, no text."""
-        fits = acc["filled"] + part["size"] + gap <= target
-        grown = F.when(acc["filled"] == 0, part["size"]).otherwise(acc["filled"] + part["size"] + gap)
-        begins = F.when(fits & (acc["filled"] > 0), acc["begins"]).otherwise(F.concat(acc["begins"], F.array(part["at"])))
-        return F.struct(begins.alias("begins"), F.when(fits, grown).otherwise(F.least(part["size"], F.lit(target))).alias("filled"))
-
-    begins = F.aggregate(sizes, start, step, lambda acc: acc["begins"])
-    cut = F.transform(parts, lambda p: F.left(p, F.lit(target)))
-    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size(parts)))
-    packed = F.zip_with(begins, ends, lambda b, e: F.array_join(F.slice(cut, b + 1, e - b), separator))
-    return F.when(F.size(parts) == 0, F.array(F.substring(text, 1, target))).otherwise(packed)
+
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _packed(t, target, separator, lossless))
+
+    return packed(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def chunked(documents: DataFrame, id_col: str = "id", text_col: str = "content", **how) -> DataFrame:
