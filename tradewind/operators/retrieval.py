@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens, number_text, relevant
-from tradewind.functions.text import DIM, tokens, trigrams, word_similarity
+from tradewind.functions.text import DIM, tokens, trigrams
+from tradewind.operators.lexical import dealt, lexical_topk, ranked  # noqa: F401  one of the two rankers
 
 CANDIDATES = 20
 RRF_K = 60
@@ -32,6 +33,22 @@ def _buckets_of(dim: int):
     return Buckets()
 
 
+def _bags(batch: pa.RecordBatch, known, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of word lists (second column): row, bucket, weight. A token is hashed once."""
+    lists = batch.column(1)
+    words = lists.flatten().dictionary_encode()
+    bucket_of = np.array([known[w] for w in words.dictionary.to_pylist()], dtype=np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    place, n = np.unique(row * dim + (bucket_of[words.indices.to_numpy()] if len(words) else 0), return_counts=True)
+    row, where = place // dim, place % dim
+    norm = np.sqrt(np.bincount(row, weights=(n * n).astype(np.float64), minlength=len(lists)))
+    return row, where, n / norm[row]
+
+
+def _worded(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
+
+
 def hash_embedding(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
     """Sparse form of the bag-of-words embedding: id, bucket, weight, each row's weights of length one.
 
@@ -41,29 +58,26 @@ def hash_embedding(items: DataFrame, id_col: str = "id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _buckets_of(dim)
         for batch in batches:
-            lists = batch.column(1)
-            words = lists.flatten().dictionary_encode()
-            bucket_of = np.array([known[w] for w in words.dictionary.to_pylist()], dtype=np.int64)
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            place, n = np.unique(row * dim + (bucket_of[words.indices.to_numpy()] if len(words) else 0), return_counts=True)
-            row, where = place // dim, place % dim
-            norm = np.sqrt(np.bincount(row, weights=(n * n).astype(np.float64), minlength=len(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(where.astype(np.int32)), pa.array(n / norm[row])], names=["id", "bucket", "weight"])
+            row, where, weight = _bags(batch, known, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(where.astype(np.int32)), pa.array(weight)], names=["id", "bucket", "weight"])
 
-    rows = items.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
-    return rows.mapInArrow(run, "id long, bucket int, weight double")
+    return _worded(items, id_col, text_col).mapInArrow(run, "id long, bucket int, weight double")
 
 
 def hash_vectors(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
-    """Dense form of the same: id and embedding; texts without tokens have none."""
-    entries = hash_embedding(items, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+    """Dense form of the same, made where rows are read: id and embedding; texts without tokens have none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _buckets_of(dim)
+        for batch in batches:
+            row, where, weight = _bags(batch, known, dim)
+            there, at = np.unique(row, return_inverse=True)
+            dense = np.zeros((len(there), dim))
+            dense[at, where] = weight
+            offsets = pa.array(np.arange(len(there) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["id", "embedding"])
 
-def ranked(scores: DataFrame, k: int = CANDIDATES, by: str = "score") -> DataFrame:
-    """The best k of each query, with rank from 0; ties by id."""
-    order = Window.partitionBy("query").orderBy(F.desc(by), "id")
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return _worded(items, id_col, text_col).mapInArrow(run, "id long, embedding array<double>")
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block: int = BLOCK, digits: int | None = None) -> DataFrame:
@@ -76,10 +90,6 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block:
     there = "embedding IS NOT NULL"
     n_q, n_x = (max(1, -(-df.where(there).count() // block)) for df in (queries, items))
 
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        rows = df.where(there).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
     def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("id", kind="stable")
         x = np.stack(pdf["embedding"].to_numpy())
@@ -93,31 +103,12 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block:
         at = np.argsort(-s, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query": np.repeat(names, at.shape[1]), "id": ids[at].ravel(), "score": np.take_along_axis(s, at, axis=1).ravel()})
 
-    q, x = dealt(queries, "q_block", n_q, "x_block", n_x), dealt(items, "x_block", n_x, "q_block", n_q)
-    found = q.groupBy("q_block", "x_block").cogroup(x.groupBy("q_block", "x_block")).applyInPandas(best, "query long, id long, score double")
+    sides = [df.where(there).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")) for df in (queries, items)]
+    q, x = dealt(*sides, n_q, n_x)
+    found = q.cogroup(x).applyInPandas(best, "query long, id long, score double")
     return ranked(found, k)
 
 
-def lexical_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, least: float = 0.1) -> DataFrame:
-    """query, id, score, rank by word similarity over `least`, of queries and items (id, text).
-
-    The share of a query's trigrams that an item has bounds its score from above. An item over `least` by that shares
-    one of the query's rarest trigrams, all but so many as it may lack; so only those are looked up in the inverted
-    table, and the commonest trigrams are not joined. What is found is held against the bound, then scored.
-    """
-    q = queries.where(F.length(F.trim("text")) > 0).select(F.col("id").alias("query"), F.col("text").alias("q"), trigrams(F.col("text")).alias("q_grams"))
-    x = items.select("id", "text", trigrams(F.col("text")).alias("grams"))
-    asked = q.select("query", F.size("q_grams").alias("n"), F.explode("q_grams").alias("gram"))
-    table = x.select("id", F.explode("grams").alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    often = table.groupBy("gram").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("query").orderBy("often", "gram")
-    rarest = asked.join(often, "gram").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.floor(F.col("n") * least))
-    pairs = rarest.select("query", "gram").join(table, "gram").select("query", "id").distinct()
-    likely = pairs.join(q, "query").join(x, "id").where(F.size(F.array_intersect("q_grams", "grams")) / F.size("q_grams") > least)
-    scored = likely.select("query", "id", word_similarity(F.col("q"), F.col("text")).alias("score"))
-    return ranked(scored.where(F.col("score") > least), k)
-
-
 def whole_trigram_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """query, id, score, rank by the Jaccard similarity of the whole texts' trigram sets."""
     sets = lambda df, name: df.select(F.col("id").alias(name), trigrams(F.col("text")).alias("g")).select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("gram"))
