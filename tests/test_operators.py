@@ -2,17 +2,16 @@
 
 import io
 import random
+import time
 import zipfile
 from datetime import datetime
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tradewind.functions import signatures
 from tradewind.functions.scalars import number_text, stale
-from tradewind.functions.text import best_extent, sequence_of, trigrams
+from tradewind.functions.text import trigrams
 from tradewind.operators import billing, ingest, retrieval
 from tradewind.plans import catalog, content  # noqa: F401
 from tradewind.sources import readers, sinks, webhooks
@@ -30,20 +29,6 @@ def test_tenants_part_the_rows(spark):
         TenantContext(1).checked(df).collect()
 
 
-def test_word_similarity_documented_example():
-    assert best_extent(set(sequence_of("word")), sequence_of("two words")) == 0.8
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab c", max_size=8), st.text("ab c", max_size=14))
-def test_word_similarity_brute(q, t):
-    query, seq = set(sequence_of(q)), sequence_of(t)
-    if not query:
-        return
-    brute = max((len(query & set(seq[i:j])) / len(query | set(seq[i:j])) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)), default=0.0)
-    assert best_extent(query, seq) == pytest.approx(brute)
-
-
 def test_trigrams(spark):
     assert spark.range(1).select(trigrams(F.lit("Cat")).alias("t")).first().t == ["  c", " ca", "cat", "at "]
 
@@ -66,6 +51,39 @@ def test_chunks(spark):
     assert one("  ") == ["  "]
 
 
+def plain_chunks(text, target, gap, lossless):
+    parts = [p for p in map(str.strip, text.replace("\r", "").split(gap)) if p]
+    if lossless:
+        parts = [p[i : i + target] for p in parts for i in range(0, len(p), target)]
+    out = []
+    for p in parts:
+        if out and len(out[-1]) + len(gap) + len(p) <= target:
+            out[-1] += gap + p
+        else:
+            out.append(p[:target])
+    return out or [text[:target]]
+
+
+def test_chunks_equal_the_plain_version(spark):
+    dice = random.Random(1)
+    texts = ["".join(dice.choice(["ab", "c d", "\n", "\n\n", " ", "x" * 17, "\r\n", "é😀"]) for _ in range(dice.randrange(60))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lossless in (False, True):
+        for gap in ("\n", "\n\n"):
+            got = [r.c for r in rows.select(ingest.chunks_of(F.col("t"), 30, gap, lossless).alias("c")).collect()]
+            assert got == [plain_chunks(t, 30, gap, lossless) for t in texts]
+
+
+def test_chunking_takes_time_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        chunks = ingest._packed("some words on a line\n" * n, 800, "\n", False)
+        took.append(time.perf_counter() - began)
+        assert len(chunks) == -(-n // 38)
+    assert took[1] < 12 * took[0] + 0.05
+
+
 def test_readers(spark):
     docx = io.BytesIO()
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"

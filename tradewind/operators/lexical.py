@@ -225,7 +225,8 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float = 0.1) -> DataFrame:
     """query, id, score, rank by word similarity over `least`, for a stated set of queries and all items (id, text).
 
-    Texts without a word find nothing and are not found. Each pair of blocks sends on k rows a query at most, so
+    Texts without a word find nothing and are not found. Items are meant to be chunks or shorter: the time for one
+    that is not ruled out grows with the square of its length (its memory does not). Each pair of blocks sends on k rows a query at most, so
     what meets in the last window is k rows a block.
     """
     found = block_topk(queries, items, k, least).where("id IS NOT NULL").select("query", "id", "score")

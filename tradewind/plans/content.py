@@ -210,17 +210,41 @@ def rag_response(t: Tables) -> DataFrame:
     return rows.select("query", "id", "name", F.round("score", 4).alias("score"), F.round("vscore", 4).alias("vscore"), F.round("kwscore", 4).alias("kwscore"), "price", listed.alias("variants"))
 
 
-@query(f"""WITH {HYBRID}, k AS (SELECT shop_id, arg_min(title, id) AS title, arg_min(content, id) AS content FROM v_document WHERE active AND bot_id IS NULL GROUP BY 1),
-  b AS (SELECT query, place, 'product' AS source, p.name AS title, coalesce(p.description, '') AS body, p.shop_id FROM g JOIN v_product p ON p.id = g.id),
-  u AS (SELECT query, place, source, title, body FROM b UNION ALL SELECT query, 100 + min(place), 'knowledge', k.title, substring(k.content, 1, 200) FROM b JOIN k USING (shop_id) GROUP BY query, shop_id, k.title, k.content)
-  SELECT query, string_agg('- [' || source || '] ' || title || ': ' || body, chr(10) ORDER BY place) AS context FROM u GROUP BY 1""")
-def context_union(t: Tables) -> DataFrame:
-    """Product blocks, then a knowledge block (the first general document) of every shop that they come from."""
-    products = hybrid_blocks(t, "shop_id")
-    general = lookups.first_per_group(t.document.where("active AND bot_id IS NULL"), ["shop_id"], ["id"]).select("shop_id", "title", F.substring("content", 1, 200).alias("body"))
-    shops = products.groupBy("query", "shop_id").agg((F.min("place") + 100).alias("place"))
-    knowledge = shops.join(general, "shop_id").select("query", "place", F.lit("knowledge").alias("source"), "title", "body")
-    return retrieval.rendered(products.drop("shop_id").unionByName(knowledge))
+#: Word similarity of every pair that shares enough: from each trigram of the query on, running counts of different trigrams, the query's and others.
+LEXICAL_ROWS = f"""qg AS MATERIALIZED (SELECT id AS query, g, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, unnest({SEQUENCE.format('text')}) AS g FROM q) AS q1),
+  pg AS MATERIALIZED (SELECT id, g, pos, coalesce(lag(pos) OVER (PARTITION BY id, g ORDER BY pos), 0) AS prev FROM (SELECT id, unnest(s) AS g, generate_subscripts(s, 1) AS pos FROM (SELECT id, {SEQUENCE.format('text')} AS s FROM p) AS p1) AS p2),
+  near AS MATERIALIZED (SELECT query, id, min(n) AS n FROM qg JOIN (SELECT DISTINCT id, g FROM pg) AS d USING (g) GROUP BY 1, 2 HAVING count(*) > 0.1 * min(n)),
+  place AS MATERIALIZED (SELECT a.query, a.id, a.n, pos, prev, qg.g IS NOT NULL AS hit FROM near a JOIN pg ON pg.id = a.id LEFT JOIN qg ON qg.query = a.query AND qg.g = pg.g),
+  counts AS (SELECT s.query, s.id, s.n, count(*) FILTER (e.hit AND e.prev < s.pos) OVER w AS m, count(*) FILTER (NOT e.hit AND e.prev < s.pos) OVER w AS x
+    FROM place s JOIN place e ON e.query = s.query AND e.id = s.id AND e.pos >= s.pos WHERE s.hit WINDOW w AS (PARTITION BY s.query, s.id, s.pos ORDER BY e.pos)),
+  lexical AS MATERIALIZED (SELECT query, id, max(m / (n + x)) AS score FROM counts GROUP BY 1, 2)"""
+
+def chunk_items(t: Tables) -> DataFrame:
+    """Chunks of active documents as search items; an id names the document and the chunk's place in it."""
+    active = t.document.where("active").select(F.col("id").alias("document_id"), "title")
+    rows = fixture_chunks(t).join(active, "document_id")
+    return rows.select((F.col("document_id") * 1_000_000 + F.col("ordinal")).alias("id"), F.col("content").alias("text"), "title")
+
+
+def chunk_search(t: Tables, asking: DataFrame) -> DataFrame:
+    items = chunk_items(t).select("id", "text")
+    dense = retrieval.dense_topk(retrieval.hash_vectors(asking), retrieval.hash_vectors(items), digits=9).where("score > 0")
+    return retrieval.gated(retrieval.fused(dense, retrieval.lexical_topk(asking, items)))
+
+
+def chunk_hybrid_sql(asking: str) -> str:
+    """Needs FOLD before it; ends with g, the hits over the gate."""
+    return f"""q AS ({asking}), p AS MATERIALIZED (SELECT document_id * 1000000 + ordinal AS id, chunks.content AS text, title FROM chunks JOIN v_document d ON d.id = document_id WHERE active), {LEXICAL_ROWS},
+  qs AS MATERIALIZED ({SPARSE.format('q', 'text')}), ps AS MATERIALIZED ({SPARSE.format('p', 'text')}), c AS (SELECT qs.id AS query, ps.id AS id, round(sum(qs.weight * ps.weight), 9) AS score FROM qs JOIN ps USING (bucket) GROUP BY 1, 2),
+  d AS ({TOP.format('SELECT * FROM c', '', 20)}), l AS ({TOP.format('SELECT * FROM lexical', ' WHERE score > 0.1', 20)}),
+  f AS (SELECT coalesce(d.query, l.query) AS query, coalesce(d.id, l.id) AS id, d.rank AS vr, l.rank AS kr, coalesce(d.score, 0) AS vscore, coalesce(l.score, 0) AS kwscore, l.score IS NOT NULL AS kw, coalesce(1 / (61 + d.rank), 0) + coalesce(1 / (61 + l.rank), 0) AS score FROM d FULL JOIN l ON d.query = l.query AND d.id = l.id),
+  h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST) AS place FROM f QUALIFY place <= 4), g AS (SELECT * FROM h WHERE vscore >= 0.05 OR (kw AND kwscore >= 0.35))"""
+
+
+def knowledge_blocks(t: Tables, asking: DataFrame) -> DataFrame:
+    """Blocks of retrieved knowledge, after all product blocks."""
+    hits = chunk_search(t, asking).select("query", "id", (F.col("place") + 100).alias("place"))
+    return hits.join(chunk_items(t), "id").select("query", "place", F.lit("knowledge").alias("source"), "title", F.col("text").alias("body"))
 
 
 def hybrid_blocks(t: Tables, *more: str) -> DataFrame:
@@ -260,6 +284,28 @@ def chunk_documents(t: Tables) -> DataFrame:
     return fixture_chunks(t)
 
 
+@query(f"WITH RECURSIVE {FOLD}, {chunk_hybrid_sql(ASKED)} SELECT query, id // 1000000 AS document_id, cast(id % 1000000 AS integer) AS ordinal, cast(place AS integer) AS place, round(score, 6) AS score, round(vscore, 6) AS vscore, round(kwscore, 6) AS kwscore, kw FROM g")
+def chunk_hybrid(t: Tables) -> DataFrame:
+    """Every hundredth benchmark passage asked of all chunks of active documents, by both rankers."""
+    hits = chunk_search(t, asked(t))
+    return hits.select("query", F.expr("id div 1000000").alias("document_id"), (F.col("id") % 1_000_000).cast("int").alias("ordinal"), F.col("place").cast("int").alias("place"), *(F.round(c, 6).alias(c) for c in ("score", "vscore", "kwscore")), "kw")
+
+
+@query(f"WITH RECURSIVE {FOLD}, q AS ({ASKED}), p AS MATERIALIZED (SELECT document_id * 1000000 + ordinal AS id, content AS text FROM chunks), {LEXICAL_ROWS} SELECT query, id, round(score, 6) AS score, cast(rank AS integer) AS rank FROM ({TOP.format('SELECT * FROM lexical', ' WHERE score > 0.1', 20)}) AS x")
+def chunk_lexical(t: Tables) -> DataFrame:
+    """Every hundredth benchmark passage: the chunks, of all documents, that hold most of its trigrams in one stretch."""
+    items = fixture_chunks(t).select((F.col("document_id") * 1_000_000 + F.col("ordinal")).alias("id"), F.col("content").alias("text"))
+    return retrieval.lexical_topk(asked(t), items).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {FOLD}, kg AS MATERIALIZED (WITH {chunk_hybrid_sql(PRODUCT_QUERIES)} SELECT g.query, g.place, p.title, p.text FROM g JOIN p USING (id)), pg AS MATERIALIZED (WITH {HYBRID} SELECT g.query, g.place, g.id FROM g),
+  b AS (SELECT query, place, 'product' AS source, v.name AS title, coalesce(v.description, '') AS body FROM pg JOIN v_product v ON v.id = pg.id UNION ALL SELECT query, 100 + place, 'knowledge', title, text FROM kg)
+  SELECT query, string_agg('- [' || source || '] ' || title || ': ' || body, chr(10) ORDER BY place) AS context FROM b GROUP BY 1""")
+def context_union(t: Tables) -> DataFrame:
+    """What a question's answer is made from: the product blocks that pass the gate, then the blocks of knowledge that do."""
+    return retrieval.rendered(hybrid_blocks(t).unionByName(knowledge_blocks(t, product_queries(t))))
+
+
 #: The same after lines have been cut into pieces of at most 800 characters.
 LOSSLESS = FOLD.replace("lines AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM (", "lines AS (SELECT id, substring(p, cast(800 * j + 1 AS integer), 800) AS p, row_number() OVER (PARTITION BY id ORDER BY i, j) AS i FROM (SELECT id, i, p, unnest(range((length(p) - 1) // 800 + 1)) AS j FROM (").replace("AS l WHERE p <> '')", "AS l WHERE p <> '') AS r)")
 
