@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import letters_and_digits, month_start, ntz
+from tradewind.operators.scans import running_sums
 from tradewind.sources.shared import staged
 
 ENTITLEMENTS = "llm_mode string, billing_mode string, ai_tokens_month long, ai_messages_month long, overage_per_1k double, payg_per_1k double, channels_allowed array<string>, knowledge_docs long, max_file_mb long"
@@ -42,10 +43,12 @@ def quota_state(entitled: DataFrame, month: DataFrame) -> DataFrame:
 
 
 def quota_running(entitled: DataFrame, events: DataFrame) -> DataFrame:
-    """For every metered event (id, account_id, kind, tokens, created_at), use before it in its month and the verdict."""
-    before = Window.partitionBy("account_id", F.date_trunc("month", "created_at")).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    ai = F.when(F.col("kind") == "ai_message", 1).otherwise(0)
-    rows = events.withColumns({"tokens_before": F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"), "messages_before": F.coalesce(F.sum(ai).over(before), F.lit(0)).cast("long")})
+    """For every metered event (id, account_id, kind, tokens, created_at), use before it in its month and the verdict.
+
+    The running sums are scanned range by range, so an account with most of the events is spread over many tasks.
+    """
+    rows = events.select("id", "account_id", F.date_trunc("month", "created_at").alias("month"), "created_at", "tokens", F.when(F.col("kind") == "ai_message", 1).otherwise(0).alias("message"))
+    rows = running_sums(rows, ["account_id", "month"], ["created_at", "id"], {"tokens_before": "tokens", "messages_before": "message"})
     return rows.join(entitled, "account_id").select("id", "account_id", "tokens_before", "messages_before", _allowed(F.col("tokens_before"), F.col("messages_before")).alias("allowed"))
 
 

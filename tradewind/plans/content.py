@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.scalars import estimated_tokens
 from tradewind.functions.text import DIM, bucket, fitted, tokens
 from tradewind.operators import conversations, ingest, lookups, retrieval
+from tradewind.operators.scans import first_hit_windows
 from tradewind.plans.catalog import Tables, query
 from tradewind.functions.signatures import hmac_sha256, webhook_signed
 from tradewind.sources import readers, sinks, webhooks
@@ -472,10 +473,25 @@ def handoff_policy(t: Tables) -> DataFrame:
     return conversations.handoff(rows).select("id", "needs_human")
 
 
-@query("""WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + interval 6 hour GROUP BY w.user_id, w.s)
-  SELECT w.user_id, w.s AS window_start, count(*) AS hits, least(count(*), 2) AS allowed FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.s + interval 6 hour GROUP BY 1, 2""")
+def windows_sql(limit: int, seconds: int) -> str:
+    return f"""WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + to_seconds({seconds}) GROUP BY w.user_id, w.s)
+  SELECT w.user_id, w.s AS window_start, count(*) AS hits, least(count(*), {limit}) AS allowed FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.s + to_seconds({seconds}) GROUP BY 1, 2"""
+
+
+@query(windows_sql(2, 6 * 3600))
 def rate_limit_windows(t: Tables) -> DataFrame:
-    return events.rate_limit_windows(t.raw("events"), 2, 6 * 3600)
+    """A coarse limit that the events of the fixture do run into."""
+    return first_hit_windows(t.raw("events"), 2, 6 * 3600)
+
+
+@query(windows_sql(30, 60))
+def rate_limit_widget(t: Tables) -> DataFrame:
+    return first_hit_windows(t.raw("events"), 30, 60)
+
+
+@query(windows_sql(10, 300))
+def rate_limit_login(t: Tables) -> DataFrame:
+    return first_hit_windows(t.raw("events"), 10, 300)
 
 
 @query("SELECT event_id, user_id, event_type, ts, cast(json_extract_string(props, '$.k') AS integer) AS k FROM events WHERE event_type <> 'error'")

@@ -47,33 +47,6 @@ def _windows(key, times: Iterator[pd.Timestamp], limit: int, length: timedelta,
     return done, start, hits
 
 
-def rate_limit_windows(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Windows that open with a user's first hit and last so many seconds: user_id, window_start, hits, allowed.
-
-    Events (user_id, ts) are sorted by user and time within partitions and streamed through with one open window
-    of memory; no user's events are held together.
-    """
-    length = timedelta(seconds=seconds)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, start, hits = None, None, 0
-        for pdf in batches:
-            out: list[tuple] = []
-            for key, times in pdf.groupby("user_id", sort=False)["ts"]:
-                if key != user:
-                    if start is not None:
-                        out.append((user, start, hits, min(hits, limit)))
-                    user, start, hits = key, None, 0
-                done, start, hits = _windows(key, times, limit, length, start, hits)
-                out += done
-            yield pd.DataFrame(out, columns=["user_id", "window_start", "hits", "allowed"])
-        if start is not None:
-            yield pd.DataFrame([(user, start, hits, min(hits, limit))], columns=["user_id", "window_start", "hits", "allowed"])
-
-    laid = events.select("user_id", "ts").where("user_id IS NOT NULL AND ts IS NOT NULL").repartition("user_id").sortWithinPartitions("user_id", "ts")
-    return laid.mapInPandas(run, HITS)
-
-
 def rate_limit_stream(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
     """The streaming twin: emits a user's window once a later hit closes it; state is one window for each user."""
     length = timedelta(seconds=seconds)
