@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens
 from tradewind.functions.text import DIM, bucket, fitted, tokens
-from tradewind.operators import conversations, ingest, lookups, retrieval
+from tradewind.operators import cells, conversations, ingest, lookups, retrieval
 from tradewind.operators.scans import first_hit_windows
 from tradewind.plans.catalog import Tables, query
 from tradewind.functions.signatures import hmac_sha256, webhook_signed
@@ -168,6 +168,21 @@ def scoped_retrieval(t: Tables) -> DataFrame:
     return retrieval.dense_topk(v.where("id % 100 = 0"), scoped).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"SELECT query, id, round(score, 6) AS score, cast(rank AS integer) AS rank FROM ({TOP.format(DENSE, '', 20)}) AS x")
+def vector_cells(t: Tables) -> DataFrame:
+    """The same by an index of cells, of which only those are read that can hold one of the nearest."""
+    index = cells.build(t.vector, scratch(t.spark, "vector-cells"))
+    return cells.search(t.spark, index, t.vector.where("id % 100 = 0"))[0].select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"SELECT query, id, round(score, 6) AS score, cast(rank AS integer) AS rank FROM ({TOP.format(DENSE + ' AND v.shop_id % 5 = 2 AND v.active AND (v.bot_id IS NULL OR v.bot_id = 3)', '', 20)}) AS x")
+def vector_cells_scoped(t: Tables) -> DataFrame:
+    """An index of all shops' rows, filtered inside."""
+    index = cells.build(t.vector, scratch(t.spark, "vector-cells"))
+    scope = F.expr("shop_id % 5 = 2 AND active AND (bot_id IS NULL OR bot_id = 3)")
+    return cells.search(t.spark, index, t.vector.where("id % 100 = 0"), where=scope)[0].select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(f"""WITH g AS (SELECT id, name, list_distinct({SEQUENCE.format('name')}) AS s FROM v_product), p AS (SELECT q.id AS query, g.id, len(list_intersect(q.s, g.s)) AS n, len(q.s) AS a, len(g.s) AS b FROM g q, g WHERE q.id % 100 = 0),
   x AS (SELECT query, id, n / (a + b - n) AS score FROM p WHERE n > 0) SELECT query, id, round(score, 6) AS score, cast(rank AS integer) AS rank FROM ({TOP.format('SELECT * FROM x', '', 10)}) AS y""")
 def trigram_jaccard(t: Tables) -> DataFrame:
