@@ -51,17 +51,27 @@ def session_settings(spark: SparkSession, values: dict[str, object]):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a cut in the lineage that outlives executors.
 
-    The shuffle files of the write are removed when it has ended, since nothing reads them again.
+    The shuffle files of the write are removed when it has ended, since nothing reads them again. rows_per_file
+    bounds the files (0: a file a task).
     """
     path = scratch_path(df.sparkSession, label)
     with session_settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The size of a staged table's files."""
+    spark, total = df.sparkSession, 0
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    return total
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -6,10 +6,13 @@ database with a preallocated 4 MB manifest for every shuffle partition, however
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import scratch_path, session_settings, staged, text_hash
+from tradewind.llm.common import bytes_of, scratch_path, session_settings, staged, text_hash
 from tradewind.llm.members import member_test
 
 ENTRY = "digest binary, holder struct<doc_id: bigint, locator: string, `row`: bigint>, group_size bigint"
@@ -47,17 +50,47 @@ class KeyedState:
     def __init__(self, spark: SparkSession, path: str, compact: int = 8):
         self.spark, self.path, self.compact = spark, path, compact
 
+    def _folder(self, path: str):
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath, jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        jpath, files = self._folder(path)
+        return [s.getPath().getName() for s in files.listStatus(jpath)] if files.exists(jpath) else []
+
     def _finished(self) -> dict[str, list[int]]:
         """The numbers of the finished versions in the folder, by kind."""
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = jpath(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         found: dict[str, list[int]] = {"batch": [], "until": []}
-        for status in files.listStatus(jpath(self.path)) if files.exists(jpath(self.path)) else ():
-            kind, _, number = status.getPath().getName().partition("-")
-            if kind in found and files.exists(jpath(f"{self.path}/{kind}-{number}/_SUCCESS")):
-                found[kind].append(int(number))
+        for name in self._names(self.path):
+            kind, _, number = name.partition("-")
+            if kind in found:
+                jpath, files = self._folder(f"{self.path}/{name}/_SUCCESS")
+                if files.exists(jpath):
+                    found[kind].append(int(number))
         return found
 
+    def _numbers(self) -> dict[tuple[str, int], int]:
+        """The version of each micro-batch (source, n) that was ever begun."""
+        found = (name.split("-") for name in self._names(f"{self.path}/numbers"))
+        return {(source, int(n)): int(number) for number, source, n in found}
+
+    def begin(self, source: str) -> None:
+        """A source can be begun only when no other one was stopped within a micro-batch: its version would lack what comes between."""
+        numbers = self._numbers()
+        if numbers and (last := max(numbers, key=numbers.get))[0] != source and numbers[last] not in self._finished()["batch"]:
+            raise ValueError("an earlier run was stopped within a micro-batch; run it again first")
+
+    def take(self, source: str, arrivals: DataFrame, n: int) -> None:
+        """Micro-batch n of a source: gets its version's number before it is worked on, and is passed over if that is there."""
+        numbers = self._numbers()
+        number = numbers.get((source, n))
+        if number is None:
+            number = max(numbers.values(), default=-1) + 1
+            jpath, files = self._folder(f"{self.path}/numbers/{number}-{source}-{n}")
+            files.mkdirs(jpath)
+        if number not in self._finished()["batch"]:
+            self.update(arrivals, number)
+
     def versions(self, before: float = float("inf")) -> list[str]:
         """The versions that make up the state before a micro-batch: the last whole one and the batches after it."""
         found = self._finished()
@@ -65,10 +98,6 @@ class KeyedState:
         batches = sorted(n for n in found["batch"] if n < before and (whole is None or n > whole))
         return [f"{self.path}/until-{whole}"] * (whole is not None) + [f"{self.path}/batch-{n}" for n in batches]
 
-    def following(self) -> int:
-        """The first number after those of all finished batches."""
-        return max((n for kind in self._finished().values() for n in kind), default=-1) + 1
-
     def entries(self, versions: list[str] | None = None) -> DataFrame:
         """The latest entry of each digest: the one with most members."""
         versions = versions or self.versions()
@@ -95,25 +124,36 @@ class KeyedState:
             self.entries(versions).write.mode("overwrite").option("compression", "zstd").parquet(whole)
 
 
-#: How many files of the staged arrivals a micro-batch takes.
-FILES_PER_BATCH = 8
+#: A micro-batch takes a quarter of the arrivals, and no more than so many rows however many there are.
+BATCHES, ROWS_PER_BATCH = 4, 50_000_000
 #: A digest with more than this share of all rows is answered by a broadcast: there are at most so many of them.
 HEAVY = 10_000
 
 
-def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH, path: str | None = None) -> DataFrame:
+def rows_per_batch(n: int) -> int:
+    return max(1, min(ROWS_PER_BATCH, -(-n // BATCHES)))
+
+
+def run_stream(arrivals: DataFrame, files_per_batch: int | None = None, path: str | None = None) -> DataFrame:
     """Streams a staged table of arrivals through the keyed state, in micro-batches, and returns its entries.
 
-    With a path the state is durable: it goes on from what earlier runs left there and is kept for later ones.
+    A micro-batch takes so many bytes as rows_per_batch of the rows have, or files_per_batch files if that is given.
+    With a path the state is durable: it is kept for later runs, and the stream's progress beside it. A run that was
+    stopped goes on with the batch that it was at, so every file of a folder counts once; another folder's files are
+    new arrivals.
     """
     spark = arrivals.sparkSession
-    state = KeyedState(spark, path or scratch_path(spark, "dedup-state"))
+    path = path or scratch_path(spark, "dedup-state")
+    state = KeyedState(spark, path)
     files = arrivals.inputFiles()
     if files:
-        first = state.following()
-        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(files[0].rsplit("/", 1)[0])
+        folder, n = files[0].rsplit("/", 1)[0], arrivals.count()
+        source = hashlib.sha256(folder.encode()).hexdigest()[:16]
+        state.begin(source)
+        share = {"maxBytesPerTrigger": max(1, bytes_of(arrivals) * rows_per_batch(n) // max(1, n))} if files_per_batch is None else {"maxFilesPerTrigger": files_per_batch}
+        stream = spark.readStream.schema(arrivals.schema).options(**share).parquet(folder)
         with session_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-            query = stream.writeStream.option("checkpointLocation", scratch_path(spark, "dedup-progress")).trigger(availableNow=True).foreachBatch(lambda rows, n: state.update(rows, first + n)).start()
+            query = stream.writeStream.option("checkpointLocation", f"{path}/progress-{source}").trigger(availableNow=True).foreachBatch(lambda rows, k: state.take(source, rows, k)).start()
             query.awaitTermination()
     versions = state.versions()
     if not versions:
@@ -121,29 +161,44 @@ def run_stream(arrivals: DataFrame, files_per_batch: int = FILES_PER_BATCH, path
     return state.entries(versions) if len(versions) == 1 else staged(state.entries(versions), "dedup-entries")
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a struct `place` (locator, row): the file and the row in it, if docs are read from files.
+
+    Otherwise there is no place to go back to; then rows are told apart by a number that holds for one pass only.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.withColumn("place", F.struct(meta["file_path"].alias("locator"), meta["row_index"].alias("row"))), True
+    except AnalysisException:
+        return docs.withColumn("place", F.struct(F.lit("").alias("locator"), F.monotonically_increasing_id().alias("row"))), False
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """Every row's group: doc_id, text_hash, digest, keep_id, group_size, kept.
 
     Rows are equal when their normalised texts are, byte by byte (null is empty; very long texts are compared whole):
     a digest only finds the hits. Each hit's contents are read again and compared in full, and the content at the
     locator that the state holds must be among them. Digests whose texts turn out to differ are grouped anew by the
-    text itself, so even a weak digest gives right groups. The row with the largest id stays (null ids lose; of
+    text itself, so even a weak digest gives right groups. The locator is a file and a row in it where docs are read
+    from files; of other tables only the id is held against the content that is read again. The row with the largest id stays (null ids lose; of
     repeated rows one stays). An empty table gives no rows; other columns of docs, whatever their names, are not read.
 
     Rows whose digest has no second one meet nothing in a join; digests with very many rows are answered by a
     broadcast that is bounded by HEAVY, so none of them lands in one task.
     """
-    content, source = normalised(F.col(text_col)), F.input_file_name()
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(content).alias("digest"), text_hash(F.col(text_col)).alias("text_hash"), source.alias("locator"))
-    arrivals = staged(narrow.withColumn("row", F.monotonically_increasing_id()), "dedup-arrivals")
+    own, located = placed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    content = normalised(F.col("text"))
+    narrow = own.select("doc_id", digest(content).alias("digest"), text_hash(F.col("text")).alias("text_hash"), "place.*")
+    arrivals = staged(narrow, "dedup-arrivals", rows_per_batch(docs.count()))
     state = run_stream(arrivals)
 
     hits = state.where("group_size > 1")
     maybe = member_test(hits, "digest")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content"), source.alias("locator")).withColumn("digest", digest(F.col("content"))).where(maybe(F.col("digest")))
-    read = texts.groupBy("digest").agg((F.min("content") == F.max("content")).alias("equal"), F.max(F.struct("doc_id", "locator")).alias("last"))
-    located = F.col("last").eqNullSafe(F.struct(F.col("holder.doc_id").alias("doc_id"), F.col("holder.locator").alias("locator")))
-    differing = staged(read.join(hits, "digest").where(~(F.col("equal") & located)).select("digest"), "dedup-differing")
+    place = ("doc_id", "locator", "row") if located else ("doc_id",)
+    texts = own.select("doc_id", content.alias("content"), "place.*").withColumn("digest", digest(F.col("content"))).where(maybe(F.col("digest")))
+    read = texts.groupBy("digest").agg((F.min("content") == F.max("content")).alias("equal"), F.max(F.struct(*place)).alias("last"))
+    there = F.col("last").eqNullSafe(F.struct(*(F.col(f"holder.{c}").alias(c) for c in place)))
+    differing = staged(read.join(hits, "digest").where(~(F.col("equal") & there)).select("digest"), "dedup-differing")
 
     wanted = ["doc_id", "text_hash", "digest", "keep_id", "group_size", "kept"]
     single = F.col("holder").isNull()
