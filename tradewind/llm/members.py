@@ -21,8 +21,9 @@ def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2^bits bits with those set that the column p of places names."""
     maps = places.groupBy(F.floor(F.col("p") / BLOCK).alias("b")).agg(F.bitmap_construct_agg(F.pmod(F.col("p"), F.lit(BLOCK))).alias("m"))
     bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in maps.toLocalIterator():  # 2^bits / BLOCK rows at most
-        bitmap[r.b * BLOCK // 8 : (r.b + 1) * BLOCK // 8] = np.frombuffer(r.m, dtype=np.uint8)
+    found = maps.toArrow()  # 2^bits / BLOCK rows at most, 32 MB; an iterator would read shuffle files that may be cleaned up by then
+    for b, m in zip(found.column("b").to_pylist(), found.column("m").to_pylist(), strict=True):
+        bitmap[b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(m, dtype=np.uint8)
     return bitmap
 
 
