@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewind.operators.scans import first_hit_windows
 from tradewind.streaming import events, stateful
 from tradewind.streaming.jobs import GONE, JobLog
+from tradewind.streaming.outbox import Outbox
 
 FILES = "document_id long, name string, content binary, from_attempt int"
 TEXT = ("one line\n\n" * 200).encode()
@@ -39,7 +40,7 @@ def check(log):
 def test_jobs_fail_and_are_tried_again(spark, tmp_path):
     log, files = log_of(spark, tmp_path)
     assert set(s for s, _ in settled(log).values()) == {"pending"}
-    assert log.run(files) >= 3
+    assert log.run(files, 1) >= 3
     assert settled(log)[13] == ("error", 1)
     log.drain(files)
     check(log)
@@ -47,10 +48,11 @@ def test_jobs_fail_and_are_tried_again(spark, tmp_path):
     check(log)
 
 
-@pytest.mark.parametrize("step", ["work", "_mark"])
+@pytest.mark.parametrize("step", ["work", "mark"])
 def test_a_killed_run_counts_every_attempt_once(spark, tmp_path, monkeypatch, step):
     log, files = log_of(spark, tmp_path)
-    real, calls = getattr(JobLog, step), []
+    place = JobLog if step == "work" else Outbox
+    real, calls = getattr(place, step), []
 
     def dying(self, *args):
         calls.append(1)
@@ -60,13 +62,13 @@ def test_a_killed_run_counts_every_attempt_once(spark, tmp_path, monkeypatch, st
             raise RuntimeError("killed")
         return real(self, *args)
 
-    monkeypatch.setattr(JobLog, step, dying)
+    monkeypatch.setattr(place, step, dying)
     with pytest.raises(Exception, match="killed"):
-        log.run(files)
-    if step == "_mark":
+        log.run(files, 1)
+    if step == "mark":
         assert {r.batch for r in log.tries().collect()} == {0}  # what is not marked is not seen
     monkeypatch.undo()
-    JobLog(spark, log.path).drain(files)
+    JobLog(spark, log.path).drain(files, 1)
     check(log)
 
 

@@ -79,16 +79,6 @@ def with_status(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"status": F.when(empty, "error").otherwise("ready"), "error": F.when(empty, F.left(F.lit("no text found in the file"), F.lit(500))), "char_count": F.length(F.coalesce("content", F.lit("")))})
 
 
-def status_history(documents: DataFrame, most: int = 3) -> DataFrame:
-    """id, step, status of each document's way: pending, then processing and its outcome for every attempt.
-
-    documents has failures, the number of attempts that fail; a failed document is tried again up to `most` attempts.
-    """
-    attempts = F.least(F.col("failures") + 1, F.lit(most))
-    steps = F.transform(F.sequence(F.lit(0), 2 * attempts), lambda i: F.struct(i.alias("step"), F.when(i == 0, "pending").when(i % 2 == 1, "processing").when(i / 2 > F.col("failures"), "ready").otherwise("error").alias("status")))
-    return documents.select("id", F.inline(steps))
-
-
 def scoped_chunks(chunks: DataFrame, documents: DataFrame, bases: DataFrame, shop_id: int, bot_id: int | None = None) -> DataFrame:
     """Chunks of the active documents of a shop's knowledge bases: those of the bot and those of no bot (all, without one).
 

@@ -45,8 +45,8 @@ def _bags(batch: pa.RecordBatch, known, dim: int) -> tuple[np.ndarray, np.ndarra
     return row, where, n / norm[row]
 
 
-def _worded(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return items.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
+def _worded(items: DataFrame, id_col: str, text_col: str, kind: str = "long") -> DataFrame:
+    return items.select(F.col(id_col).cast(kind).alias("id"), tokens(F.col(text_col)).alias("words"))
 
 
 def hash_embedding(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
@@ -64,20 +64,22 @@ def hash_embedding(items: DataFrame, id_col: str = "id", text_col: str = "text",
     return _worded(items, id_col, text_col).mapInArrow(run, "id long, bucket int, weight double")
 
 
-def hash_vectors(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
-    """Dense form of the same, made where rows are read: id and embedding; texts without tokens have none."""
+def hash_vectors(items: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM, kind: str = "long", blank: bool = False) -> DataFrame:
+    """Dense form of the same, made where rows are read: id (of this kind) and embedding. Texts without tokens have
+    none; they are left out, or have a null with blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _buckets_of(dim)
         for batch in batches:
             row, where, weight = _bags(batch, known, dim)
-            there, at = np.unique(row, return_inverse=True)
+            there = np.arange(batch.num_rows) if blank else np.unique(row)
             dense = np.zeros((len(there), dim))
-            dense[at, where] = weight
+            dense[np.searchsorted(there, row), where] = weight
             offsets = pa.array(np.arange(len(there) + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["id", "embedding"])
+            none = pa.array(~np.isin(there, row))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()), mask=none)], names=["id", "embedding"])
 
-    return _worded(items, id_col, text_col).mapInArrow(run, "id long, embedding array<double>")
+    return _worded(items, id_col, text_col, kind).mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
 def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block: int = BLOCK, digits: int | None = None) -> DataFrame:

@@ -233,18 +233,17 @@ def reconcile_transfers(t: Tables) -> DataFrame:
     return billing.reconcile(t.transfer, coded_invoices(t))
 
 
-def posted_transfers(t: Tables) -> DataFrame:
+def transfer_bodies(t: Tables) -> DataFrame:
     """The transfers as the bank posts them: half as JSON, half as forms."""
     fields = {"id": "txn_id", "transferAmount": "amount", "content": "memo", "transferType": "transfer_type"}
     body = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in fields.items())))
     form = F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(F.col(c).cast("string"))) for k, c in fields.items()))
-    raw = t.transfer.select("row_id", "created_at", F.when(F.col("row_id") % 2 == 0, body).otherwise(form).alias("body"))
-    return webhooks.transfers(raw)
+    return t.transfer.select("row_id", "created_at", F.when(F.col("row_id") % 2 == 0, body).otherwise(form).alias("body"))
 
 
 @query(f"WITH RECURSIVE {MATCHED} SELECT row_id, txn_id, amount::double AS amount, named_invoice, matched_invoice, status FROM r")
 def reconcile_webhooks(t: Tables) -> DataFrame:
-    return billing.reconcile(posted_transfers(t), coded_invoices(t))
+    return billing.reconcile(webhooks.transfers(transfer_bodies(t)), coded_invoices(t))
 
 
 @query(f"""WITH RECURSIVE {MATCHED}, y AS (SELECT DISTINCT account_id FROM o JOIN r ON matched_invoice = id)

@@ -339,11 +339,6 @@ def chunk_scope(t: Tables) -> DataFrame:
     return ingest.scoped_chunks(fixture_chunks(t), documents, bases, 2, 3).select("document_id", "ordinal", "base_id")
 
 
-@query("SELECT d.id, i AS step, CASE WHEN i = 0 THEN 'pending' WHEN i % 2 = 1 THEN 'processing' WHEN i // 2 > d.id % 5 THEN 'ready' ELSE 'error' END AS status FROM v_document d, range(7) AS r(i) WHERE i <= 2 * least(d.id % 5 + 1, 3)")
-def ingest_attempts(t: Tables) -> DataFrame:
-    return ingest.status_history(t.document.select("id", (F.col("id") % 5).cast("int").alias("failures"))).select("id", F.col("step").cast("long").alias("step"), "status")
-
-
 @query("SELECT id, role, created_at FROM v_message WHERE conversation_id = 7 AND created_at > timestamp '2024-01-01 07:02:00' ORDER BY created_at, id LIMIT 200")
 def poll_messages(t: Tables) -> DataFrame:
     return lookups.poll(t.message, 7, datetime(2024, 1, 1, 7, 2)).select("id", "role", "created_at")
@@ -397,7 +392,7 @@ def product_embedding_text(t: Tables) -> DataFrame:
 # --- events ----------------------------------------------------------------------------------------------------
 
 
-def payloads(t: Tables) -> DataFrame:
+def payloads(t: Tables, *more: str) -> DataFrame:
     """Webhook bodies of the four platforms, one for each message; every seventh lacks its text."""
     m = t.message.withColumns({"s": (F.unix_timestamp(F.col("created_at").cast("timestamp"))).cast("long"), "u": F.concat(F.lit("u"), F.col("conversation_id").cast("string")), "x": F.when(F.col("id") % 7 != 0, F.col("content")), "k": (F.col("id") % 4).cast("int")})
     ms = (F.col("s") * 1000).cast("string")
@@ -408,11 +403,14 @@ def payloads(t: Tables) -> DataFrame:
     whatsapp = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(wa_value.alias("value"))).alias("changes"))).alias("entry")))
     zalo = F.to_json(F.struct(F.lit("user_send_text").alias("event_name"), F.struct(F.lit("o1").alias("id")).alias("recipient"), F.struct(F.col("u").alias("id")).alias("sender"), F.struct(F.col("x").alias("text")).alias("message"), ms.alias("timestamp")))
     kind = F.element_at(F.array(*map(F.lit, ("meta", "telegram", "whatsapp", "zalo"))), F.col("k") + 1)
-    return m.select(kind.alias("kind"), F.when(F.col("k") == 0, meta).when(F.col("k") == 1, telegram).when(F.col("k") == 2, whatsapp).otherwise(zalo).alias("payload"))
+    return m.select(*more, kind.alias("kind"), F.when(F.col("k") == 0, meta).when(F.col("k") == 1, telegram).when(F.col("k") == 2, whatsapp).otherwise(zalo).alias("payload"))
+
+
+NORMALISED = """SELECT CASE id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'telegram' WHEN 2 THEN 'whatsapp' ELSE 'zalo' END AS kind, CASE id % 4 WHEN 0 THEN 'p1' WHEN 2 THEN 'n1' WHEN 3 THEN 'o1' END AS route_key, 'u' || conversation_id AS customer_ref, content AS text,
+  CASE id % 4 WHEN 1 THEN 'Ann' WHEN 2 THEN 'Bo' END AS customer_name, cast(epoch(created_at) AS double) AS event_ts FROM v_message WHERE id % 7 <> 0"""
 
 
-@query("""SELECT CASE id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'telegram' WHEN 2 THEN 'whatsapp' ELSE 'zalo' END AS kind, CASE id % 4 WHEN 0 THEN 'p1' WHEN 2 THEN 'n1' WHEN 3 THEN 'o1' END AS route_key, 'u' || conversation_id AS customer_ref, content AS text,
-  CASE id % 4 WHEN 1 THEN 'Ann' WHEN 2 THEN 'Bo' END AS customer_name, cast(epoch(created_at) AS double) AS event_ts FROM v_message WHERE id % 7 <> 0""")
+@query(NORMALISED)
 def normalize_events(t: Tables) -> DataFrame:
     return webhooks.normalised(payloads(t))
 

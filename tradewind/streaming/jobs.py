@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from tradewind.operators.ingest import chunks_of
 from tradewind.sources.readers import extracted
-from tradewind.sources.shared import hadoop_path
+from tradewind.streaming.outbox import Outbox
 
 JOB = "job_id long, kind string, document_id long, attempt int"
-STATUS = "job_id long, document_id long, attempt int, status string, error string, char_count long, batch long"
-CHUNK = "job_id long, document_id long, ordinal int, content string, batch long"
+STATUS = "job_id long, document_id long, attempt int, status string, error string, char_count long"
+CHUNK = "job_id long, document_id long, ordinal int, content string"
 #: The kinds of work, and what is said of a job whose file is not there.
 INGEST, EMBED = "ingest_document", "embed_document"
 GONE = "the uploaded file was not found"
 
 
 class JobLog:
-    """Folders under path: queue (jobs, a Parquet file for every lot that was put in), status and chunks (a folder a
-    micro-batch) and done (a mark for every micro-batch whose folders are whole).
+    """A queue under path (a Parquet file for every lot of jobs that was put in) and an outbox of statuses and chunks.
 
-    A micro-batch writes its folders, puts its failed jobs back into the queue under its own number, and sets its
-    mark last. Readers see marked batches only; a batch that was stopped before its mark is run again over the same
-    jobs and replaces what it had written. So every attempt of a job counts once, whatever is lost in between.
+    A micro-batch writes both tables, puts its failed jobs back into the queue under its own number, and sets its
+    mark last. A batch that was stopped before its mark is run again over the same jobs and replaces what it had
+    written. So every attempt of a job counts once, whatever is lost in between.
     """
 
     def __init__(self, spark: SparkSession, path: str, attempts: int = 3):
         self.spark, self.path, self.attempts = spark, path, attempts
+        self.out = Outbox(spark, path)
 
     def enqueue(self, jobs: DataFrame) -> None:
         """job_id, kind, document_id: pending from now on."""
@@ -50,46 +50,32 @@ class JobLog:
         """One micro-batch: its chunks, statuses and what is tried again, then its mark."""
         out = self._worked(jobs.dropDuplicates(["job_id", "attempt"]), files).persist()
         status = out.select("job_id", "document_id", "attempt", F.when(F.col("error").isNull(), "ready").otherwise("error").alias("status"), F.left("error", F.lit(500)).alias("error"), F.length("text").cast("long").alias("char_count"))
-        status.write.mode("overwrite").parquet(f"{self.path}/status/batch={batch}")
         chunks = out.where("error IS NULL").select("job_id", "document_id", F.posexplode(chunks_of(F.col("text"))).alias("ordinal", "content"))
-        chunks.write.mode("overwrite").parquet(f"{self.path}/chunks/batch={batch}")
+        self.out.write(batch, {"status": status, "chunks": chunks})
         again = out.where(F.col("error").isNotNull() & (F.col("attempt") < self.attempts)).select("job_id", "kind", "document_id", (F.col("attempt") + 1).alias("attempt"))
         again.write.mode("overwrite").parquet(f"{self.path}/queue/again-{batch}")
         out.unpersist()
-        self._mark(batch)
+        self.out.mark(batch)
 
-    def _mark(self, batch: int) -> None:
-        jpath, files = hadoop_path(self.spark, f"{self.path}/done/{batch}")
-        files.mkdirs(jpath)
-
-    def _marked(self) -> list[int]:
-        jpath, files = hadoop_path(self.spark, f"{self.path}/done")
-        return sorted(int(s.getPath().getName()) for s in files.listStatus(jpath)) if files.exists(jpath) else []
-
-    def run(self, files: DataFrame, files_per_batch: int = 1) -> int:
-        """Works off what is in the queue now, lot by lot in the order of arrival; returns the number of finished batches."""
-        stream = self.spark.readStream.schema(JOB).option("maxFilesPerTrigger", files_per_batch).parquet(f"{self.path}/queue/*")
+    def run(self, files: DataFrame, files_per_batch: int | None = None) -> int:
+        """Works off what is in the queue now, in one batch or so many files a batch, in the order of arrival; returns the number of finished batches."""
+        limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+        stream = self.spark.readStream.schema(JOB).options(**limit).parquet(f"{self.path}/queue/*")
         query = stream.writeStream.option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).foreachBatch(lambda rows, n: self.work(rows, files, n)).start()
         query.awaitTermination()
-        return len(self._marked())
+        return len(self.out.marked())
 
-    def drain(self, files: DataFrame, files_per_batch: int = 1) -> None:
+    def drain(self, files: DataFrame, files_per_batch: int | None = None) -> None:
         """Runs until no attempt is left; `attempts` runs are enough, since each one works off all that the one before put back."""
         for _ in range(self.attempts):
             self.run(files, files_per_batch)
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        marked = [f"{self.path}/{kind}/batch={n}" for n in self._marked()]
-        if not marked:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("basePath", f"{self.path}/{kind}").schema(schema).parquet(*marked)
-
     def tries(self) -> DataFrame:
         """Every finished attempt: job_id, document_id, attempt, status, error, char_count, batch."""
-        return self._read("status", STATUS)
+        return self.out.read("status", STATUS)
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNK)
+        return self.out.read("chunks", CHUNK)
 
     def queue(self) -> DataFrame:
         return self.spark.read.schema(JOB).parquet(f"{self.path}/queue/*")

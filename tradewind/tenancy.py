@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Roles by rank; any other role ranks below all of them.
@@ -40,3 +42,28 @@ def rank(role: Column) -> Column:
 
 def at_least(role: Column, least: str) -> Column:
     return rank(role) >= RANKS[least]
+
+
+#: The session variable that SQL users set to their organization.
+TENANT = "tenant_id"
+
+
+def tenant_views(spark: SparkSession, tables: dict[str, DataFrame], column: str = "organization_id") -> None:
+    """Views under these names that show the rows of the organization in the session variable tenant_id, and none
+    while it is null: SET VAR tenant_id = 3.
+
+    The tables below them have names that cannot be guessed. A query keeps the organization that was set when it was
+    made, whatever is set before it runs.
+    """
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {TENANT} INT DEFAULT NULL")
+    for name, rows in tables.items():
+        hidden = f"rows_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(hidden)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM {hidden} WHERE {column} = session.{TENANT}")
+
+
+def channel_function(spark: SparkSession, channels: str, name: str = "channel_by_key") -> None:
+    """A SQL table function over a view of channels (id, kind, organization_id, config): those whose configuration
+    has the value at the key; through a tenant's view, only the tenant's."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(path STRING, value STRING) RETURNS TABLE (id BIGINT, kind STRING, organization_id INT)
+      RETURN SELECT id, kind, organization_id FROM {channels} WHERE get_json_object(config, '$.' || {name}.path) = {name}.value""")
