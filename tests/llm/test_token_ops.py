@@ -221,6 +221,34 @@ def test_stream_of_symbols_equals_merging_at_once():
         assert list(merges.stream(s)) == merges.merged(s)
 
 
+def test_stream_with_rules_in_any_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        rules, symbols = {}, [0, 1, 2]
+        for _ in range(rng.randint(1, 12)):
+            rules.setdefault((rng.choice(symbols), rng.choice(symbols)), len(symbols))
+            symbols = [0, 1, 2, *rules.values()]
+        listed = [(*pair, c) for pair, c in rules.items()]
+        rng.shuffle(listed)
+        merges = bpe.Merges(listed)
+        s = [rng.randrange(3) for _ in range(rng.randint(0, 60))]
+        for stretch in (1, 16):
+            assert list(merges.stream(s, stretch)) == merges.merged(s)
+
+
+def test_tokens_come_out_inside_words(spark):
+    """On the documents, tokens are emitted before their word has ended, by both rules; and they are the library's."""
+    encode, _ = library("word_bpe_49k.json")
+    w = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    texts = [t or "" for (t,) in registry.table(spark, SF, "documents").select("text").collect()]
+    assert all(list(encode(t)) == [i for part in w.stretches(t) for i in array("I", part)] for t in texts)
+    assert w.merges.early > 500
+    words = sorted({x for t in texts for x in w.word.findall(w.normalised(t))}, key=len)[-200:]
+    w.merges.joined = {(x << bpe.ID_BITS | y) for x in [*w.inner, *w.last] for y in [*w.inner, *w.last]}  # only the lookahead is left
+    w.merges.early = 0
+    assert all(list(w.merges.stream(w.symbols(x), 4)) == w.merges.merged(w.symbols(x)) for x in words) and w.merges.early > 0
+
+
 def test_bytes_decoder_takes_split_characters():
     d = bpe.BytesDecoder(["".join(bpe.byte_alphabet()[b] for b in part) for part in ("é".encode()[:1], "é".encode()[1:], b"x")])
     assert d.feed([0]) == "" and d.feed([1, 2]) == "éx" and d.finish() == ""

@@ -2,9 +2,10 @@
 
 Whether two neighbouring symbols end up in one token can only depend on so many symbols to their right: to take a
 token's last part away, a merge of lower rank must join that part with what follows, whose own last part may be
-taken away by a merge of still lower rank, and so on. The longest such chain in the merge list is its sufficient
-lookahead; tokens that end at least so far before the end of what was read are stable and are emitted. A symbol that
-no merge takes to its right, such as a word's last one, needs no lookahead: all that was read is stable with it.
+taken away by a merge of still lower rank, and so on. The longest such chain that can begin at a token is its
+sufficient lookahead; a token that ends at least so far before the end of what was read is stable and is emitted,
+inside a word as well. Between two symbols that no merge joins, whatever stands around them, all that was read is
+stable at once; so it is behind a symbol that no merge takes to its right, such as a word's last one.
 """
 
 from __future__ import annotations
@@ -37,17 +38,42 @@ class Merges:
         self.by_pair: dict[int, int] = {}
         for rank, (a, b, c) in enumerate(rules):
             self.by_pair.setdefault(a << ID_BITS | b, rank << ID_BITS | c)
-        self.lookahead = self._sufficient_lookahead()
+        self.need = self._sufficient_lookahead()
+        self.lookahead = max(self.need.values(), default=0)
         self.parts = {c: (a, b) for a, b, c in reversed(rules)}
         self.spans: dict[int, int] = {}
-        self.goes_on = {self._last(a) for a, _, _ in rules}  # symbols that a merge may join to what follows
-
-    def _sufficient_lookahead(self) -> int:
-        """The most symbols after a token that can decide whether it stays whole.
+        self.joined = self._joined()  # neighbouring symbols that some merge may bring into one token
+        self.goes_on = {pair >> ID_BITS for pair in self.joined}  # symbols that a merge may join to what follows
+        self.early = 0  # tokens that were emitted inside a word, before its last symbol was read
+
+    def _joined(self) -> set[int]:
+        """Pairs of the last symbol of a rule's left part and the first one of its right part."""
+        first: dict[int, set[int]] = {}
+        last: dict[int, set[int]] = {}
+        growing = True
+        while growing:
+            growing = False
+            for a, b, c in self.rules:
+                for ends, part in ((first, a), (last, b)):
+                    more = ends.get(part, set()) | {part}
+                    if not more <= ends.setdefault(c, set()):
+                        ends[c] |= more
+                        growing = True
+        return {x << ID_BITS | y for a, b, _ in self.rules for x in {a, *last.get(a, ())} for y in {b, *first.get(b, ())}}
+
+    def _sufficient_lookahead(self) -> dict[int, int]:
+        """For each token the most symbols after it that can decide whether it stays whole.
 
         reach[x]: how far the rules so far that start with x can look behind x. below[t]: the same for the last
         parts inside t, under the rules that come before t is formed. A rule acts once its own parts can exist.
+        In a list in which a rule comes before what its parts are made of, no token is ever sure (files have none).
         """
+        made: set[int] = set()
+        later = {c for _, _, c in self.rules}
+        for a, b, c in self.rules:
+            if any(part in later and part not in made for part in (a, b)):
+                return dict.fromkeys(later | {x for rule in self.rules for x in rule}, 1 << 60)
+            made.add(c)
         length: dict[int, int] = {}
         acts: dict[int, int] = {}
         order = []
@@ -63,7 +89,7 @@ class Merges:
             behind = max(reach.get(b, 0), below.get(b, 0))
             below[c] = max(below.get(c, 0), behind)
             reach[a] = max(reach.get(a, 0), length.get(b, 1) + behind)
-        return max([0, *reach.values(), *below.values()])
+        return {t: max(reach.get(t, 0), below.get(t, 0)) for t in reach.keys() | below.keys()}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """All merges of a finished stretch, lowest rank and then leftmost first."""
@@ -82,37 +108,38 @@ class Merges:
                 ranks[i - 1] = get(ids[i - 1] << ID_BITS | ids[i], none)
         return ids
 
-    def stream(self, symbols: Iterable[int], stretch: int = 64) -> Iterator[int]:
-        """Tokens of a stream of symbols, each as soon as it is stable.
+    def stream(self, symbols: Iterable[int], stretch: int = 16) -> Iterator[int]:
+        """Tokens of a stream of symbols, each as soon as it is stable; looked for after every `stretch` symbols.
 
-        Held are at most the lookahead, a stretch (or the lookahead again) and a token that spans more than that.
+        Held are at most the lookahead of a token, the token and a stretch.
         """
-        ahead, goes_on = self.lookahead, self.goes_on
-        most = full = ahead + max(stretch, ahead)
+        need, joined, goes_on = self.need.get, self.joined, self.goes_on
         held: list[int] = []
+        full = stretch
         for symbol in symbols:
+            if held and held[-1] << ID_BITS | symbol not in joined:
+                done = self.merged(held)
+                self.early += len(done)
+                yield from done
+                held, full = [], stretch
             held.append(symbol)
             if symbol not in goes_on:
                 yield from self.merged(held)
-                held, full = [], most
+                held, full = [], stretch
             elif len(held) >= full:
                 at = 0
                 for token in self.merged(held):
                     end = at + self._span(token)
-                    if end > len(held) - ahead:
+                    if end + need(token, 0) > len(held):
                         break
+                    self.early += 1
                     yield token
                     at = end
                 held = held[at:]
-                full = max(most, len(held) + max(stretch, ahead))
+                full = len(held) + stretch
         if held:
             yield from self.merged(held)
 
-    def _last(self, token: int) -> int:
-        while token in self.parts:
-            token = self.parts[token][1]
-        return token
-
     def _span(self, token: int) -> int:
         if token not in self.spans:
             parts = self.parts.get(token)
