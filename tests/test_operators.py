@@ -197,6 +197,24 @@ def test_signatures(spark):
     assert not rows.select(signatures.webhook_signed("", F.col("b"), F.col("h")).alias("ok")).first().ok
 
 
+def test_callback_and_timed_signatures(spark):
+    import hashlib
+    import hmac
+    from urllib.parse import quote_plus
+
+    params = {"vnp_b": "x y+*~é/", "vnp_a": "1", "vnp_c": ""}
+    data = "&".join(f"{k}={quote_plus(params[k])}" for k in sorted(params))
+    good = hmac.new(b"key", data.encode(), hashlib.sha512).hexdigest()
+    rows = spark.createDataFrame([(params, good), (params, good.upper()), (params, good[:-1] + "x"), (params, None), ({}, good)], "p map<string,string>, s string")
+    assert rows.select(signatures.sorted_query(F.col("p")).alias("q")).first().q == data
+    assert [r.ok for r in rows.select(signatures.callback_signed("key", F.col("p"), F.col("s")).alias("ok")).collect()] == [True, True, False, False, False]
+    assert not rows.select(signatures.callback_signed("", F.col("p"), F.col("s")).alias("ok")).first().ok
+    v1 = hmac.new(b"key", b"17.body", hashlib.sha256).hexdigest()
+    headers = [f"t=17,v1={v1}", f"v1={v1},t=17", f"t=18,v1={v1}", "t=17", "", None, f"v0=z,t=17,v1={v1},x=1"]
+    timed = spark.createDataFrame([("body", h) for h in headers], "b string, h string")
+    assert [r.ok for r in timed.select(signatures.timed_signed("key", F.col("b"), F.col("h")).alias("ok")).collect()] == [True, True, False, False, False, False, True]
+
+
 def test_reconcile_codes(spark):
     invoices = spark.createDataFrame([(10**9, 1, "pending"), (2**32 + 5, 2, "submitted"), (7, 3, "paid")], "id long, account_id long, status string")
     memos = ["pay QR-3b9aca00 thanks", "INV 0000.0005", "QR00000007", None, "QR3B9ACA0", "x INV3B9ACA00QR00000005"]
@@ -226,6 +244,10 @@ def test_pptx_text():
     assert text.index("first") < text.index("second")
 
 
+def test_decoded_without_a_mark():
+    assert readers.decoded("hié€".encode("utf-16-le")) == "hié€" and readers.decoded("né".encode("latin-1") + b"x") == "néx"
+
+
 def test_decoded():
     assert [readers.decoded(b) for b in ("é".encode(), "é".encode("utf-8-sig"), "é".encode("utf-16"), "é".encode("latin-1"), b"")] == ["é", "é", "é", "é", ""]
 

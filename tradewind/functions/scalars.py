@@ -24,11 +24,12 @@ def month_start(t: datetime) -> datetime:
 
 
 def in_month(column: Column, as_of: datetime) -> Column:
-    return column >= ntz(month_start(as_of))
+    """From the month's start until as_of, what came later not being known yet."""
+    return column.between(ntz(month_start(as_of)), ntz(as_of))
 
 
 def since_days(column: Column, as_of: datetime, days: int) -> Column:
-    return column >= ntz(as_of - timedelta(days=days))
+    return column.between(ntz(as_of - timedelta(days=days)), ntz(as_of))
 
 
 def total(column: Column, kind: str, when: Column | None = None) -> Column:

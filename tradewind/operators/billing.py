@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.scalars import letters_and_digits, month_start, ntz
+from tradewind.functions.scalars import in_month, letters_and_digits, ntz
 from tradewind.operators.scans import running_sums
 from tradewind.sources.shared import staged
 
@@ -151,7 +151,7 @@ def settled(invoices: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFra
 
 def month_usage(events: DataFrame, as_of: datetime) -> DataFrame:
     """tokens_used and messages_used of the month, by account_id."""
-    rows = events.where(F.col("created_at") >= ntz(month_start(as_of)))
+    rows = events.where(in_month(F.col("created_at"), as_of))
     return rows.groupBy("account_id").agg(F.sum("tokens").cast("long").alias("tokens_used"), F.count(F.when(F.col("kind") == "ai_message", 1)).alias("messages_used"))
 
 

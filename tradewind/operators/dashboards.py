@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.functions.scalars import COST, count_where, in_month, since_days, total
+from tradewind.functions.scalars import COST, count_where, in_month, ntz, since_days, total
 
 
 def date_axis(spark: SparkSession, as_of: datetime, days: int = 14) -> DataFrame:
@@ -36,8 +36,8 @@ def message_series(conversations: DataFrame, messages: DataFrame, as_of: datetim
     """Messages by author for each shop and day, with zeros: counted first, then laid on the axis."""
     axis = date_axis(conversations.sparkSession, as_of, days)
     shops = conversations.select("shop_id").distinct()
-    first = axis.agg(F.min("date")).first()[0]  # one value
-    rows = messages.where(F.col("created_at") >= F.lit(first).cast("timestamp_ntz")).join(conversations.select(F.col("id").alias("conversation_id"), "shop_id"), "conversation_id")
+    first = datetime.combine(as_of.date() - timedelta(days=days - 1), time())
+    rows = messages.where(F.col("created_at").between(ntz(first), ntz(as_of))).join(conversations.select(F.col("id").alias("conversation_id"), "shop_id"), "conversation_id")
     role = lambda r: count_where(F.col("role") == r)
     counted = rows.groupBy("shop_id", F.to_date("created_at").alias("date")).agg(role("ai").alias("ai"), role("agent").alias("human"), role("customer").alias("customer"))
     laid = shops.crossJoin(F.broadcast(axis)).join(counted, ["shop_id", "date"], "left").na.fill(0, ["ai", "human", "customer"])  # axis: so many days

@@ -12,8 +12,8 @@ from tradewind.sources import sinks, webhooks
 from tradewind.tenancy import TenantContext, at_least
 
 ORG = 1
-MONTH = "created_at >= timestamp '2024-01-01'"
-SETTLED = "coalesce(paid_at, created_at) >= timestamp '2001-07-01'"
+MONTH = "created_at BETWEEN timestamp '2024-01-01' AND timestamp '2024-01-20 12:00:00'"
+SETTLED = "coalesce(paid_at, created_at) BETWEEN timestamp '2001-07-01' AND timestamp '2001-07-20'"
 PAID = "status = 'paid' AND provider <> 'admin_manual'"
 #: An organization's plan: that of its first account with a subscription.
 ORG_PLAN = "SELECT organization_id, min_by(plan_code, account_id) AS plan_code FROM v_subscription JOIN v_account ON id = account_id WHERE organization_id <> 3 GROUP BY organization_id"
@@ -54,7 +54,7 @@ def usage_by_customer(t: Tables) -> DataFrame:
 
 
 @query("""SELECT cast(created_at AS date) AS day, count(*) FILTER (WHERE kind = 'ai_message') AS ai_messages, cast(sum(input_tokens + output_tokens) AS bigint) AS tokens, cast(sum(estimated_cost) AS decimal(18,6)) AS cost_usd
-  FROM v_usage_event WHERE created_at >= timestamp '2024-01-20 12:00:00' - interval 30 day GROUP BY 1""")
+  FROM v_usage_event WHERE created_at BETWEEN timestamp '2024-01-20 12:00:00' - interval 30 day AND timestamp '2024-01-20 12:00:00' GROUP BY 1""")
 def usage_daily_report(t: Tables) -> DataFrame:
     return metering.daily_report(t.usage_event, AS_OF)
 
@@ -91,19 +91,19 @@ AXIS = "SELECT cast(d AS date) AS date FROM generate_series(date '2024-01-07', d
 
 @query(f"""WITH axis AS ({AXIS}), shops AS (SELECT DISTINCT shop_id FROM v_conversation),
   n AS (SELECT shop_id, cast(m.created_at AS date) AS date, count(*) FILTER (WHERE role = 'ai') AS ai, count(*) FILTER (WHERE role = 'agent') AS human, count(*) FILTER (WHERE role = 'customer') AS customer
-    FROM v_message m JOIN v_conversation c ON c.id = m.conversation_id GROUP BY 1, 2)
+    FROM v_message m JOIN v_conversation c ON c.id = m.conversation_id WHERE m.created_at <= timestamp '2024-01-20 12:00:00' GROUP BY 1, 2)
   SELECT shop_id, date, strftime(date, '%d/%m') AS day, coalesce(ai, 0) AS ai, coalesce(human, 0) AS human, coalesce(customer, 0) AS customer FROM shops CROSS JOIN axis LEFT JOIN n USING (shop_id, date)""")
 def daily_series(t: Tables) -> DataFrame:
     return dashboards.message_series(t.conversation, t.message, AS_OF)
 
 
-@query(f"""WITH axis AS ({AXIS}), n AS (SELECT cast(created_at AS date) AS date, count(*) FILTER (WHERE kind = 'ai_message') AS a, sum(estimated_cost) AS c FROM v_usage_event GROUP BY 1)
+@query(f"""WITH axis AS ({AXIS}), n AS (SELECT cast(created_at AS date) AS date, count(*) FILTER (WHERE kind = 'ai_message') AS a, sum(estimated_cost) AS c FROM v_usage_event WHERE created_at <= timestamp '2024-01-20 12:00:00' GROUP BY 1)
   SELECT strftime(date, '%d/%m') AS day, coalesce(a, 0) AS ai_messages, cast(coalesce(c, 0) AS decimal(18,6)) AS cost FROM axis LEFT JOIN n USING (date)""")
 def platform_daily_series(t: Tables) -> DataFrame:
     return dashboards.platform_series(t.usage_event, AS_OF)
 
 
-@query("""SELECT coalesce(json_extract_string(meta, '$.intent'), 'other') AS intent, count(*) AS count FROM v_message WHERE role = 'ai' AND created_at >= timestamp '2024-01-20 12:00:00' - interval 30 day GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6""")
+@query("""SELECT coalesce(json_extract_string(meta, '$.intent'), 'other') AS intent, count(*) AS count FROM v_message WHERE role = 'ai' AND created_at BETWEEN timestamp '2024-01-20 12:00:00' - interval 30 day AND timestamp '2024-01-20 12:00:00' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6""")
 def top_intents(t: Tables) -> DataFrame:
     return dashboards.top_intents(t.message, AS_OF)
 

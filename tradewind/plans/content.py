@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens
-from tradewind.functions.text import DIM, bucket, fitted, tokens
+from tradewind.functions.text import DIM, bucket, fitted, tokens, vector_text
 from tradewind.operators import cells, conversations, ingest, lookups, retrieval
 from tradewind.operators.scans import first_hit_windows
 from tradewind.plans.catalog import Tables, query
-from tradewind.functions.signatures import hmac_sha256, webhook_signed
+from tradewind.plans.office import OFFICE
+from tradewind.functions.signatures import callback_signed, hmac_sha256, hmac_sha512, sorted_query, timed_signed, webhook_signed
 from tradewind.sources import readers, sinks, webhooks
 from tradewind.sources.shared import scratch
 from tradewind.streaming import events
@@ -151,6 +153,11 @@ def embedding_fit(t: Tables) -> DataFrame:
     return rows.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.col("v")[0].alias("first"), F.col("v")[DIM - 1].alias("last"))
 
 
+@query("SELECT id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', cast(x AS double))), ',') || ']' AS text FROM v_vector")
+def embedding_text(t: Tables) -> DataFrame:
+    return t.vector.select("id", vector_text(F.col("embedding")).alias("text"))
+
+
 DENSE = """SELECT q.id AS query, v.id AS id, list_cosine_similarity(cast(q.embedding AS double[]), cast(v.embedding AS double[])) AS score FROM v_vector q, v_vector v WHERE q.id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL"""
 TOP = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM ({0}) AS s{1} QUALIFY rank < {2}"
 
@@ -427,6 +434,33 @@ def webhook_signature(t: Tables) -> DataFrame:
     return sent.select("id", webhook_signed(KEY, F.col("content"), F.col("header")).alias("signed"), "signature")
 
 
+@query("SELECT id, id % 3 <> 0 AS timed, id % 4 <> 0 AS redirected, 'a=1+%2A~%2F&b=' || id AS query FROM v_message")
+def signed_callbacks(t: Tables) -> DataFrame:
+    """Timed signatures of message bodies and HMAC-SHA512 of redirects; every third or fourth one is wrong and refused."""
+    at = F.col("id").cast("string")
+    timed = F.concat(F.lit("v1="), hmac_sha256(KEY.encode(), F.concat(at, F.lit("."), F.col("content"))), F.lit(",t="), F.when(F.col("id") % 3 == 0, "never").otherwise(at))
+    params = F.create_map(F.lit("b"), at, F.lit("a"), F.lit("1 *~/"))
+    signature = F.when(F.col("id") % 4 != 0, F.upper(hmac_sha512(KEY.encode(), F.concat(F.lit("a=1+%2A~%2F&b="), at))))
+    return t.message.select("id", timed_signed(KEY, F.col("content"), timed).alias("timed"), callback_signed(KEY, params, signature).alias("redirected"), sorted_query(params).alias("query"))
+
+
+def office_files(t: Tables) -> DataFrame:
+    """Documents as files of four kinds: a paragraph, a slide's paragraph or a row for each line, or of an unknown kind."""
+    kind = F.element_at(F.array(*map(F.lit, ("docx", "pptx", "xlsx", "dat"))), (F.col("id") % 4 + 1).cast("int"))
+
+    @F.pandas_udf("binary")
+    def written(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([OFFICE[k](text or "") for k, text in zip(kinds, texts, strict=True)])
+
+    return t.document.select("id", F.concat(F.col("id").cast("string"), F.lit("."), kind).alias("path"), written(kind, F.col("content")).alias("content"))
+
+
+@query(r"""WITH l AS (SELECT id, content, array_to_string(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10)) AS lines FROM v_document)
+  SELECT id, CASE WHEN id % 4 = 2 THEN '# S' || chr(10) || rtrim(regexp_replace(lines, '\s+$', '')) ELSE regexp_replace(CASE WHEN id % 4 = 3 THEN content ELSE lines END, '^\s+|\s+$', '', 'g') END AS text FROM l""")
+def office_text(t: Tables) -> DataFrame:
+    return readers.extracted(office_files(t)).select("id", "text")
+
+
 @query("SELECT id, title, cast(length(content) AS varchar) AS chars FROM v_document")
 def csv_export(t: Tables) -> DataFrame:
     """A report written as CSV and read back."""

@@ -7,6 +7,7 @@ import io
 import json
 import zipfile
 from collections.abc import Callable
+from contextlib import suppress
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -26,16 +27,19 @@ NS = {
 
 
 #: How a file may be encoded, by the byte-order mark that it begins with.
+UNMARKED = ("utf-8", "utf-16-le")
 MARKS = {codecs.BOM_UTF8: "utf-8-sig", codecs.BOM_UTF16_LE: "utf-16", codecs.BOM_UTF16_BE: "utf-16"}
 
 
 def decoded(raw: bytes) -> str:
-    """By its byte-order mark; without one UTF-8 if it is valid, else each byte is one character."""
+    """By its byte-order mark; without one the first of UTF-8, UTF-16 and Latin-1 under which the bytes are valid."""
     marked = next((name for mark, name in MARKS.items() if raw.startswith(mark)), None)
     if marked:
         return raw.decode(marked, "replace")
-    text = raw.decode("utf-8", "surrogateescape")
-    return text if text.isascii() or not any("\udc80" <= c <= "\udcff" for c in text) else raw.decode("latin-1")
+    for name in UNMARKED:
+        with suppress(UnicodeDecodeError):
+            return raw.decode(name)
+    return raw.decode("latin-1")
 
 
 class _Text(HTMLParser):

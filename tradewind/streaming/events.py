@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tradewind.operators.scans import first_hit_windows as rate_limit_windows  # noqa: F401  the batch twin
 from tradewind.sources.shared import scratch
 
 HITS = "user_id long, window_start timestamp_ntz, hits long, allowed long"
