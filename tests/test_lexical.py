@@ -91,6 +91,18 @@ def test_search_over_blocks(spark):
     assert lexical.lexical_topk(q.limit(0), x).count() == lexical.lexical_topk(q, x.limit(0)).count() == 0
 
 
+def test_jaccard_over_blocks(spark):
+    texts = [(i, " ".join(w + str(i % 5) for w in ("river", "stone", "lamp")[: 1 + i % 3])) for i in range(50)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.query, r.id, r.score) for r in lexical.jaccard_topk(df.where("id % 10 = 0"), df, 4, query_block=2, item_block=9).collect()}
+    sets = {i: set(sequence(t or "")) for i, t in texts}
+    want = set()
+    for q in range(0, 51, 10):
+        scored = sorted((-len(sets[q] & s) / len(sets[q] | s), i) for i, s in sets.items() if sets[q] & s)[:4]
+        want |= {(q, i, -s) for s, i in scored}
+    assert got == want
+
+
 def test_few_pairs_of_passages_and_chunks_are_scored(spark):
     t = Tables(spark, SF.replace("0.001", "0.01"))
     items = content.chunk_items(t).select("id", "text")

@@ -233,6 +233,33 @@ def lexical_topk(queries: DataFrame, items: DataFrame, k: int = 20, least: float
     return ranked(found, k)
 
 
+def jaccard_topk(queries: DataFrame, items: DataFrame, k: int, query_block: int = QUERIES, item_block: int = ITEMS) -> DataFrame:
+    """query, id, score, rank by the Jaccard similarity of the whole texts' trigram sets, of pairs that share one.
+
+    The same blocks: what two texts share comes from the inverted table of a block's queries, and each pair of
+    blocks sends on k rows a query, so pairs are never rows of a shuffle.
+    """
+    n_q, n_x = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (items, item_block)))
+    sides = [df.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")) for df in (queries, items)]
+
+    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(q) and len(x):
+            ids = x["id"].to_numpy()
+            block = BlockSearch(x["text"].tolist(), k, 0.0)
+            sizes = np.array([(b < 0).sum() for b in block.before])
+            grams = [np.unique(trigram_codes(t)) for t in q["text"]]
+            for name, query, shared in zip(q["id"], grams, block.shared(grams), strict=True):
+                found = np.flatnonzero(shared)
+                score = shared[found] / (len(query) + sizes[found] - shared[found])
+                best = np.lexsort((ids[found], -score))[:k]
+                out += zip([name] * len(best), ids[found[best]], score[best], strict=True)
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
+    q, x = dealt(*sides, n_q, n_x)
+    return ranked(q.cogroup(x).applyInPandas(search, "query long, id long, score double"), k)
+
+
 def search_work(found: DataFrame) -> DataFrame:
     """query, pairs, bounded, verified: what block_topk's rows took."""
     return found.groupBy("query").agg(*(F.sum(c).alias(c) for c in ("pairs", "bounded", "verified")))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens, number_text, relevant
-from tradewind.functions.text import DIM, tokens, trigrams
-from tradewind.operators.lexical import dealt, lexical_topk, ranked  # noqa: F401  one of the two rankers
+from tradewind.functions.text import DIM, tokens
+from tradewind.operators.lexical import dealt, jaccard_topk, lexical_topk, ranked  # noqa: F401  one of the two rankers
 
 CANDIDATES = 20
 RRF_K = 60
@@ -111,13 +111,6 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = CANDIDATES, block:
     return ranked(found, k)
 
 
-def whole_trigram_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """query, id, score, rank by the Jaccard similarity of the whole texts' trigram sets."""
-    sets = lambda df, name: df.select(F.col("id").alias(name), trigrams(F.col("text")).alias("g")).select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("gram"))
-    both = sets(queries, "query").join(sets(items, "id"), "gram").groupBy("query", "id", "n_query", "n_id").agg(F.count("*").alias("n"))
-    return ranked(both.select("query", "id", (F.col("n") / (F.col("n_query") + F.col("n_id") - F.col("n"))).alias("score")), k)
-
-
 def fused(dense: DataFrame, lexical: DataFrame, k: int = 4) -> DataFrame:
     """Reciprocal rank fusion of two rankings (query, id, score, rank): the best k of each query, with both raw scores.
 

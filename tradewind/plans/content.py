@@ -194,7 +194,7 @@ def vector_cells_scoped(t: Tables) -> DataFrame:
   x AS (SELECT query, id, n / (a + b - n) AS score FROM p WHERE n > 0) SELECT query, id, round(score, 6) AS score, cast(rank AS integer) AS rank FROM ({TOP.format('SELECT * FROM x', '', 10)}) AS y""")
 def trigram_jaccard(t: Tables) -> DataFrame:
     items = t.product.select("id", F.col("name").alias("text"))
-    return retrieval.whole_trigram_topk(items.where("id % 100 = 0"), items, 10).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return retrieval.jaccard_topk(items.where("id % 100 = 0"), items, 10).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 #: Word similarity: the best stretch begins and ends on a trigram of the query (h holds those places).
