@@ -50,6 +50,21 @@ def test_stage(spark, docs, name, stage):
     assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_last_stage(spark, docs):
+    """Packing: every row's ids once, whatever its columns are; rows that repeat an id have pieces of their own."""
+    _, pack = corpus_pipeline.STAGES[-1]
+    got = pack(spark, docs, "").collect()
+    whole = {-1 if d is None else d for d, _ in ROWS}
+    assert {-1 if r.doc_id is None else r.doc_id for r in got} == whole
+    assert sum(r.doc_tokens for r in got if r.start == 0) == sum(r.length for r in got)
+    used = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 2048
+    assert pack(spark, docs.limit(0), "").count() == 0
+
+
 def test_repeated_and_missing_page_ids(spark):
     body = "x" * 1200
     pages = spark.createDataFrame([(1, "u", body), (2, "u", body), (2, "v", body), (None, "u", body), (None, "u", "y" * 1200), (None, "u", "y" * 1200), (3, "u", "tiny"), (3, "u", "tiny")], "page_id long, url string, html string")

@@ -117,6 +117,53 @@ def test_ftrl_equals_a_plain_loop():
     assert np.allclose(got_b, [weight(langid.DIM, c) for c in range(3)], atol=1e-6)
 
 
+def plain_features(text):
+    """Hashed character 1- to 3-grams of the lower-cased text, one at a time."""
+    c, n = [ord(x) for x in text.lower()], Counter()
+    for i in range(len(c)):
+        key = 0
+        for back in range(min(3, i + 1)):
+            key = (key + c[i - back] * int(langid.MULTIPLIERS[back])) % 2**32
+            n[((key ^ key >> 15) * 0x2C1B3C6D % 2**32) >> (32 - langid.BITS)] += 1
+    return n
+
+
+def test_language_query_equals_brute_force(spark):
+    """The whole query: held-out fold, document frequencies, weights, temperature and predictions, text by text."""
+    docs = registry.table(spark, SF, "documents")
+    hashed = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"), F.length("text")), F.lit(1 << 30)).alias("h")
+    rows = docs.select("doc_id", "text", "lang", hashed).collect()
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    features = {r.doc_id: plain_features(r.text or "") for r in rows}
+    train = [r for r in rows if not out[r.doc_id] and r.text is not None and r.lang is not None]
+    df = Counter(f for r in train for f in features[r.doc_id])
+    idf = lambda f: math.log((1 + len(train)) / (1 + df[f])) + 1
+    classes = sorted({r.lang for r in train})
+
+    def vector(r):
+        x = {f: n * idf(f) for f, n in sorted(features[r.doc_id].items())}
+        norm = max(math.sqrt(sum(v * v for v in x.values())), 1e-9)
+        return {f: v / norm for f, v in x.items()}
+
+    at = lambda r: np.array(sorted(features[r.doc_id]), dtype=np.int32)
+    train.sort(key=lambda r: (r.h, r.lang, at(r).tobytes()))
+    examples = [(at(r), np.array(list(vector(r).values())), classes.index(r.lang)) for r in train]
+    w, b = langid.fit_ftrl([e for i, e in enumerate(examples) if i % 5], len(classes), langid.Training())  # a plain loop checks it above
+    tuning = examples[::5]
+    t = langid.fit_temperature(np.array([x @ w[i] + b for i, x, _ in tuning]), np.array([y for *_, y in tuning]))
+    got = {r.doc_id: r for r in registry.op2_language_id(spark, SF).collect()}
+    assert len(got) == len(rows) and len(train) >= 50
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == out[r.doc_id]
+        if not any(map(str.isalpha, r.text or "")):
+            assert (g.lang_pred, g.score) == (langid.UNDETERMINED, 0.0)
+            continue
+        logits = [sum(v * float(w[f, k]) for f, v in vector(r).items()) + float(b[k]) for k in range(len(classes))]
+        p = [math.exp((s - max(logits)) / t) for s in logits]
+        assert g.lang_pred == classes[p.index(max(p))] and g.score == pytest.approx(max(p) / sum(p), abs=1e-3)
+
+
 def test_temperature_has_the_least_loss():
     rng = np.random.default_rng(4)
     logits = rng.normal(size=(400, 3)) * 5
