@@ -53,7 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token windows. Workers that ran the other stages have less memory to spare for the memo."""
+    """The pieces of the token windows: every id of every row once. Null and empty texts are their end id alone, very
+    long ones are cut, repeated rows have pieces of their own, an empty table has none. Workers that ran the other stages have less memory to spare for the memo."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), memo=150_000)
 
 
