@@ -186,6 +186,19 @@ def test_ngrams_do_not_depend_on_stretches():
 # --- archive ---
 
 
+def test_a_hot_payload_is_split(spark, tmp_path, monkeypatch):
+    """Nine tenths of the records share a payload: it meets them in parts, and the result is the same."""
+    monkeypatch.setattr(archive, "LOT", 20)
+    rows = [(i, "u" * (i % 3), "x" * 1200 if i % 10 else f"{i} " * 300) for i in range(400)] + [(400, "u", None), (401, "v", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    path = f"file://{tmp_path}/warc"
+    archive.write_archive(pages, path)
+    read = archive.read_archive(spark, path)
+    got = {r.page_id: (r.record_type, r.refers_to, bytes(r.payload).decode()) for r in read.collect()}
+    assert got == {i: ("revisit" if i % 10 and i < 399 and t and t[0] == "x" else "response", 399 if i % 10 and i < 399 and t and t[0] == "x" else None, t or "") for i, _, t in rows}
+    assert spark.read.parquet(f"{path}/payloads").count() == 42
+
+
 def test_archive_round_trip(spark, tmp_path):
     body, small = "x" * 1200, "tiny"
     rows = [(1, "u", body), (2, "u\r\n", body), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", "é" * 700), (7, "u", "WARC/1.1\r\n\r\n")]

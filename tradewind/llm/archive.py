@@ -13,6 +13,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URN = "urn:x-page:"
 
 
+#: A digest with more records than this is split: into as many parts as it has such lots.
+LOT = 1000
+#: There are fewer digests of more than n / SPLIT records than this, so what names them can be broadcast.
+SPLIT = 1000
+
+
+def lot_of(n: int) -> int:
+    return max(LOT, -(-n // SPLIT))
+
+
 def _payloads(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("payload")).withColumns(
@@ -42,7 +52,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     record = staged(rows.select("page_id", "url", "digest", "sha1", "length").withColumn("row", F.monotonically_increasing_id()), "warc-rows")
     shared = record.where(F.col("length") >= least_shared)
     held = shared.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies"))
-    shared = shared.join(held.where("copies > 1").drop("copies"), "digest", "left")
+    held, lot = staged(held.where("copies > 1"), "warc-held"), lot_of(record.count())
+    many = F.broadcast(held.where(F.col("copies") > lot).drop("copies"))  # fewer than SPLIT rows of a digest and an id
+    few = shared.join(many.select("digest"), "digest", "left_anti").join(held.where(F.col("copies") <= lot).drop("copies"), "digest", "left")
+    shared = shared.join(many, "digest").unionByName(few)
     record = shared.unionByName(record.where(F.col("length") < least_shared), allowMissingColumns=True)
     record = record.withColumn("holder", F.col("first.page_id"))
     is_revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
@@ -67,8 +80,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive, with header fields parsed and the full payload joined by digest.
 
     Columns: page_id, record_type, refers_to, url, header, payload (of a revisit: what it refers to), digest.
-    A payload that no longer matches its SHA-256 stops the read. Records of one digest may be very many; the join
-    is an ordinary one that adaptive execution splits.
+    A payload that no longer matches its SHA-256 stops the read. Records of one digest may be very many: they are
+    dealt to parts of about a lot, each of which meets a copy of the payload, so no task holds them all.
     """
     payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
     checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary"))
@@ -78,7 +91,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     parsed = records.select(
         "digest", "header", number("WARC-Record-ID").try_cast("long").alias("page_id"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").try_cast("long").alias("refers_to"), field("WARC-Target-URI").alias("url")
     )
-    return parsed.join(payloads.withColumn("payload", checked), "digest")
+    lot = lot_of(records.count())
+    hot = parsed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > lot).select("digest", F.ceil(F.col("n") / lot).cast("int").alias("parts"))
+    hot = F.broadcast(hot)  # fewer than SPLIT rows
+    dealt = parsed.join(hot, "digest", "left").withColumn("part", F.pmod(F.xxhash64("header", "page_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = payloads.withColumn("payload", checked).join(hot, "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, ["digest", "part"]).drop("part")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
