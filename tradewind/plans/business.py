@@ -306,6 +306,18 @@ def tenant_isolation(t: Tables) -> DataFrame:
     return TenantContext(ORG).visible(t.usage_event).select("id", "organization_id", "kind")
 
 
+@query("SELECT id, organization_id, kind FROM v_usage_event")
+def superuser_view(t: Tables) -> DataFrame:
+    """What a platform administrator sees: every tenant's rows."""
+    return TenantContext(admin=True).visible(t.usage_event).select("id", "organization_id", "kind")
+
+
+@query("SELECT id, kind, CASE WHEN bot_id IN (SELECT id FROM v_bot WHERE shop_id < 5) THEN NULL ELSE bot_id END AS bot_id FROM v_channel")
+def set_null(t: Tables) -> DataFrame:
+    """Channels after some bots are gone: they stay, without a bot."""
+    return sinks.set_null(t.channel.select("id", "kind", "bot_id"), t.bot.where("shop_id < 5").select("id"), "bot_id")
+
+
 @query("SELECT id, role, coalesce(CASE role WHEN 'viewer' THEN 0 WHEN 'agent' THEN 1 WHEN 'admin' THEN 2 WHEN 'owner' THEN 3 END, -1) >= 1 AS may_reply FROM v_account")
 def rbac_rank(t: Tables) -> DataFrame:
     return t.account.select("id", "role", at_least(F.col("role"), "agent").alias("may_reply"))

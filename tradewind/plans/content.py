@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import estimated_tokens
-from tradewind.functions.text import DIM, bucket, fitted, tokens, vector_text
+from tradewind.functions.text import DIM, bucket, cosine, fitted, tokens, vector_text
 from tradewind.operators import cells, conversations, ingest, lookups, retrieval
 from tradewind.operators.scans import first_hit_windows
 from tradewind.plans.catalog import Tables, query
@@ -158,6 +158,14 @@ def embedding_text(t: Tables) -> DataFrame:
     return t.vector.select("id", vector_text(F.col("embedding")).alias("text"))
 
 
+@query("SELECT v.id, round(list_cosine_similarity(cast(v.embedding AS double[]), cast(o.embedding AS double[])), 6) AS score FROM v_vector v, v_vector o WHERE o.id = 1 AND v.embedding IS NOT NULL")
+def cosine_score(t: Tables) -> DataFrame:
+    """Every vector against one."""
+    one = t.vector.where("id = 1").select(F.col("embedding").alias("other"))
+    rows = t.vector.where("embedding IS NOT NULL").crossJoin(F.broadcast(one))  # one row
+    return rows.select("id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+
+
 DENSE = """SELECT q.id AS query, v.id AS id, list_cosine_similarity(cast(q.embedding AS double[]), cast(v.embedding AS double[])) AS score FROM v_vector q, v_vector v WHERE q.id % 100 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL"""
 TOP = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM ({0}) AS s{1} QUALIFY rank < {2}"
 

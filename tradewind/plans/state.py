@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import billing
 from tradewind.operators.embedding_index import EmbeddingIndex
-from tradewind.plans.business import DELTA, INVOICE3, MATCHED, ORG, coded_invoices, invoice_delta, transfer_bodies
+from tradewind.plans.business import DELTA, INVOICE3, MATCHED, ORG, account_events, coded_invoices, invoice_delta, transfer_bodies
 from tradewind.plans.catalog import Tables, query
-from tradewind.plans.content import FOLD, NORMALISED, fixture_chunks, payloads
+from tradewind.plans.content import FOLD, NORMALISED, fixture_chunks, payloads, windows_sql
 from tradewind.sources.shared import scratch
 from tradewind.sources.stored import StoredTable
-from tradewind.streaming import stateful
+from tradewind.streaming import events, stateful
 from tradewind.streaming.intake import BANK, Intake
 from tradewind.streaming.jobs import GONE, INGEST, JobLog
 from tradewind.tenancy import channel_function, tenant_views
@@ -111,6 +111,27 @@ def conversation_state(t: Tables) -> DataFrame:
     return t.spark.read.schema(found.schema).parquet(out)
 
 
+@query(f"SELECT * FROM ({windows_sql(2, 6 * 3600)}) AS w WHERE window_start + interval 6 hour <= (SELECT max(ts) FROM events)")
+def rate_limit_state(t: Tables) -> DataFrame:
+    """The windows that a stream of all events has closed, by a later hit or by its timer; those still open are state."""
+    path, out = scratch(t.spark, "hits"), scratch(t.spark, "hit-windows")
+    t.raw("events").select("user_id", "ts").write.parquet(path)
+    with stateful.on_disk_state(t.spark):
+        found = stateful.first_hits(t.spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(path), 2, 6 * 3600)
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(t.spark, "hits-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(out)
+
+
+@query("""SELECT id, id % 150 AS account_id, coalesce(sum(input_tokens + output_tokens) OVER w, 0)::BIGINT AS tokens_before, coalesce(sum(input_tokens + output_tokens) OVER w, 0) < 20000 AS allowed
+  FROM v_usage_event WINDOW w AS (PARTITION BY id % 150 ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def quota_stream(t: Tables) -> DataFrame:
+    """Each event of a stream with its account's tokens before it, and whether a quota of 20 000 lets it pass."""
+    path = scratch(t.spark, "metered")
+    account_events(t).drop("kind").write.parquet(path)
+    stream = t.spark.readStream.schema("id long, account_id long, tokens long, created_at timestamp_ntz").parquet(path)
+    return events.run_to_table(events.quota_stream(stream, 20_000), "quota")
+
+
 def deliveries(t: Tables) -> Intake:
     """Chat messages and bank transfers as they are delivered, every third of them twice."""
     chats = payloads(t, "id", "created_at").select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("delivery_id"), "kind", "payload", F.col("created_at").cast("timestamp").alias("received_at"), F.lit(None).cast("long").alias("row_id"))
