@@ -19,7 +19,7 @@ def test_runs(spark, name):
 
 
 #: What a match, a search or a gate must find at least once, so that equal emptiness is no success.
-HITS = {"reconcile_transfers": "matched_invoice IS NOT NULL AND matched_invoice <> named_invoice", "reconcile_webhooks": "matched_invoice IS NOT NULL", "settle_invoices": "status = 'void'", "settle_payments": "true", "lexical_topk": "score < 1", "hybrid_rrf": "kw", "product_search": "true", "quota_running": "NOT allowed", "handoff_policy": "needs_human", "job_log": "status = 'ready' AND attempts > 1", "intake_settlement": "matched_invoice IS NOT NULL", "embedding_index": "run = 2", "channel_by_key": "true", "chunk_hybrid": "kw", "conversation_state": "NOT created", "signed_callbacks": "timed AND redirected", "quota_stream": "NOT allowed", "set_null": "bot_id IS NULL", "rate_limit_state": "hits > allowed"}
+HITS = {"reconcile_transfers": "matched_invoice IS NOT NULL AND matched_invoice <> named_invoice", "reconcile_webhooks": "matched_invoice IS NOT NULL", "settle_invoices": "status = 'void'", "settle_payments": "true", "lexical_topk": "score < 1", "hybrid_rrf": "kw", "product_search": "true", "quota_running": "NOT allowed", "handoff_policy": "needs_human", "job_log": "status = 'ready' AND attempts > 1", "intake_settlement": "matched_invoice IS NOT NULL", "embedding_index": "run = 2", "channel_by_key": "true", "chunk_hybrid": "kw", "signed_callbacks": "timed AND redirected", "quota_stream": "NOT allowed", "set_null": "bot_id IS NULL", "rate_limit_state": "hits > allowed"}
 
 
 @pytest.mark.parametrize("name", sorted(HITS))
