@@ -202,7 +202,7 @@ def test_callback_and_timed_signatures(spark):
     import hmac
     from urllib.parse import quote_plus
 
-    params = {"vnp_b": "x y+*~é/", "vnp_a": "1", "vnp_c": ""}
+    params = {"p_b": "x y+*~é/", "p_a": "1", "p_c": ""}
     data = "&".join(f"{k}={quote_plus(params[k])}" for k in sorted(params))
     good = hmac.new(b"key", data.encode(), hashlib.sha512).hexdigest()
     rows = spark.createDataFrame([(params, good), (params, good.upper()), (params, good[:-1] + "x"), (params, None), ({}, good)], "p map<string,string>, s string")
