@@ -122,14 +122,14 @@ def rate_limit_state(t: Tables) -> DataFrame:
     return t.spark.read.schema(found.schema).parquet(out)
 
 
-@query("""SELECT id, id % 150 AS account_id, coalesce(sum(input_tokens + output_tokens) OVER w, 0)::BIGINT AS tokens_before, coalesce(sum(input_tokens + output_tokens) OVER w, 0) < 20000 AS allowed
+@query("""SELECT id, id % 150 AS account_id, coalesce(sum(input_tokens + output_tokens) OVER w, 0)::BIGINT AS tokens_before, coalesce(sum(input_tokens + output_tokens) OVER w, 0) < 2000 AS allowed
   FROM v_usage_event WINDOW w AS (PARTITION BY id % 150 ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def quota_stream(t: Tables) -> DataFrame:
-    """Each event of a stream with its account's tokens before it, and whether a quota of 20 000 lets it pass."""
+    """Each event of a stream with its account's tokens before it, and whether a quota of 2000 lets it pass."""
     path = scratch(t.spark, "metered")
     account_events(t).drop("kind").write.parquet(path)
     stream = t.spark.readStream.schema("id long, account_id long, tokens long, created_at timestamp_ntz").parquet(path)
-    return events.run_to_table(events.quota_stream(stream, 20_000), "quota")
+    return events.run_to_table(events.quota_stream(stream, 2_000), "quota")
 
 
 def deliveries(t: Tables) -> Intake:
