@@ -13,19 +13,24 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tradewind.operators.scans import advance
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, of which a batch saves what it has changed instead of a whole snapshot of every partition.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def on_disk_state(spark: SparkSession):
     """Streams started inside keep their state on disk, which processors need."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in ON_DISK}
+    for key, value in ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 class Conversations(StatefulProcessor):
