@@ -108,3 +108,47 @@ def test_few_pairs_of_passages_and_chunks_are_scored(spark):
     items = content.chunk_items(t).select("id", "text")
     (work,) = lexical.search_work(lexical.block_topk(content.asked(t), items, 20, 0.1)).collect()
     assert work.pairs == items.count() and 0 < work.verified < 0.1 * work.pairs
+
+
+def test_equal_queries_are_searched_once(spark):
+    q = spark.createDataFrame([(i, "river stone") for i in range(40)] + [(40, None), (41, "")], "id long, text string")
+    x = spark.createDataFrame([(i, f"river stone{i % 3}") for i in range(30)], "id long, text string")
+    assert lexical.asked_once(q)[0].count() == 2
+    got = lexical.lexical_topk(q, x, 5).collect()
+    one = [(r.id, r.score, r["rank"]) for r in got if r.query == 0]
+    assert len(one) == 5 and sorted((r.query, r.id, r.score, r["rank"]) for r in got) == sorted((i, *r) for i in range(40) for r in one)
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXT, st.lists(TEXT, min_size=1, max_size=20))
+def test_short_items_are_scored_together(query, texts):
+    grams = np.unique(lexical.trigram_codes(query))
+    block = lexical.BlockSearch(texts, 5, 0.0)
+    hit = np.zeros(len(block.grams), bool)
+    hit[block.known(grams)] = True
+    taken = np.array([i for i, t in enumerate(texts) if set(sequence(query)) & set(sequence(t))], int)
+    if len(taken):
+        assert list(block.short_scores(len(grams), taken, hit, 0.0)) == [plain_score(query, texts[i]) for i in taken]
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXT, st.lists(TEXT, min_size=1, max_size=10))
+def test_hit_bounds_hold(query, texts):
+    grams = np.unique(lexical.trigram_codes(query))
+    block = lexical.BlockSearch(texts, 5, 0.0)
+    hit = np.zeros(len(block.grams), bool)
+    hit[block.known(grams)] = True
+    at = np.flatnonzero(hit[block.gram]) if len(block.gram) else np.zeros(0, int)
+    for place, bound in zip(at, block.hit_bounds(len(grams), at, block.item[at]), strict=True):
+        i = block.item[place]
+        piece = slice(block.offsets[i], block.offsets[i] + block.lengths[i])
+        assert bound >= lexical.stretch_score(len(grams), block.before[piece] - block.offsets[i], hit[block.gram[piece]], np.array([place - block.offsets[i]]))
+
+
+def test_of_equal_items_only_the_least_ids_are_compared(spark):
+    q = spark.createDataFrame([(i, "river") for i in range(3)], "id long, text string")
+    x = spark.createDataFrame([(i, ("river", "rivers")[i % 2]) for i in range(400)], "id long, text string")
+    got = {(r.query, r.id) for r in lexical.jaccard_topk(q, x, 4).collect()}
+    assert got == {(i, j) for i in range(3) for j in (0, 2, 4, 6)}
+    items = lexical.least_copies(x, 4)
+    assert sorted(r.id for r in items.collect()) == list(range(8))
