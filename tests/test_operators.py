@@ -291,3 +291,16 @@ def test_quota_stream(spark, tmp_path):
 def test_stream_dedupe_keeps_null_keys(spark, tmp_path):
     df = spark.createDataFrame([(1, datetime(2024, 1, 1)), (1, datetime(2024, 1, 1)), (None, datetime(2024, 1, 1)), (None, datetime(2024, 1, 1))], "txn long, at timestamp_ntz")
     assert events.run_to_table(events.deduplicated(_stream(spark, df, tmp_path), "txn", "at"), "dedupe").count() == 3
+
+
+def test_hashed_topk_equals_dense_topk_over_hashed_vectors(spark):
+    words = ["river", "stone", "bridge", "Ärger", "lamp", "7", "x9"]
+    items = spark.createDataFrame([(i, " ".join(words[(i * j) % 7] for j in range(1, 2 + i % 4))) for i in range(90)] + [(90, None), (91, " ")], "id long, text string")
+    asking = items.where("id % 10 = 0")
+    want = retrieval.dense_topk(retrieval.hash_vectors(asking), retrieval.hash_vectors(items), 6, digits=9).where("score > 0")
+    for few in (24, 0):  # by columns, by matrix products
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(retrieval, "FEW", few)
+            got = retrieval.hashed_topk(asking, items, 6, query_block=4, item_block=20)
+            rows = lambda df: sorted((r.query, r["rank"], r.id, r.score) for r in df.collect())
+            assert rows(got) == rows(want) and len(rows(got)) > 40
