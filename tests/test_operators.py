@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import signatures
 from tradewind.functions.scalars import number_text, stale
+from tradewind.functions import text
 from tradewind.functions.text import trigrams
 from tradewind.operators import billing, ingest, retrieval
 from tradewind.plans import catalog, content  # noqa: F401
@@ -304,3 +305,31 @@ def test_hashed_topk_equals_dense_topk_over_hashed_vectors(spark):
             got = retrieval.hashed_topk(asking, items, 6, query_block=4, item_block=20)
             rows = lambda df: sorted((r.query, r["rank"], r.id, r.score) for r in df.collect())
             assert rows(got) == rows(want) and len(rows(got)) > 40
+
+
+def test_vector_text_rounds_as_printf_does(spark, duck):
+    values = [0.0078125, 0.0234375, -0.0078125, -1.9921875, 3.0000005, -0.0, 1e-9, 123456.78, float("nan"), float("-inf")]
+    df = spark.createDataFrame([(values,)], "v array<float>")
+    want = duck.execute("SELECT list_transform(?::FLOAT[], lambda x: printf('%.6f', cast(x AS double)))", [values]).fetchone()[0]
+    assert df.select(text.vector_text(F.col("v"))).first()[0] == f"[{','.join(want)}]"
+
+
+def test_fitted_evaluates_its_norm_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def told(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(3).select(text.fitted(told(F.array(F.lit(3.0), F.lit(4.0))), 384).alias("v"))
+    assert [r.v[:3] for r in rows.collect()] == [[0.6, 0.8, 0.0]] * 3 and seen.value == 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "sqrt(aggregate(" not in plan.split("round(")[1]
+
+
+def test_csv_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).select("id", F.lit("a,\"b").alias("t")).repartition(5)
+    sinks.write_csv(rows, f"file://{tmp_path}/c")
+    back = spark.read.option("header", True).option("escape", '"').schema("id long, t string").csv(f"file://{tmp_path}/c")
+    assert len(list(tmp_path.glob("c/*.csv"))) == 5 and sorted(r.id for r in back.collect()) == list(range(40))
