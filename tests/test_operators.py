@@ -333,3 +333,13 @@ def test_csv_is_written_by_many_tasks(spark, tmp_path):
     sinks.write_csv(rows, f"file://{tmp_path}/c")
     back = spark.read.option("header", True).option("escape", '"').schema("id long, t string").csv(f"file://{tmp_path}/c")
     assert len(list(tmp_path.glob("c/*.csv"))) == 5 and sorted(r.id for r in back.collect()) == list(range(40))
+
+
+def test_chunks_go_on_before_a_batch_ends(spark):
+    texts = [(i, "\n\n".join(f"{i} {j} " + "x" * 500 for j in range(i % 5))) for i in range(40)] + [(40, None), (41, " ")]
+    df = spark.createDataFrame(texts, "id long, content string").coalesce(1)
+    want = [(i, n, c) for i, t in texts for n, c in enumerate(ingest._packed(t, 800, "\n\n", False))]
+    for given in (1, 3_000, 10**9):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ingest, "GIVEN", given)
+            assert sorted(map(tuple, ingest.chunked(df).collect())) == sorted(want)
