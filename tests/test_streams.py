@@ -110,3 +110,14 @@ def test_windows_close_by_hits_and_by_timers(spark, tmp_path):
         got = events.run_to_table(stream, "first-hits")
     key = lambda r: (r.user_id, r.window_start, r.hits, r.allowed)
     assert sorted(map(key, got.collect())) == sorted(map(key, first_hit_windows(df, 2, 6 * 3600).collect()))
+
+
+def test_stored_files_are_not_shuffled_again(spark, tmp_path):
+    log = JobLog(spark, f"file://{tmp_path}/log")
+    files = log.stored(spark.createDataFrame([(i, f"{i}.txt", f"text {i}".encode(), 1) for i in range(50)], "document_id long, name string, content binary, from_attempt int"))
+    jobs = spark.createDataFrame([(i, "ingest_document", i, 1) for i in range(60)], "job_id long, kind string, document_id long, attempt int")
+    joined = jobs.hint("shuffle_hash").join(files, "document_id", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r.job_id: (r.text, r.error) for r in log._worked(jobs, files).collect()}
+    assert got == {i: (f"text {i}", None) if i < 50 else (None, "the uploaded file was not found") for i in range(60)}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.operators.ingest import chunks_of
+from tradewind.operators.ingest import chunk_rows
 from tradewind.sources.readers import extracted
 from tradewind.streaming.outbox import Outbox
 
@@ -34,10 +36,17 @@ class JobLog:
         rows = jobs.select(F.col("job_id").cast("long").alias("job_id"), "kind", F.col("document_id").cast("long").alias("document_id"), F.lit(1).alias("attempt"))
         rows.write.mode("append").parquet(f"{self.path}/queue/new")
 
+    def stored(self, files: DataFrame) -> DataFrame:
+        """files dealt by document_id into a bucketed table, so that no batch shuffles their content again."""
+        name = f"files_{uuid.uuid4().hex}"
+        buckets = max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        files.repartition(buckets, "document_id").write.bucketBy(buckets, "document_id").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
     def _worked(self, jobs: DataFrame, files: DataFrame) -> DataFrame:
         """jobs with text and error. files: document_id, name, content and the attempt from which on they are there."""
         there = files.select("document_id", "name", "content", F.col("from_attempt"))
-        rows = jobs.join(there, "document_id", "left")
+        rows = jobs.hint("shuffle_hash").join(there, "document_id", "left")  # a lot's jobs are small, files are not
         known = F.coalesce(F.col("kind").isin(INGEST, EMBED), F.lit(False))
         missing = F.col("content").isNull() | (F.coalesce("from_attempt", F.lit(1)) > F.col("attempt"))
         refused = F.when(~known, F.concat(F.lit("unknown job kind: "), F.coalesce("kind", F.lit("")))).when(missing, GONE)
@@ -50,7 +59,7 @@ class JobLog:
         """One micro-batch: its chunks, statuses and what is tried again, then its mark."""
         out = self._worked(jobs.dropDuplicates(["job_id", "attempt"]), files).persist()
         status = out.select("job_id", "document_id", "attempt", F.when(F.col("error").isNull(), "ready").otherwise("error").alias("status"), F.left("error", F.lit(500)).alias("error"), F.length("text").cast("long").alias("char_count"))
-        chunks = out.where("error IS NULL").select("job_id", "document_id", F.posexplode(chunks_of(F.col("text"))).alias("ordinal", "content"))
+        chunks = chunk_rows(out.where("error IS NULL"), ["job_id", "document_id"], F.col("text"))
         self.out.write(batch, {"status": status, "chunks": chunks})
         again = out.where(F.col("error").isNotNull() & (F.col("attempt") < self.attempts)).select("job_id", "kind", "document_id", (F.col("attempt") + 1).alias("attempt"))
         again.write.mode("overwrite").parquet(f"{self.path}/queue/again-{batch}")
