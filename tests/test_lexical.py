@@ -55,6 +55,17 @@ def test_bounds_hold_and_scores_are_exact(query, text, stride, cells):
         assert lexical.stretch_score(n, before, hit, starts) == plain_score(query, text)
 
 
+def test_few_chunks_are_scored_for_names_of_products(spark):
+    """The names are no words of the chunks, so all scores are low and near one another."""
+    t = Tables(spark, SF.replace("0.001", "0.01"))
+    texts = [r.text for r in content.chunk_items(t).orderBy("id").limit(1500).collect()]
+    block = lexical.BlockSearch(texts, 20, 0.1)
+    grams = [np.unique(lexical.trigram_codes(r.text)) for r in content.product_queries(t).collect()]
+    for query, shared in zip(grams, block.shared(grams), strict=True):
+        block.best(query, shared, np.arange(len(texts)))
+    assert block.pairs == len(grams) * len(texts) and 0 < block.verified < 0.08 * block.pairs
+
+
 def test_documented_example():
     n, before, hit = pair("word", "two words")
     assert lexical.stretch_score(n, before, hit, np.flatnonzero(hit)) == 0.8
