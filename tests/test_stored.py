@@ -94,6 +94,18 @@ def test_only_new_contents_are_embedded_and_nothing_is_shuffled(spark, tmp_path)
     assert "Exchange" not in index.embedded(second)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_one_chunk_table_is_embedded_in_two_runs_and_joined_without_its_vectors(spark, tmp_path):
+    index = EmbeddingIndex(spark, f"file://{tmp_path}/e")
+    assert index.buckets >= 4 * spark.sparkContext.defaultParallelism
+    chunks = index.store(spark.createDataFrame([(i, 0, f"text {i % 30}") for i in range(60)] + [(100, 0, "!!")], "document_id long, ordinal int, content string"))
+    assert index.embed(chunks, 1, "document_id % 10 <> 0") == 27 and index.embed(chunks, 2) == 4
+    filled = F.coalesce(F.size(F.filter("embedding", lambda x: x != 0)), F.lit(0))
+    brief = index.embedded(chunks, n=filled)
+    assert "embedding" not in brief.columns
+    assert rows_of(brief.select("document_id", "run", "n")) == rows_of(index.embedded(chunks).select("document_id", "run", filled))
+    assert {r.document_id for r in brief.where("run = 2").collect()} == {0, 10, 20, 30, 40, 50, 100}
+
+
 def lots(spark, n=40):
     dice = random.Random(2)
     start = datetime(2024, 1, 1)
