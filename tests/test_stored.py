@@ -106,6 +106,23 @@ def test_one_chunk_table_is_embedded_in_two_runs_and_joined_without_its_vectors(
     assert {r.document_id for r in brief.where("run = 2").collect()} == {0, 10, 20, 30, 40, 50, 100}
 
 
+def test_only_the_first_look_at_a_lot_takes_a_task_for_every_part_of_the_state(spark, tmp_path):
+    intake = Intake(spark, f"file://{tmp_path}/in", late="30 days")
+    rows = spark.createDataFrame([(f"m{i}", "telegram", f'{{"message": {{"chat": {{"id": "u{i}"}}, "text": "t{i}", "date": {i}}}}}', datetime(2024, 1, 1, 0, i), None) for i in range(20)], DELIVERY)
+    intake.deliver(rows.coalesce(1))
+    seen = []
+    write = intake.out.write
+    intake.out.write = lambda batch, tables: (seen.extend(t.rdd.getNumPartitions() for t in tables.values()), write(batch, tables))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        intake.run(files_per_batch=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert seen and max(seen) < 64
+    assert intake.table("events").count() == 20 and not list(tmp_path.glob("in/lots/*"))
+
+
 def lots(spark, n=40):
     dice = random.Random(2)
     start = datetime(2024, 1, 1)

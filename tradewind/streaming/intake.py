@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.sources import webhooks
+from tradewind.sources.shared import hadoop_path
 from tradewind.streaming.events import deduplicated
 from tradewind.streaming.outbox import Outbox
 
@@ -43,10 +44,12 @@ class Intake:
         once = deduplicated(stream, "delivery_id", "received_at", self.late)
 
         def take(rows: DataFrame, batch: int) -> None:
-            rows.persist()
-            self.out.write(batch, tables_of(rows))
-            rows.unpersist()
+            lot = f"{self.path}/lots/{batch}"
+            rows.write.mode("overwrite").parquet(lot)  # once by the many tasks of the state, then a few tasks a table
+            self.out.write(batch, tables_of(rows.sparkSession.read.schema(rows.schema).parquet(lot)))
             self.out.mark(batch)
+            jpath, files = hadoop_path(self.spark, lot)
+            files.delete(jpath, True)
 
         once.writeStream.option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
         return len(self.out.marked())
