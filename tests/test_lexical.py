@@ -163,3 +163,44 @@ def test_of_equal_items_only_the_least_ids_are_compared(spark):
     assert got == {(i, j) for i in range(3) for j in (0, 2, 4, 6)}
     items = lexical.least_copies(x, 4)
     assert sorted(r.id for r in items.collect()) == list(range(8))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=30), st.lists(TEXT, min_size=1, max_size=8), st.integers(1, 6), st.sampled_from([0.0, 0.1, 0.4]), st.sampled_from([0, 3, 64]), st.sampled_from([1, 4, 32]))
+def test_search_of_groups_equals_brute_force(texts, queries, k, least, short, seldom):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lexical, "SHORT", short)
+        patch.setattr(lexical, "SELDOM", seldom)
+        patch.setattr(lexical, "TOGETHER", 2)
+        patch.setattr(lexical, "CELLS", 200)
+        queries = [q + end for q in queries for end in ("", " 17", " 18", " 1")]
+        texts = [*texts, *(t + " 17 b" for t in texts[:3])]
+        ids = np.array([(7 * i) % len(texts) + 100 * i % 3 for i in range(len(texts))])
+        found = lexical.BlockSearch(texts, k, least).search([np.unique(lexical.trigram_codes(q)) for q in queries], ids)
+        for q, (best, *_) in zip(queries, found, strict=True):
+            want = sorted(((-s, int(ids[i])) for i, t in enumerate(texts) if (s := plain_score(q, t)) > least))[:k]
+            assert [(-s, int(ids[i])) for s, i in best] == want
+
+
+def test_queries_that_differ_in_seldom_trigrams_are_searched_together():
+    """Names with numbers: one search for each name, and few items for each number."""
+    items = [f"{a} {b} {i}" for i, (a, b) in enumerate((a, b) for _ in range(40) for a in ("large", "small") for b in ("ring", "bolt", "gear"))]
+    queries = [np.unique(lexical.trigram_codes(f"{a} ring {i}")) for a in ("large", "small") for i in range(100, 200)]
+    found = lexical.BlockSearch(items, 5, 0.1).search(queries, np.arange(len(items)))
+    assert sum(pairs for _, pairs, _, _ in found) == len(queries) * len(items)
+    assert sum(verified for _, _, _, verified in found) < 0.05 * len(queries) * len(items)
+
+
+def test_few_queries_are_sent_to_the_items(spark):
+    words = ["river", "stone", "bridge", "garden", "window", "lamp"]
+    items = [(i, " ".join(words[(i * j) % 6] + str(i % 7) for j in range(1, 5))) for i in range(200)] + [(200, None), (201, "")]
+    queries = [(1, "river stone"), (2, "garden3 lamp3"), (3, ""), (4, "zzz"), (5, " ".join(w + "1" for w in words) * 3)]
+    x, q = spark.createDataFrame(items, "id long, text string"), spark.createDataFrame(queries, "id long, text string")
+    blocks = lexical.ranked(lexical.block_topk(q, x, 5, 0.1).where("id IS NOT NULL").select("query", "id", "score"), 5)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lexical, "CHARACTERS", 400)
+        scanned = lexical.ranked(lexical.scanned_topk(queries, x, 5, 0.1), 5)
+        rows = lambda df: sorted((r.query, r["rank"], r.id, r.score) for r in df.collect())
+        assert len(rows(blocks)) == 15 and rows(scanned) == rows(blocks)
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan
