@@ -328,6 +328,15 @@ def test_fitted_evaluates_its_norm_once(spark):
     assert plan.count("aggregate(") == 1 and "sqrt(aggregate(" not in plan.split("round(")[1]
 
 
+def test_fitted_keeps_all_entries_of_a_longer_vector(spark):
+    long = [float(i % 7) for i in range(400)]
+    rows = spark.createDataFrame([(0, long), (1, [3.0, 4.0]), (2, [0.0]), (3, None)], "id int, v array<double>").select("id", text.fitted(F.col("v"), 384).alias("v"))
+    got = {r.id: r.v for r in rows.collect()}
+    norm = sum(x * x for x in long) ** 0.5
+    assert got[0] == pytest.approx([x / norm for x in long], abs=1e-6) and len(got[0]) == 400
+    assert got[1] == [0.6, 0.8] + [0.0] * 382 and got[2] == [0.0] * 384 and got[3] is None
+
+
 def test_csv_is_written_by_many_tasks(spark, tmp_path):
     rows = spark.range(40).select("id", F.lit("a,\"b").alias("t")).repartition(5)
     sinks.write_csv(rows, f"file://{tmp_path}/c")
